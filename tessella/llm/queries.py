@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, minhash, mixing, packing, url_filters
+from . import chat, fingerprints, minhash, mixing, packing, quality, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 #: host, path, verdict
@@ -37,6 +37,10 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -116,7 +120,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op2_document_fingerprints, op3_chat_perspectives, op5_minhash_near_dedup, op9_source_mixing, op10_url_filters,
+        op1_best_fit_packing, op2_document_fingerprints, op3_chat_perspectives, op5_minhash_near_dedup, op7_quality_classifier, op9_source_mixing, op10_url_filters,
     )}
 
 
