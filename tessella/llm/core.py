@@ -76,6 +76,13 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str, bound: int = 8 <
     return left.join(right, on, how)
 
 
+def arrow_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Hold batches of rows that go to Python at a few MB, whatever the length of their texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -227,3 +234,48 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     out = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.union(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+# ---------------------------------------------------------------- groups inside a sorted partition
+
+
+def whole_groups(batches, keys: list[str], rows: int = 20_000):
+    """Tables that hold whole groups, from batches of a partition sorted by keys (at least about `rows`
+    rows each, more where one group has more), with the first row of each group."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def edges(table):
+        cols = [np.asarray(table.column(k)) for k in keys]
+        change = np.zeros(len(cols[0]), bool)
+        change[:1] = True
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(change)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = edges(table)
+            if at[-1]:  # all but the last group, which may go on
+                yield table.slice(0, at[-1]), at[:-1]
+                rest = table.slice(at[-1])
+                held, n = rest.to_batches(), rest.num_rows
+            else:
+                held = table.to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, edges(table)
+
+
+def split_blocks(members: DataFrame, size: str, ident: str, block: int) -> DataFrame:
+    """Rows of groups of `size` members with lo, hi and block: a group of more than `block` members is cut
+    into blocks by ident, and each pair of blocks (lo <= hi) is a group that meets once."""
+    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64(ident), blocks).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumns({"lo": F.least("block", "_other"), "hi": F.greatest("block", "_other")}).drop("_other")

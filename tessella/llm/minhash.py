@@ -28,7 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import connected_components, join_sized, materialize, mix, partitions, release, text_blocks, windows, words
+from .core import (
+    arrow_batches,
+    connected_components,
+    join_sized,
+    materialize,
+    mix,
+    partitions,
+    release,
+    split_blocks,
+    text_blocks,
+    whole_groups,
+    windows,
+    words,
+)
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 36, 5, 36
 HASHES = BANDS * ROWS
@@ -192,17 +205,13 @@ def across(members: DataFrame) -> DataFrame:
     """
     spark = members.sparkSession
     least = least_matches()
-    blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = members.withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    rows = split_blocks(members, "n_members", "rep", BLOCK)
     rows = rows.select("bkey", "lo", "hi", "block", "rep", "c", "n_shingles", "sig")
     rows = rows.repartition(partitions(spark), "bkey", "lo", "hi").sortWithinPartitions("bkey", "lo", "hi")
 
-    def compare(group: pa.Table):
-        sig = _signatures(group.column("sig").combine_chunks() if isinstance(group.column("sig"), pa.ChunkedArray) else group.column("sig"))
-        cols = {k: group.column(k).to_numpy() for k in ("bkey", "lo", "hi", "block", "rep", "c", "n_shingles")}
-        edge = np.flatnonzero(np.r_[True, (cols["bkey"][1:] != cols["bkey"][:-1]) | (cols["lo"][1:] != cols["lo"][:-1]) | (cols["hi"][1:] != cols["hi"][:-1])])
+    def compare(group: pa.Table, edge: np.ndarray):
+        sig = _signatures(group.column("sig"))
+        cols = {k: group.column(k).to_numpy() for k in ("lo", "hi", "block", "rep", "c", "n_shingles")}
         end = np.repeat(np.r_[edge[1:], len(sig)], np.diff(np.r_[edge, len(sig)]))
         ahead = end - np.arange(len(sig)) - 1  # rows of the group after each row
         i = 0
@@ -221,33 +230,15 @@ def across(members: DataFrame) -> DataFrame:
             i = j
 
     def run(batches):
-        held, last = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = list(zip(*(batch.column(k).to_pylist() for k in ("bkey", "lo", "hi"))))
-            cut = len(key)
-            while cut and key[cut - 1] == key[-1]:  # the last group may go on
-                cut -= 1
-            if cut == 0 and last == key[-1]:
-                held.append(batch)
-                continue
-            if cut == 0:
-                if held:
-                    yield from compare(pa.Table.from_batches(held))
-                held = [batch]
-            else:
-                yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            last = key[-1]
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+        for group, edge in whole_groups(batches, ["bkey", "lo", "hi"]):
+            yield from compare(group, edge)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    arrow_batches(docs.sparkSession)
     signed = materialize(sign(docs), "mh")
     slim = signed.select("doc_id", "n_shingles", "k1", "k2")
     linked = slim.where("n_shingles > 0 and doc_id is not null")

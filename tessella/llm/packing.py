@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import materialize
+from .core import arrow_batches, materialize
 
 SIZE, END_ID = 2048, 0
 SALTS = 64
@@ -259,4 +259,5 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    arrow_batches(docs.sparkSession)
     return pack(materialize(token_pieces(docs, path, size), "pack"), size)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import core
-from .core import mix, text_blocks
+from .core import arrow_batches, mix, text_blocks
 
 BUCKETS, TRAIN_ROWS, GRADES = 1 << 20, 20_000, 3
 EPOCHS, STEP, RIDGE = 12, 0.35, 2e-4
@@ -136,6 +136,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
     """Fit on at most `rows` labelled documents."""
+    arrow_batches(docs.sparkSession)
     sample = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade")
 
