@@ -11,7 +11,7 @@ perspective, turn), summed inside each partition, and each partition of a conver
 totals of those before it.
 
 Cases: a null role is the speaker `unknown`; null text is empty; null turns come last; equal turns
-are ordered by speaker, then text; repeated rows each count; a marker inside a text is broken up
+are ordered by speaker, then the text's md5; repeated rows each count; a marker inside a text is broken up
 (`<|` becomes `< |`) so it can't end a turn; further columns are ignored; an empty table gives none.
 """
 
@@ -40,7 +40,7 @@ def perspectives(conversations: DataFrame) -> DataFrame:
         .drop("_c")
         .withColumns({"head": F.length(head), "segment": F.concat(head, "text", F.lit(END + "\n")), "mine": mine})
     )
-    order = ["conv_id", "perspective", F.asc_nulls_last("turn"), "speaker", "text"]
+    order = ["conv_id", "perspective", F.asc_nulls_last("turn"), "speaker", F.md5("text")]
     rows = materialize(
         rows.repartitionByRange(partitions(spark), *order).withColumns(
             {"pid": F.spark_partition_id(), "size": F.length("segment").cast("long")}
@@ -54,7 +54,7 @@ def perspectives(conversations: DataFrame) -> DataFrame:
         F.col("pid").alias("_p"), F.col("conv_id").alias("_c"), F.col("perspective").alias("_w"),
         F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"),
     )
-    own = Window.partitionBy("pid", *key).orderBy(F.asc_nulls_last("turn"), "speaker", "text")
+    own = Window.partitionBy("pid", *key).orderBy(F.asc_nulls_last("turn"), "speaker", F.md5("text"))
     rows = rows.withColumn("_own", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     out = rows.join(
         totals, (rows.pid == totals._p) & rows.conv_id.eqNullSafe(totals._c) & (rows.perspective == totals._w)

@@ -9,7 +9,7 @@ distance with insertions and deletions), as 2 * lcs / (len + len), and 0 unless
 of four characters (the shorter one's length, if less).
 
 Cases: null text counts as empty; an empty text has the fingerprint `3::`; equal fingerprints have
-likeness 1; texts of any length are hashed whole; rows with equal ids are ordered by text.
+likeness 1; texts of any length are hashed whole; rows with equal ids are ordered by a hash of the text.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import materialize, partitions, release, text_blocks
+from .core import arrow_batches, materialize, partitions, release, text_blocks
 
 SIGNATURE, SMALLEST, WINDOW = 64, 3, 7
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -227,8 +227,9 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     The texts are range-partitioned by doc_id once; a partition hands only the text of its first
     document on, to be paired with the last of the partition before.
     """
+    arrow_batches(docs.sparkSession)
     spark = docs.sparkSession
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
+    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]  # the range sample on the driver holds no text
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
