@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, minhash, mixing, packing, quality, url_filters
+from . import chat, embed_dedup, fingerprints, minhash, mixing, packing, quality, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 #: host, path, verdict
@@ -33,6 +33,10 @@ def op3_chat_perspectives(spark, sf_dir):
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op4_embedding_near_dedup(spark, sf_dir):
+    return embed_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ parts AS (
 segments AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM parts),
 placed AS (
   SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective
-              ORDER BY turn NULLS LAST, speaker, text ROWS UNBOUNDED PRECEDING) - length(segment) AS BIGINT) AS start
+              ORDER BY turn NULLS LAST, speaker, md5(text) ROWS UNBOUNDED PRECEDING) - length(segment) AS BIGINT) AS start
   FROM segments)
 SELECT conv_id, perspective, turn, speaker, CASE WHEN mine THEN 'assistant' ELSE 'user' END AS role, segment, start,
        CASE WHEN mine THEN start + length(head) END AS mask_start,
@@ -120,7 +124,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op2_document_fingerprints, op3_chat_perspectives, op5_minhash_near_dedup, op7_quality_classifier, op9_source_mixing, op10_url_filters,
+        op1_best_fit_packing, op2_document_fingerprints, op3_chat_perspectives, op4_embedding_near_dedup, op5_minhash_near_dedup, op7_quality_classifier, op9_source_mixing, op10_url_filters,
     )}
 
 
