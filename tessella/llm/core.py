@@ -279,3 +279,16 @@ def split_blocks(members: DataFrame, size: str, ident: str, block: int) -> DataF
     rows = members.withColumn("block", F.pmod(F.xxhash64(ident), blocks).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumns({"lo": F.least("block", "_other"), "hi": F.greatest("block", "_other")}).drop("_other")
+
+
+def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n indices is connected to by the pairs (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        old = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == old).all():
+            break
+    return label

@@ -33,6 +33,7 @@ from .core import (
     connected_components,
     join_sized,
     materialize,
+    min_labels,
     partitions,
     release,
     split_blocks,
@@ -176,22 +177,13 @@ def _compare(group: pa.Table, first_block: bool, kind: str, threshold: float):
         links[lo:hi] += new @ mult[right]
         if not first_block:
             links[right] += mult[lo:hi] @ new
-    label = np.arange(n)
+    label = rep
     if pairs:
         by_id = np.argsort(rep, kind="stable")
         place = np.empty(n, np.int64)
         place[by_id] = np.arange(n)
-        a, b = place[np.concatenate([p[0] for p in pairs])], place[np.concatenate([p[1] for p in pairs])]
-        while True:
-            old = label.copy()
-            np.minimum.at(label, a, label[b])
-            np.minimum.at(label, b, label[a])
-            label = label[label]
-            if (label == old).all():
-                break
-        label = rep[by_id[label[place]]]
-    else:
-        label = rep
+        a, b = (place[np.concatenate([p[k] for p in pairs])] for k in (0, 1))
+        label = rep[by_id[min_labels(n, a, b)[place]]]
     return rep, links, label
 
 

@@ -33,6 +33,7 @@ from .core import (
     connected_components,
     join_sized,
     materialize,
+    min_labels,
     mix,
     partitions,
     release,
@@ -48,7 +49,7 @@ HASHES = BANDS * ROWS
 #: Share of the threshold in 100 * intersection >= THRESHOLD * union.
 THRESHOLD, MISS = 75, 1e-6
 #: Members of a bucket that are compared at once; larger buckets go as pairs of blocks.
-BLOCK = 2048
+BLOCK, VERIFY_BLOCK = 2048, 512
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -198,7 +199,8 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket but different components that survive pruning.
+    """Edges (a, b) that connect the members of a bucket that are in different components and survive
+    pruning; a spanning forest of those pairs, not all of them.
 
     members: bkey, n_members, rep, c (component), n_shingles, sig. A bucket of more than BLOCK members
     is cut into blocks, and each pair of blocks is a group of its own.
@@ -214,7 +216,7 @@ def across(members: DataFrame) -> DataFrame:
         cols = {k: group.column(k).to_numpy() for k in ("lo", "hi", "block", "rep", "c", "n_shingles")}
         end = np.repeat(np.r_[edge[1:], len(sig)], np.diff(np.r_[edge, len(sig)]))
         ahead = end - np.arange(len(sig)) - 1  # rows of the group after each row
-        i = 0
+        i, left, right = 0, [], []
         while i < len(sig):
             j = max(i + 1, int(np.searchsorted(np.cumsum(ahead[i:]), 200_000, "right")) + i)
             x = np.repeat(np.arange(i, j), ahead[i:j])
@@ -223,11 +225,13 @@ def across(members: DataFrame) -> DataFrame:
             ok = (cols["c"][x] != cols["c"][y]) & (100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m))
             ok &= (cols["lo"][x] == cols["hi"][x]) | (cols["block"][x] != cols["block"][y])
             x, y = x[ok], y[ok]
-            if len(x):
-                keep = _survive(sig[x], sig[y], least)
-                a, b = cols["rep"][x[keep]], cols["rep"][y[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            keep = _survive(sig[x], sig[y], least) if len(x) else x
+            left.append(x[keep])
+            right.append(y[keep])
             i = j
+        label = min_labels(len(sig), np.concatenate(left), np.concatenate(right))
+        some = np.flatnonzero(label != np.arange(len(sig)))
+        yield pa.RecordBatch.from_arrays([pa.array(cols["rep"][some]), pa.array(cols["rep"][label[some]])], ["a", "b"])
 
     def run(batches):
         for group, edge in whole_groups(batches, ["bkey", "lo", "hi"]):
@@ -236,6 +240,59 @@ def across(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, by products of incidence matrices."""
+    flat = np.concatenate([*x, *y])
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.r_[True, flat[1:] != flat[:-1]]) - 1 if len(flat) else owner
+    shared = np.bincount(column) > 1
+    column = (np.cumsum(shared) - 1)[column[keep := shared[column]]]
+    owner = owner[keep]
+    out = np.zeros((len(x), len(y)), np.float32)
+    step = 4096
+    cut = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + step + 1, step))
+    for k, (a, b) in enumerate(zip(cut, cut[1:])):
+        inc = np.zeros((len(x) + len(y), step), np.float32)
+        inc[owner[a:b], column[a:b] - k * step] = 1
+        out += inc[: len(x)] @ inc[len(x) :].T
+    return out
+
+
+def verify_clusters(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the members of a cluster by links of their full sets.
+
+    members: cluster, n_members, rep, text. Each text is sent once, or once for each pair of blocks.
+    """
+    spark = members.sparkSession
+    keys = ["cluster", "lo", "hi"]
+    rows = split_blocks(members, "n_members", "rep", VERIFY_BLOCK).select(*keys, "block", "rep", "text")
+    rows = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "block")
+
+    def run(batches):
+        for table, at in whole_groups(batches, keys, 1000):
+            sets = []
+            for _, _, data, offs in text_blocks(table.column("text")):
+                s, cut = shingle_sets(data, offs)
+                sets += [s[p:q] for p, q in zip(cut, cut[1:])]
+            rep, block, lo, hi = (table.column(k).to_numpy() for k in ("rep", "block", "lo", "hi"))
+            for a, b in zip(at, [*at[1:], table.num_rows]):
+                split = b if lo[a] == hi[a] else a + int(np.searchsorted(block[a:b], hi[a]))
+                left, right = np.arange(a, split), np.arange(a if lo[a] == hi[a] else split, b)
+                if not len(left) or not len(right):
+                    continue
+                size = np.array([len(s) for s in sets[a:b]])
+                both = _intersections([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+                close = 100 * both >= THRESHOLD * (size[left - a][:, None] + size[right - a][None, :] - both)
+                i, j = np.nonzero(close)
+                label = min_labels(b - a, left[i] - a, right[j] - a)
+                some = np.flatnonzero(label != np.arange(b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a:b][some]), pa.array(rep[a:b][label[some]])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     arrow_batches(docs.sparkSession)
@@ -267,10 +324,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signed_reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig"), "rep"
     )
     more = materialize(across(mixed), "mh")
-    more_links = verify(more, texts)
-    all_links = links.union(more_links).union(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    clusters = materialize(connected_components(more).withColumnsRenamed({"node": "rep", "component": "cluster"}), "mh")
+    counts = clusters.groupBy("cluster").agg(F.count("*").alias("n_members"))
+    inside = clusters.join(counts, "cluster")
+    cluster_texts = join_sized(texts.select(F.col("doc_id").alias("rep"), "text"), materialize(inside, "mh"), "rep", "inner")
+    all_links = links.union(verify_clusters(cluster_texts))
     comps = connected_components(all_links)
-    for done in (signed_reps, member, star, alive, links, first, placed, more):
+    for done in (signed_reps, member, star, alive, links, first, placed, more, clusters):
         release(done)
 
     of_class = classes.join(comps, classes.rep == comps.node, "left").select(
