@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embed_dedup, fingerprints, minhash, mixing, packing, quality, url_filters
+from . import chat, embed_dedup, fingerprints, minhash, mixing, packing, quality, substring_dedup, suffix_dedup, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 #: host, path, verdict
@@ -41,10 +41,18 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -124,7 +132,8 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op2_document_fingerprints, op3_chat_perspectives, op4_embedding_near_dedup, op5_minhash_near_dedup, op7_quality_classifier, op9_source_mixing, op10_url_filters,
+        op1_best_fit_packing, op2_document_fingerprints, op3_chat_perspectives, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_quality_classifier,
+        op8_substring_dedup, op9_source_mixing, op10_url_filters,
     )}
 
 
