@@ -25,6 +25,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -279,10 +280,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def row(batch, parts):
         text = pa.array([b[~g].tobytes().decode("utf-8", "ignore") for b, g in parts], pa.string())
         null = batch.column("text").is_null()
-        text = pa.compute.if_else(null, pa.scalar(None, pa.string()), text)
+        text = pc.if_else(null, pa.scalar(None, pa.string()), text)
         return pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
 
-    import pyarrow.compute  # noqa: F401
-
     spans = repeated_spans(docs.select("doc_id", "text"))
     return _with_kept(docs, spans, schema, row)
