@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, join_sized, materialize, partitions, release, text_blocks, windows, words
+from .core import arrow_batches, materialize, partitions, text_blocks, windows, words
 
 SIZE, SHINGLE, FAN_IN = 13, 5, 3
 SPEC = winnow.Windows(SIZE, SHINGLE, words=True, within=False)
@@ -40,10 +40,12 @@ class FingerprintIndex:
     def __init__(self, store: DataFrame, fan_in: int = FAN_IN):
         self.store, self.fan_in = store, fan_in
         self.runs: list[DataFrame] = []
+        self.open: list[DataFrame] = []
         self.buckets = partitions(store.sparkSession)
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Repeated windows (doc_id, start, n) of the documents of a batch, which then belong to the index."""
+        """Windows (doc_id, start, n) of a batch that the fingerprints show to be repeated; the batch then
+        belongs to the index. What they leave open waits for verify()."""
         P = self.buckets
         sent = winnow.sent_segments(batch, SPEC).withColumn("old", F.lit(False))
         for run in self.runs:
@@ -70,8 +72,8 @@ class FingerprintIndex:
         self.runs.append(told.where("kind = 2").select("bucket", "data"))
         if len(self.runs) > self.fan_in:
             self.compact()
-        verified = self._verify(told.where("kind = 1").select("h", "doc_id", "start", "n"))
-        return told.where("kind = 0").select("doc_id", "start", "n").unionByName(verified)
+        self.open.append(told.where("kind = 1").select("h", "doc_id", "start", "n"))
+        return told.where("kind = 0").select("doc_id", "start", "n")
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -92,12 +94,17 @@ class FingerprintIndex:
 
         self.runs = [materialize(every.repartitionById(self.buckets, F.col("bucket")).mapInArrow(merge, RUN), "lsm")]
 
-    def _verify(self, opened: DataFrame) -> DataFrame:
-        """Of the open segments, the windows whose words an earlier document has."""
+    def verify(self) -> DataFrame:
+        """Of the segments that batches left open, the windows (doc_id, start, n) whose words an earlier
+        document has; the texts are read once for all batches since the last call."""
         P = self.buckets
+        opened = self.open[0]
+        for more in self.open[1:]:
+            opened = opened.union(more)
+        opened, self.open = opened.distinct(), []
         lists = opened.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n")).alias("segs"))
         lists = materialize(lists, "lsm")
-        texts = join_sized(self.store.select("doc_id", "text"), lists, "doc_id", "inner")
+        texts = self.store.select("doc_id", "text").join(lists, "doc_id")
         fields = [("w", np.uint64), ("h", np.uint64), ("doc", np.int64), ("start", np.int32)]
 
         def read(batches):
@@ -160,6 +167,7 @@ def repeated_spans(docs: DataFrame, batches: int = 2) -> DataFrame:
             part = part.where(F.col("doc_id") < hi)
         rows = index.ingest(part)
         found = rows if found is None else found.union(rows)
+    found = found.unionByName(index.verify())
     return materialize(winnow.spans_of(found), "lsm")
 
 
@@ -168,7 +176,7 @@ def removal_report(docs: DataFrame, batches: int = 2) -> DataFrame:
     slim = docs.select("doc_id", "text")
     spans = repeated_spans(slim, batches)
     arrow_batches(docs.sparkSession)
-    joined = join_sized(slim, spans.withColumnRenamed("doc_id", "_id"), slim.doc_id == F.col("_id"), "left")
+    joined = slim.join(spans.withColumnRenamed("doc_id", "_id"), slim.doc_id == F.col("_id"), "left")
 
     def run(frames):
         for batch in frames:
