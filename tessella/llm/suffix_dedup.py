@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, join_sized, materialize, partitions, prefix_hash, release, span_hash, text_blocks
+from .core import arrow_batches, materialize, partitions, prefix_hash, release, span_hash, text_blocks
 
 LENGTH, SHINGLE = 100, 24
 SPEC = winnow.Windows(LENGTH, SHINGLE, words=False, within=True)
@@ -132,7 +132,7 @@ def _open_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
     P = partitions(spark)
     lists = opened.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "contents")).alias("segs"))
     lists = materialize(lists, "sa")
-    texts = join_sized(docs.select("doc_id", "text"), lists, "doc_id", "inner")
+    texts = docs.select("doc_id", "text").join(lists, "doc_id")
 
     def cut(batches):
         for batch in batches:
@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _with_kept(docs: DataFrame, spans: DataFrame, schema: str, row) -> DataFrame:
     """row(batch, i, whole bytes, mask of removed bytes) for each row of docs."""
     arrow_batches(docs.sparkSession)
-    joined = join_sized(docs, spans.withColumnRenamed("doc_id", "_id"), docs.doc_id == F.col("_id"), "left")
+    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), docs.doc_id == F.col("_id"), "left")
 
     def run(batches):
         for batch in batches:
