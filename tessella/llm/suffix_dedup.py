@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from . import winnow
 from .core import arrow_batches, materialize, partitions, prefix_hash, release, span_hash, text_blocks
 
-LENGTH, SHINGLE = 100, 24
+LENGTH, SHINGLE = 100, 40
 SPEC = winnow.Windows(LENGTH, SHINGLE, words=False, within=True)
 #: Contents of an anchor above which it is split; bytes of a collection; bytes of a tape kept in memory.
-HOT, COLLECTION, SPOOL = 4096, 1 << 18, 16 << 20
+HOT, COLLECTION, SPOOL = 4096, 1 << 16, 16 << 20
 
 
 class Tape:
@@ -61,7 +61,8 @@ def collection_bwt(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     text = data.astype(np.uint8) + np.uint8(1)  # 0xFF is in no UTF-8 text
     end = offs[1:]
     before = lambda doc, j: np.where(size[doc] > j, text[np.maximum(end[doc] - j - 1, 0)], np.uint8(0)).astype(np.uint8)
-    bwt, lcp = Tape(before(np.arange(m), 0)), Tape(np.zeros(m, np.uint16))
+    small = np.uint8 if size.max(initial=0) < 255 else np.uint32  # holds any common prefix
+    bwt, lcp = Tape(before(np.arange(m), 0)), Tape(np.zeros(m, small))
     place = np.arange(m)  # row of the last suffix inserted of each document
     for j in range(1, int(size.max(initial=0)) + 1):
         doc = np.flatnonzero(size >= j)
@@ -73,18 +74,19 @@ def collection_bwt(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
         t = np.flatnonzero(current[extended])  # the rows that are new
         symbol = b[extended]
         # common prefixes of the new rows and of those after them
-        ask = np.union1d(t, t + 1)
-        ask = ask[ask < len(extended)]
+        near = np.zeros(len(extended) + 1, bool)
+        near[t] = near[t + 1] = True
+        ask = np.flatnonzero(near[:-1])
         one = ask[(ask > 0) & (symbol[ask] == symbol[ask - 1])]
-        value = np.zeros(len(extended), np.uint16)
+        value = np.zeros(len(extended), small)
         if len(one):
             lo, hi = extended[one - 1] + 1, extended[one] + 1
             o = np.argsort(lo, kind="stable")
-            c_pad = np.append(c, np.uint16(0))
-            value[one[o]] = np.minimum.reduceat(c_pad, np.c_[lo[o], hi[o]].ravel())[::2] + np.uint16(1)
+            c_pad = np.append(c, small(0))
+            value[one[o]] = np.minimum.reduceat(c_pad, np.c_[lo[o], hi[o]].ravel())[::2] + small(1)
         fresh = np.zeros(m + len(extended), bool)
         fresh[m + t] = True
-        new_b, new_c = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint16)
+        new_b, new_c = np.empty(len(fresh), np.uint8), np.empty(len(fresh), small)
         new_b[~fresh], new_c[~fresh] = b, c
         new_c[m + ask] = value[ask]
         sorted_doc = doc[np.argsort(place[doc], kind="stable")]
