@@ -69,6 +69,14 @@ def table_bytes(df: DataFrame) -> int:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def join_sized(left: DataFrame, right: DataFrame, on, how: str, bound: int = 8 << 20) -> DataFrame:
     """Join with right broadcast if its written size is below bound bytes, else by shuffle."""
     if getattr(right, "_tessella_path", None) and table_bytes(right) <= bound:

@@ -32,6 +32,8 @@ from .core import arrow_batches, materialize
 
 SIZE, END_ID = 2048, 0
 SALTS = 64
+#: Price under the best duals from which on a configuration is used.
+TIGHT = 0.99
 
 
 @cache
@@ -132,39 +134,41 @@ def plan_packing(histogram: dict[int, int], size: int = SIZE, rounds: int = 400,
     bound = -(-int((need * np.arange(size + 1)).sum()) // size)
     ramp = np.arange(size + 1) / size
     if some.any():
-        # fractional covering by multiplicative weights
-        covered, x = np.zeros(size + 1), {}
+        # fractional covering by multiplicative weights; `dual` are the prices of the best bound so far
+        covered, x, dual = np.zeros(size + 1), {}, ramp
         scale = np.maximum(need, 1)
         for _ in range(rounds):
-            prices = np.where(some, ramp * np.exp(-rate * covered / scale), 0.0)
+            behind = covered / scale
+            prices = np.where(some, ramp * np.exp(-rate * (behind - behind[some].min())), 0.0)
             lengths, counts, value = price_configuration(prices, need, size)
-            if not len(lengths) or value <= 0:
+            if not len(lengths):
                 break
-            bound = max(bound, int(np.ceil((prices * need).sum() / value - 1e-9)))
+            told = int(np.ceil((prices * need).sum() / value * (1 - 1e-9)))
+            if told > bound:
+                bound, dual = told, prices / value
             step = float((need[lengths] / counts).min())
             covered[lengths] += step * counts
             key = (tuple(lengths), tuple(counts))
             x[key] = x.get(key, 0.0) + step
-        # rounding: each configuration a whole number of times, as long as its pieces last
+        # rounding: of the configurations whose price is about 1 (those that a best plan may use), each a
+        # whole number of times, as long as its pieces last
         most = max(1.0, float((covered[some] / need[some]).max()))
         left = need.copy()
-        for (lengths, counts), times in sorted(x.items(), key=lambda kv: -kv[1]):
+        worth = lambda ls, cs: float((dual[ls] * cs).sum())
+        for (lengths, counts), times in sorted(x.items(), key=lambda kv: (-worth(np.array(kv[0][0]), np.array(kv[0][1])), -kv[1])):
             ls, cs = np.array(lengths), np.array(counts)
             k = int(min(np.floor(times / most), (left[ls] // cs).min()))
-            if k:
+            if k and worth(ls, cs) >= TIGHT:
                 plan.append((ls, cs, k))
                 left[ls] -= k * cs
-        # the remainder, priced the same way with whole steps
+        # the remainder, priced with the same duals (lengths of which more is left first) in whole steps
         for _ in range(4 * size):
             if not left.any():
                 break
-            share = left / scale
-            prices = np.where(left > 0, ramp * np.exp(rate * share), 0.0)
+            prices = np.where(left > 0, dual * (1 + 1e-3 * left / scale), 0.0)
             lengths, counts, _v = price_configuration(prices, left, size)
             k = int((left[lengths] // counts).min())
-            if not k:
-                break
-            if (size - (lengths * counts).sum()) > size // 64:  # no longer fills a sequence
+            if not k or worth(lengths, counts) < TIGHT:
                 break
             plan.append((lengths, counts, k))
             left[lengths] -= k * counts

@@ -27,9 +27,9 @@ from . import core
 from .core import arrow_batches, mix, text_blocks
 
 BUCKETS, TRAIN_ROWS, GRADES = 1 << 20, 20_000, 3
-EPOCHS, STEP, RIDGE = 12, 0.35, 2e-4
+EPOCHS, STEP, RIDGE = 16, 0.35, 5e-4
 #: Buckets from here on are for shapes; a word that is in more than this share of the fitted texts has no weight.
-WORDS, COMMON = BUCKETS - (1 << 14), 0.1
+WORDS, COMMON = BUCKETS - (1 << 14), 0.5
 _SHAPE_SCALE, _ALWAYS = 15.0, 10.0
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, materialize, partitions, prefix_hash, release, span_hash, text_blocks
+from .core import arrow_batches, fresh_name, materialize, partitions, prefix_hash, release, span_hash, text_blocks
 
 LENGTH, SHINGLE = 100, 40
 SPEC = winnow.Windows(LENGTH, SHINGLE, words=False, within=True)
@@ -239,13 +239,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _with_kept(docs: DataFrame, spans: DataFrame, schema: str, row) -> DataFrame:
     """row(batch, i, whole bytes, mask of removed bytes) for each row of docs."""
     arrow_batches(docs.sparkSession)
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), docs.doc_id == F.col("_id"), "left")
+    ident, held = fresh_name(docs, "_id"), fresh_name(docs, "_spans")
+    joined = docs.join(spans.select(F.col("doc_id").alias(ident), F.col("spans").alias(held)), F.col("doc_id") == F.col(ident), "left")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            spans_at = batch.column("spans")
+            spans_at = batch.column(held)
             for i, j, data, offs in text_blocks(batch.column("text")):
                 out = []
                 for k in range(i, j):
