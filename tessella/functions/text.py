@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 @cache
 def _fold_table() -> tuple[str, str]:
-    """Latin, Greek and Cyrillic letters that decompose to one base letter and marks, and that base."""
+    """Latin, Greek and Cyrillic characters that decompose to one character and marks (or none), and that one."""
     source, target = [], []
     for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
         d = unicodedata.normalize("NFD", chr(code))
-        if len(d) > 1 and all(0x300 <= ord(x) <= 0x36F for x in d[1:]):
+        if d != chr(code) and all(0x300 <= ord(x) <= 0x36F for x in d[1:]):
             source.append(chr(code))
             target.append(d[0])
     return "".join(source), "".join(target)
