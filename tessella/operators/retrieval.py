@@ -59,6 +59,17 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, ident: str, vector: str,
     return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def additive_hybrid(docs: DataFrame, queries: DataFrame, ident: str, vector: str, haystack: str, query_id: str, query_vector: str, query_tokens: str, k: int) -> DataFrame:
+    """query_id, id, score, rank by cosine plus the share of query tokens found in the haystack (positive sums only)."""
+    from tessella.functions.vectors import overlap_ratio
+
+    d = docs.select(F.col(ident).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv"), F.col(haystack).alias("_h"))
+    q = queries.select(query_id, F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_nq"), F.col(query_tokens).alias("_t"))
+    both = d.join(F.broadcast(q), F.size("_v") == F.size("_q"))  # a stated query set against all rows
+    score = cosine(F.col("_v"), F.col("_q"), F.col("_nv"), F.col("_nq")) + overlap_ratio(F.col("_t"), F.col("_h"))
+    return ranked(both.select(query_id, "id", score.alias("score")).where("score > 0"), query_id, "id", k)
+
+
 def ranked(scores: DataFrame, query_id: str, ident: str, k: int, score: str = "score") -> DataFrame:
     w = Window.partitionBy(query_id).orderBy(F.desc(score), ident)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

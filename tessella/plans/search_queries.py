@@ -58,7 +58,7 @@ def bm25_topk(spark, d):
     return _lexical(spark, d, 20).select("item_id", "doc", "score", "rank")
 
 
-@query("rt02_rt03_wn01_jn15_vector_topk", """
+@query("rt02_wn01_jn15_vector_topk", """
 SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score,
  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, v.vec_id) AS rank
  FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) > 0) WHERE rank <= 10""")
@@ -68,6 +68,15 @@ def vector_topk(spark, d):
     return S.vector_topk(e, q, "vec_id", "embedding", "query_id", 10).withColumn("score", F.round("score", 6))
 
 
+@query("rt03_sf31_additive_hybrid")
+def additive_hybrid(spark, d):
+    """Hash vectors stand in for embeddings of names; the queries are every 100th part."""
+    p = table(spark, d, "part").select("p_partkey", T.hash_vector(F.col("p_brand"), 16).alias("v"), T.normalise_words(F.concat_ws(" ", "p_name", "p_type")).alias("h"))
+    q = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("v").alias("qv"), F.slice(F.split("h", " "), 1, 2).alias("qt"))
+    out = S.additive_hybrid(p, q, "p_partkey", "v", "h", "query_id", "qv", "qt", 5)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("hybrid_rrf", _BASE + f""",
 fused AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc, b.doc) AS doc, a.rank AS left_rank, b.rank AS right_rank,
   coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS fused

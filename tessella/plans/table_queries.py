@@ -121,6 +121,15 @@ def text_pages(spark, d):
     return readers.text_pages(files).select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page_number", "p.text")
 
 
+@query("sc11_sc12_sc13_delimited_rows", """
+SELECT row_number() OVER (ORDER BY n_nationkey) AS row_number, n_name || '|' || n_regionkey AS cells, n_name AS key FROM nation""")
+def delimited_rows(spark, d):
+    """An uploaded list of products: a header line, then `name;code` lines."""
+    lines = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.concat(F.lit(" "), F.col("n_name"), F.lit("; "), F.col("n_regionkey").cast("string")).alias("value"))
+    out = readers.parse_delimited(lines.union(spark.createDataFrame([(-1, "Product name;Code")], "n int, value string")))
+    return out.select("row_number", F.array_join("cells", "|").alias("cells"), "key")
+
+
 @query("sc08_layout_pages", """
 SELECT conv_id AS doc_id, CAST(1 AS BIGINT) AS page_number, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text,
  string_agg(role || ' | ' || turn, chr(10) ORDER BY turn) AS tables FROM conversations GROUP BY 1""")
