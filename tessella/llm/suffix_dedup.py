@@ -13,8 +13,8 @@ What makes this fit a cluster is that collections are small: winnow.py leaves on
 windows could be repeated in another segment of the same anchor, and anchors are independent. An
 anchor with more than HOT contents is split into single windows, dealt by the window's hash.
 
-Cases: null text is empty; matches never cross documents; of equal ids the order is undefined, so
-ids should be unique (rows that share an id are judged as places of one document); rows with a null
+Cases: null text is empty; matches never cross documents; rows that
+share an id are places of one document, and a row that is there twice is not repeated by itself; rows with a null
 id are neither removed from nor compared; an empty table gives an empty result.
 """
 
@@ -120,9 +120,12 @@ def repeated_windows(data: np.ndarray, offs: np.ndarray, key: np.ndarray, start:
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     d, a, s = np.concatenate(docs), np.concatenate(at), np.concatenate(rows)
-    o = np.lexsort((start[d] + a, key[d], s))
-    later = np.r_[False, s[o][1:] == s[o][:-1]]
-    return d[o][later], a[o][later]
+    place = start[d] + a
+    o = np.lexsort((place, key[d], s))
+    d, a, s, place = d[o], a[o], s[o], place[o]
+    lead = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])[np.cumsum(np.r_[True, s[1:] != s[:-1]]) - 1]
+    later = (key[d] != key[d][lead]) | (place != place[lead])  # of repeated rows, the same place is not repeated
+    return d[later], a[later]
 
 
 _SHIPPED = [("h", np.uint64), ("doc", np.int64), ("start", np.int32), ("n", np.uint8)]

@@ -91,6 +91,14 @@ def new_content(x: dict[str, np.ndarray]) -> np.ndarray:
     return np.r_[True, (x["h"][1:] != x["h"][:-1]) | (x["s"][1:] != x["s"][:-1])] if len(x["h"]) else np.zeros(0, bool)
 
 
+def later(spec: Windows, x: dict[str, np.ndarray], lead: np.ndarray) -> np.ndarray:
+    """Whether each segment comes after the first of its content (of repeated rows, the same place does not)."""
+    doc, first_doc = x["doc"], x["doc"][lead]
+    if not spec.within:
+        return doc > first_doc
+    return (doc > first_doc) | ((doc == first_doc) & (x["start"] > x["start"][lead]))
+
+
 def pack_columns(x: dict[str, np.ndarray], fields=FIELDS) -> bytes:
     """Columns one after the other; documents as differences, which compress to little."""
     out = [np.int64(len(x[fields[0][0]])).tobytes()]
@@ -132,7 +140,7 @@ def sent_segments(docs: DataFrame, spec: Windows) -> DataFrame:
             first = new_content(x)
             run_of = np.cumsum(first) - 1
             lead = np.flatnonzero(first)
-            repeated = ~first if spec.within else x["doc"] > x["doc"][lead][run_of]
+            repeated = later(spec, x, lead[run_of])
             buckets, wholes, blobs = [], [], []
             for whole, pick in ((False, np.flatnonzero(~repeated)), (True, np.flatnonzero(repeated))):
                 y = {k: v[pick] for k, v in x.items()}
@@ -190,7 +198,7 @@ def resolve(spec: Windows, fresh: dict[str, np.ndarray], known: dict[str, np.nda
     lead = np.flatnonzero(first)
     run_of = np.cumsum(first) - 1
     lead_doc = x["doc"][lead][run_of] if len(lead) else x["doc"]
-    repeated = (~first if spec.within else x["doc"] > lead_doc) & ~x["old"]
+    repeated = later(spec, x, lead[run_of] if len(lead) else lead) & ~x["old"]
     # anchors with several contents, at least one of them new
     h = x["h"][lead]
     anchor = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.zeros(0, np.int64)

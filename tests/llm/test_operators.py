@@ -347,7 +347,7 @@ def test_drop_keeps_all_columns(spark, rows):
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_suffix_dedup(spark, rows, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    have = got(suffix_dedup.removal_report(frame(spark, rows, [(None, rows[20][1])])), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    have = got(suffix_dedup.removal_report(frame(spark, rows, [(None, rows[20][1]), rows[30], rows[9]])), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert have.pop(None)[1] == 0
     assert have == brute.suffix_report(rows)
     assert suffix_dedup.removal_report(frame(spark, [])).count() == 0
@@ -374,6 +374,20 @@ def test_removed_text(spark, rows):
     assert have == want
 
 
+def test_a_text_longer_than_a_block(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5000)}" for _ in range(230_000)]
+    docs = [(1, " ".join(words)), (2, "short one"), (3, " ".join(words[:-40_000]) + " other end")]
+    assert len(docs[0][1]) > core.BLOCK_BYTES
+    df = frame(spark, docs)
+    assert got(minhash.near_duplicates(df), "n_shingles", "component_id", "kept") == brute.near_duplicates(docs)
+    assert got(substring_dedup.removal_report(df), "n_words", "n_removed", "kept_sha256") == brute.repeated_words(docs)
+    assert got(suffix_dedup.removal_report(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix_report(docs)
+    assert fingerprints.compare_neighbours(df).count() == 3
+    out = packing.pack_documents(df, queries.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("m")).collect()
+    assert len(out) == 3 and max(r.m for r in out) == 2048
+
+
 # ---------------------------------------------------------------- 7 quality
 
 
