@@ -250,7 +250,7 @@ def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     shared = np.bincount(column) > 1
     column = (np.cumsum(shared) - 1)[column[keep := shared[column]]]
     owner = owner[keep]
-    out = np.zeros((len(x), len(y)), np.float32)
+    out = np.zeros((len(x), len(y)))
     step = 4096
     cut = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + step + 1, step))
     for k, (a, b) in enumerate(zip(cut, cut[1:])):
@@ -271,7 +271,7 @@ def verify_clusters(members: DataFrame) -> DataFrame:
     rows = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "block")
 
     def run(batches):
-        for table, at in whole_groups(batches, keys, 1000):
+        for table, at in whole_groups(batches, keys, 200):
             sets = []
             for _, _, data, offs in text_blocks(table.column("text")):
                 s, cut = shingle_sets(data, offs)
@@ -306,8 +306,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     texts = docs.where("doc_id is not null")
 
-    bands = signed_reps.select(F.explode("bands").alias("bkey"), F.col("doc_id").alias("rep")).repartition(partitions(docs.sparkSession), "bkey")
+    bands = signed_reps.select(F.explode("bands").alias("bkey"), F.col("doc_id").alias("rep"))
     groups = bands.groupBy("bkey").agg(F.count("*").alias("n_members"), F.min("rep").alias("lead")).where("n_members > 1")
+    groups = materialize(groups, "mh")  # counted map-side first; the join can then split a hot bucket
     member = materialize(bands.join(groups, "bkey"), "mh")
 
     star = materialize(member.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "mh")
@@ -330,7 +331,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cluster_texts = join_sized(texts.select(F.col("doc_id").alias("rep"), "text"), materialize(inside, "mh"), "rep", "inner")
     all_links = links.union(verify_clusters(cluster_texts))
     comps = connected_components(all_links)
-    for done in (signed_reps, member, star, alive, links, first, placed, more, clusters):
+    for done in (signed_reps, groups, member, star, alive, links, first, placed, more, clusters):
         release(done)
 
     of_class = classes.join(comps, classes.rep == comps.node, "left").select(
