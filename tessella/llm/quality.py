@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +90,9 @@ def fit_ordinal(at: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np.n
     n = len(grades)
     if not n:
         return OrdinalModel(w.astype(np.float32), np.full(GRADES - 1, -20.0))
-    in_texts = np.bincount(cols, minlength=BUCKETS)
+    in_texts = sum(np.bincount(cols[i : i + 500_000], minlength=BUCKETS) for i in range(0, len(cols), 500_000))
     in_texts[WORDS:] = 0
-    vals = np.where(in_texts[cols] > COMMON * n, 0.0, vals)
+    common = in_texts > COMMON * n
     share = np.array([np.clip((grades >= k).mean(), 1e-3, 1 - 1e-3) for k in range(1, GRADES)])
     first = -np.log(share[0] / (1 - share[0]))
     gaps = np.log(np.maximum(np.diff(-np.log(share / (1 - share))), 1e-2))  # thresholds = first + sums of exp(gaps)
@@ -104,7 +105,8 @@ def fit_ordinal(at: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np.n
             size = at[pick + 1] - at[pick]
             entry = np.repeat(at[pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             local = np.repeat(np.arange(len(pick)), size)
-            c, v = cols[entry], vals[entry]
+            c, v = cols[entry].astype(np.int64), vals[entry]
+            v = np.where(common[c], np.float32(0), v)
             score = np.bincount(local, w[c] * v, minlength=len(pick))
             theta = np.r_[head[0], head[0] + np.cumsum(np.exp(head[1:]))]
             tail = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -40, 40)))
@@ -138,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
     """Fit on at most `rows` labelled documents."""
     arrow_batches(docs.sparkSession)
     sample = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade")
+    told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade", F.xxhash64("text").alias("key"))
 
     def run(batches):
         for batch in batches:
@@ -147,17 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
                 at = np.searchsorted(r, np.arange(j - i + 1))
                 cut = list(zip(at, at[1:]))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(1)[i:j].cast(pa.int32()), core.blobs([c[a:b].astype(np.uint32) for a, b in cut]),
+                    batch.column(2)[i:j], batch.column(1)[i:j].cast(pa.int32()), core.blobs([c[a:b].astype(np.uint32) for a, b in cut]),
                     core.blobs([v[a:b] for a, b in cut]),
-                ], ["grade", "cols", "vals"])
-
-    got = told.mapInArrow(run, "grade int, cols binary, vals binary").toPandas()  # at most `rows` rows (and copies of ids)
-    got = got.sort_values(["grade", "cols"], kind="stable")  # whatever order the tasks ended in
-    cols = [np.frombuffer(x, np.uint32) for x in got["cols"]]
-    at = np.r_[0, np.cumsum([len(x) for x in cols])].astype(np.int64)
-    flat = np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64)
-    vals = np.frombuffer(b"".join(got["vals"]), np.float32)
-    return fit_ordinal(at, flat, vals, got["grade"].to_numpy(np.int64))
+                ], ["key", "grade", "cols", "vals"])
+
+    # at most `rows` rows (and copies of ids), in an order that tasks have no part in
+    got = told.mapInArrow(run, "key long, grade int, cols binary, vals binary").toArrow().sort_by([("key", "ascending"), ("grade", "ascending")]).combine_chunks()
+    size = pc.binary_length(got["cols"]).to_numpy() // 4
+    at = np.r_[0, np.cumsum(size, dtype=np.int64)]
+    cols = np.frombuffer(b"".join(c.buffers()[2].to_pybytes()[: at[-1] * 4] for c in got["cols"].chunks if len(c)), np.uint32)
+    vals = np.frombuffer(b"".join(c.buffers()[2].to_pybytes()[: at[-1] * 4] for c in got["vals"].chunks if len(c)), np.float32)
+    grades = got["grade"].to_numpy().astype(np.int64)
+    del got
+    return fit_ordinal(at, cols, vals, grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
