@@ -7,6 +7,7 @@ side never builds one object per word.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -53,6 +54,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more (it does so when the
+    driver collects garbage, which a small driver heap may put off until much of the disk is used)."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete a table written by materialize() once nothing lazy reads it any more."""
     path = getattr(df, "_tessella_path", None)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, materialize, partitions, text_blocks, windows, words
+from .core import arrow_batches, drop_shuffles, materialize, partitions, text_blocks, windows, words
 
 SIZE, SHINGLE, FAN_IN = 13, 5, 3
 SPEC = winnow.Windows(SIZE, SHINGLE, words=True, within=False)
@@ -167,8 +167,11 @@ def repeated_spans(docs: DataFrame, batches: int = 2) -> DataFrame:
             part = part.where(F.col("doc_id") < hi)
         rows = index.ingest(part)
         found = rows if found is None else found.union(rows)
+        drop_shuffles(docs.sparkSession)
     found = found.unionByName(index.verify())
-    return materialize(winnow.spans_of(found), "lsm")
+    spans = materialize(winnow.spans_of(found), "lsm")
+    drop_shuffles(docs.sparkSession)
+    return spans
 
 
 def removal_report(docs: DataFrame, batches: int = 2) -> DataFrame:

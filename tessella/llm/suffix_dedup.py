@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, fresh_name, materialize, partitions, prefix_hash, release, span_hash, text_blocks
+from .core import arrow_batches, drop_shuffles, fresh_name, materialize, partitions, prefix_hash, release, span_hash, text_blocks
 
 LENGTH, SHINGLE = 100, 40
 SPEC = winnow.Windows(LENGTH, SHINGLE, words=False, within=True)
@@ -232,10 +232,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     sent = winnow.sent_segments(docs, SPEC)
     told = materialize(sent.repartitionById(P, F.col("bucket")).mapInArrow(judge, winnow.TOLD), "sa")
+    del sent
+    drop_shuffles(spark)
     judged = _open_windows(docs, told.where("kind = 1").select("h", "doc_id", "start", "n", "contents"))
     rows = told.where("kind = 0").select("doc_id", "start", "n").unionByName(judged)
     spans = materialize(winnow.spans_of(rows), "sa")
     release(told)
+    del rows, judged
+    drop_shuffles(spark)
     return spans
 
 
