@@ -42,12 +42,13 @@ class FingerprintIndex:
         self.runs: list[DataFrame] = []
         self.open: list[DataFrame] = []
         self.buckets = partitions(store.sparkSession)
+        self.hot = winnow.hot_anchors(store, SPEC)  # the same for all runs
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Windows (doc_id, start, n) of a batch that the fingerprints show to be repeated; the batch then
         belongs to the index. What they leave open waits for verify()."""
-        P = self.buckets
-        sent = winnow.sent_segments(batch, SPEC).withColumn("old", F.lit(False))
+        P, hot = self.buckets, self.hot
+        sent = winnow.sent_segments(batch, SPEC, hot).withColumn("old", F.lit(False))
         for run in self.runs:
             sent = sent.union(run.select("bucket", F.lit(False), "data", F.lit(True)))
 
@@ -62,7 +63,7 @@ class FingerprintIndex:
                     else:
                         (known if old else fresh).append(x)
             if fresh:
-                repeated, opened, contents, new = winnow.resolve(SPEC, winnow.concat(fresh), winnow.concat(known))
+                repeated, opened, contents, new = winnow.resolve(SPEC, winnow.concat(fresh), winnow.concat(known), hot)
                 yield from winnow.told(0, repeated)
                 yield from winnow.told(1, opened, contents)
                 blob = winnow.pack_columns(new)

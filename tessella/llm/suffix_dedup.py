@@ -226,11 +226,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 else:
                     fresh.append(x)
         if fresh:
-            repeated, opened, contents, _ = winnow.resolve(SPEC, winnow.concat(fresh))
+            repeated, opened, contents, _ = winnow.resolve(SPEC, winnow.concat(fresh), None, hot)
             yield from winnow.told(0, repeated)
             yield from winnow.told(1, opened, contents)
 
-    sent = winnow.sent_segments(docs, SPEC)
+    hot = winnow.hot_anchors(docs, SPEC)
+    sent = winnow.sent_segments(docs, SPEC, hot)
     told = materialize(sent.repartitionById(P, F.col("bucket")).mapInArrow(judge, winnow.TOLD), "sa")
     del sent
     drop_shuffles(spark)

@@ -14,7 +14,8 @@ equal places. Per document there are about 2 / (W - k + 2) segments for each sym
 * the first and only content of an anchor is not repeated.
 
 Hot contents are pre-aggregated where they are read (a task sends one segment of each content), so
-they arrive once for each task. Digests are 64 bits each for anchor and content.
+they arrive once for each task. Hot anchors, which stand in many different contents, are dealt by
+content instead (see hot_anchors). Digests are 64 bits each for anchor and content.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from .core import _powers, arrow_batches, mix, partitions, sliding_min, span_has
 
 #: Segments that a task holds before it sends them on.
 SEND = 400_000
+#: An anchor is hot from this many sampled documents on and this share of them (1 in HOT_SHARE); one document
+#: in HINT_OF is sampled; HOT_MOST of the hottest are dealt by content.
+HOT_LEAST, HOT_SHARE, HINT_OF, HOT_MOST = 50, 200, 64, 1000
 
 
 @dataclass(frozen=True)
@@ -126,7 +130,43 @@ def concat(parts: list[dict[str, np.ndarray]], fields=FIELDS) -> dict[str, np.nd
 SENT = "bucket int, whole boolean, data binary"
 
 
-def sent_segments(docs: DataFrame, spec: Windows) -> DataFrame:
+def hot_anchors(docs: DataFrame, spec: Windows) -> np.ndarray:
+    """Anchors that very many documents hold (at most a few hundred), from a sample of documents.
+
+    Like the sample of a range partitioning this only decides where rows go: segments of a hot anchor are
+    dealt by content instead of by anchor, and all count as open. Which anchors are found doesn't change results.
+    """
+    arrow_batches(docs.sparkSession)
+    part = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(HINT_OF)) == 0)).select("doc_id", "text")
+
+    def run(batches):
+        for batch in batches:
+            h, n = [], 0
+            for i, j, data, offs in text_blocks(batch.column(1)):
+                x = segments(spec, data, offs)
+                h.append(np.unique(np.stack([x["h"], x["row"].astype(np.uint64)]), axis=1)[0])
+                n += j - i
+            u, c = np.unique(np.concatenate(h), return_counts=True) if h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            some = c > 1  # once in a batch is not hot
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[u[some].view(np.int64), 0]), pa.array(np.r_[c[some], 0]), pa.array(np.r_[np.zeros(some.sum(), np.int64), n])], ["h", "n", "docs"])
+
+    counts = part.mapInArrow(run, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    total = counts.agg(F.sum("docs")).first()[0] or 0
+    least = max(HOT_LEAST, total // HOT_SHARE)
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def buckets_of(x: dict[str, np.ndarray], hot: np.ndarray, P: int) -> np.ndarray:
+    """The bucket of each segment: by anchor, or by content if the anchor is hot."""
+    key = x["h"].copy()
+    if len(hot):
+        spread = np.isin(key, hot)
+        key[spread] = mix(key[spread] ^ x["s"][spread])
+    return (key % np.uint64(P)).astype(np.int64)
+
+
+def sent_segments(docs: DataFrame, spec: Windows, hot: np.ndarray) -> DataFrame:
     """Segments of docs, packed, for the buckets of an exchange by anchor."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -144,7 +184,7 @@ def sent_segments(docs: DataFrame, spec: Windows) -> DataFrame:
             buckets, wholes, blobs = [], [], []
             for whole, pick in ((False, np.flatnonzero(~repeated)), (True, np.flatnonzero(repeated))):
                 y = {k: v[pick] for k, v in x.items()}
-                bucket = ((y["doc"].astype(np.uint64) if whole else y["h"]) % np.uint64(P)).astype(np.int64)
+                bucket = (y["doc"].astype(np.uint64) % np.uint64(P)).astype(np.int64) if whole else buckets_of(y, hot, P)
                 o = np.lexsort((y["start"], y["doc"], bucket))
                 cut = np.searchsorted(bucket[o], np.arange(P + 1))
                 for b in np.flatnonzero(np.diff(cut)).tolist():
@@ -186,7 +226,7 @@ def told(kind: int, x: dict[str, np.ndarray], contents=None):
         yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.nulls(n, pa.binary())], [f for f, _ in _TOLD])
 
 
-def resolve(spec: Windows, fresh: dict[str, np.ndarray], known: dict[str, np.ndarray] | None = None):
+def resolve(spec: Windows, fresh: dict[str, np.ndarray], known: dict[str, np.ndarray] | None, hot: np.ndarray):
     """(repeated, open, contents of the anchor of each open one, first of each new content) of one bucket.
 
     known: the first segment of each content of earlier batches; it is compared with but not judged.
@@ -208,10 +248,13 @@ def resolve(spec: Windows, fresh: dict[str, np.ndarray], known: dict[str, np.nda
     if known is not None and len(lead):
         fresh_content = ~np.logical_or.reduceat(x["old"], lead)
     any_new = np.bincount(anchor, weights=fresh_content) > 0 if len(h) else np.zeros(0, bool)
-    wide = ((contents > 1) & any_new)[anchor] if len(h) else np.zeros(0, bool)
+    spread = np.isin(h, hot)  # contents of a hot anchor may be in other buckets too
+    contents = contents[anchor] if len(h) else anchor
+    contents = np.where(spread, 1 << 30, contents)
+    wide = ((contents > 1) & any_new[anchor]) | spread if len(h) else np.zeros(0, bool)
     # open: every segment of the content's first document (several places only if the document repeats it)
     is_open = wide[run_of] & ~repeated & (first if spec.within else x["doc"] == lead_doc) if len(lead) else first
-    number = contents[anchor][run_of] if len(lead) else run_of
+    number = contents[run_of] if len(lead) else run_of
     take = lambda m: {k: v[m] for k, v in x.items() if k != "old"}
     return take(repeated), take(is_open), number[is_open], take(first & np.r_[is_new & fresh_content, []].astype(bool)[run_of] if len(lead) else first)
 

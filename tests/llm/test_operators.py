@@ -21,6 +21,7 @@ from tessella.llm import (
     substring_dedup,
     suffix_dedup,
     url_filters,
+    winnow,
 )
 
 from . import brute
@@ -374,6 +375,19 @@ def test_removed_text(spark, rows):
     assert have == want
 
 
+def test_hot_anchors_change_no_result(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = prose(rng, 25)
+    docs = [(i, prose(rng, 15) + " " + passage + " " + prose(rng, rng.randrange(3, 15))) for i in range(120)]
+    df = frame(spark, docs)
+    for name, value in (("HOT_LEAST", 5), ("HOT_SHARE", 10), ("HINT_OF", 2)):
+        monkeypatch.setattr(winnow, name, value)
+    assert len(winnow.hot_anchors(df, suffix_dedup.SPEC)) and len(winnow.hot_anchors(df, substring_dedup.SPEC))
+    assert got(suffix_dedup.removal_report(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix_report(docs)
+    for batches in (1, 3):
+        assert got(substring_dedup.removal_report(df, batches), "n_words", "n_removed", "kept_sha256") == brute.repeated_words(docs)
+
+
 def test_a_text_longer_than_a_block(spark):
     rng = random.Random(12)
     words = [f"w{rng.randrange(5000)}" for _ in range(230_000)]
