@@ -68,6 +68,7 @@ def unicode_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)[\wÀ-ÿ؀-ۿ]{2,}"), 0)
 
 
+# fixed value
 #: A word: a letter or digit (Latin, Arabic), then at least one more letter, digit, apostrophe or hyphen.
 WORD = r"[؀-ۿA-Za-zÀ-ÿ0-9][؀-ۿA-Za-zÀ-ÿ0-9'’\-]{1,}"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # fixed values: weights, limits and thresholds of the document score
 LIMITS = {"chars": 260, "readable": 0.72, "abnormal": 0.10, "words": 0.62, "repeated": 0.035, "empty": 0.34, "sparse": 0.5, "confidence": 0.60}
 DEFAULT_CONFIDENCE, LOW = 0.75, 0.55
-#: Symbols that count as noise.
+# fixed values: symbols that count as noise, readable characters, words
 NOISE = "�□■▪◆●◊¤§¶©®™~^|\\_=<>*#@$&`"
 READABLE = r"[\p{L}\p{N}.,;:!?()\[\]{}%/+\-'’\"«»؀-ۿ]"
 WORD = r"[؀-ۿA-Za-zÀ-ÿ]{2,}"
