@@ -8,6 +8,7 @@ side never builds one object per word.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -57,8 +58,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more (it does so when the
     driver collects garbage, which a small driver heap may put off until much of the disk is used)."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what Python lets go in the first round, the JVM can collect in the second
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def release(df: DataFrame) -> None:

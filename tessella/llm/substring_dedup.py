@@ -44,9 +44,10 @@ class FingerprintIndex:
         self.buckets = partitions(store.sparkSession)
         self.hot = winnow.hot_anchors(store, SPEC)  # the same for all runs
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
+    def ingest(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """Windows (doc_id, start, n) of a batch that the fingerprints show to be repeated; the batch then
-        belongs to the index. What they leave open waits for verify()."""
+        belongs to the index. What they leave open waits for verify(). After the last batch of an index that
+        is not kept no run is written."""
         P, hot = self.buckets, self.hot
         sent = winnow.sent_segments(batch, SPEC, hot).withColumn("old", F.lit(False))
         for run in self.runs:
@@ -66,11 +67,14 @@ class FingerprintIndex:
                 repeated, opened, contents, new = winnow.resolve(SPEC, winnow.concat(fresh), winnow.concat(known), hot)
                 yield from winnow.told(0, repeated)
                 yield from winnow.told(1, opened, contents)
+                if last:
+                    return
                 blob = winnow.pack_columns(new)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip([2, None, None, None, None, None, bucket, blob], winnow._TOLD)], [f for f, _ in winnow._TOLD])
 
         told = materialize(sent.repartitionById(P, F.col("bucket")).mapInArrow(merge, winnow.TOLD), "lsm")
-        self.runs.append(told.where("kind = 2").select("bucket", "data"))
+        if not last:
+            self.runs.append(told.where("kind = 2").select("bucket", "data"))
         if len(self.runs) > self.fan_in:
             self.compact()
         self.open.append(told.where("kind = 1").select("h", "doc_id", "start", "n"))
@@ -166,7 +170,7 @@ def repeated_spans(docs: DataFrame, batches: int = 2) -> DataFrame:
             part = part.where(F.col("doc_id") >= lo)
         if hi is not None:
             part = part.where(F.col("doc_id") < hi)
-        rows = index.ingest(part)
+        rows = index.ingest(part, last=hi is None)
         found = rows if found is None else found.union(rows)
         drop_shuffles(docs.sparkSession)
     found = found.unionByName(index.verify())
