@@ -1,14 +1,17 @@
 """Embedding near-dedup by spherical-cap filters.
 
-Filter directions are a few structured random product codes: after a random rotation a vector is cut
-into blocks, each block has its own random unit codewords, and a direction is one codeword of each
+Filter directions are structured random product codes: after a random rotation a vector is cut into
+blocks, each block has its own random unit codewords, and a direction is one codeword of each
 block. A vector belongs to the filter of every direction with which its inner product exceeds a
 height; these are found by list decoding, block by block, keeping only prefixes that can still reach
 it. Vectors are joined on filters and every pair that meets is verified by cosine in doubles.
 
-The height is chosen from the number of vectors so that a filter holds about PER_FILTER of them, and
-the number of directions so that two vectors at the threshold share MEETINGS filters on average; a
-pair is missed with a chance of about exp(-MEETINGS) (less above the threshold).
+The height is chosen from the number of vectors so that a filter holds about PER_FILTER of them (lower
+if a pair at the threshold would share too few), and the directions of a code so that such a pair shares
+one filter of it on average, or fewer where that saves blocks; both from the exact measure of caps on the sphere. Filters of one code are
+not independent, codes are: for any pair at the threshold the chance to share no filter of a code is one
+number, which is measured on random pairs and codes, and codes are added until the chance to share none
+at all is at most exp(-MEETINGS), at any number of vectors (less above the threshold).
 
 Equal vectors are one class that counts with its multiplicity. A filter with more than BLOCK vectors
 is compared as pairs of blocks. Pairs never leave a task: per vector there come out the number of its
@@ -41,20 +44,41 @@ from .core import (
 )
 
 THRESHOLD, PER_FILTER, MEETINGS, BLOCK, SEED = 0.9, 256, 16.0, 2048, 20240229
-#: Independent codes, and codewords of a block.
-CODES, WORDS = 4, 256
+#: Codewords of a block, and the least part of a filter's vectors that hold a given neighbour at the threshold.
+WORDS, LEAST_SHARED = 256, 1 / 8
+#: A cut into fewer blocks is taken with this many codes at most.
+MOST_CODES = 128
+#: Random codes, and pairs for each, by which the chance to miss a pair is measured.
+TRIALS, TRIAL_PAIRS = 32, 256
 
 
-def _upper(x: float) -> float:
-    return 0.5 * math.erfc(x / math.sqrt(2))
+def _cap(dim: int, t: np.ndarray) -> np.ndarray:
+    """P(u . x > t) of a random direction u and a unit vector x."""
+    if dim == 1:
+        return np.where(t < -1, 1.0, np.where(t < 1, 0.5, 0.0))
+    angle = np.linspace(0, math.pi, 20001)
+    density = np.sin(angle) ** (dim - 2)
+    below = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    return np.interp(np.arccos(np.clip(t, -1, 1)), angle, below / below[-1])
 
 
-def _both_upper(x: float, rho: float) -> float:
-    """P(X > x, Y > x) of standard normals with correlation rho."""
-    s = np.linspace(x, x + 8, 4001)
-    inner = np.array([_upper((x - rho * a) / math.sqrt(1 - rho * rho)) for a in s])
-    y = np.exp(-s * s / 2) / math.sqrt(2 * math.pi) * inner
-    return float(((y[1:] + y[:-1]) / 2 * np.diff(s)).sum())
+def _both_caps(dim: int, t: float, rho: float) -> float:
+    """P(u . x > t, u . y > t) of a random direction u and unit vectors x, y with inner product rho."""
+    if dim == 1:
+        return float(_cap(dim, np.array(t)))
+    angle = np.linspace(0, math.acos(t), 4001)[1:]
+    share = np.diff(_cap(dim, np.cos(np.concatenate([[0], angle]))))
+    mid = angle - angle[0] / 2
+    return float((share * _cap(dim - 1, (t - rho * np.cos(mid)) / (math.sqrt(1 - rho * rho) * np.sin(mid)))).sum())
+
+
+def random_pairs(rng, n: int, dim: int, rho: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x, y of random unit vectors with inner product rho."""
+    x, y = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = rho * x + math.sqrt(1 - rho * rho) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    return x, y / np.linalg.norm(y, axis=1, keepdims=True)
 
 
 class ProductCode:
@@ -63,40 +87,66 @@ class ProductCode:
     def __init__(self, dim: int, n: int, threshold: float = THRESHOLD, per_filter: int = PER_FILTER, meetings: float = MEETINGS):
         rng = np.random.default_rng(SEED + dim)
         share = min(0.25, per_filter / max(n, 1))
-        lo, hi = 0.0, 12.0
+        lo, hi = 0.0, 1.0
         for _ in range(60):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if _upper(mid) > share else (lo, mid)
-        directions = meetings / CODES / _both_upper(lo, threshold)
-        blocks = 1
-        while directions ** (1 / blocks) > WORDS and blocks < max(1, dim // 8):
-            blocks += 1
-        self.parts = np.array_split(np.arange(dim), blocks)
-        self.words = max(2, math.ceil(directions ** (1 / blocks)))
-        self.height = lo / math.sqrt(dim)
-        self.codes = []
-        for _ in range(CODES):
-            rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-            books = []
-            for part in self.parts:
-                book = rng.standard_normal((self.words, len(part)))
-                books.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt(len(part) / dim))
-            self.codes.append((rotation, books))
+            lo, hi = (mid, hi) if _cap(dim, np.array(mid)) > share else (lo, mid)
+        self.height = 0.5 if dim == 1 else lo
+        while (both := _both_caps(dim, self.height, threshold)) < LEAST_SHARED * _cap(dim, np.array(self.height)):
+            self.height *= 0.98
+        directions, sizes, options = 1 / both, [1], []
+        while directions ** (1 / sizes[-1]) > WORDS and sizes[-1] < max(1, dim // 8):
+            sizes.append(sizes[-1] + 1)
+        for blocks in sizes:
+            words = math.ceil(directions ** (1 / blocks))
+            self._cut(dim, blocks, max(2, words if blocks == sizes[-1] else min(WORDS, words)))
+            missed = np.array([self._missed(rng, dim, threshold) for _ in range(TRIALS)])
+            above = missed.mean() + 4 * missed.std() / math.sqrt(TRIALS)  # the measured chance, with its own error
+            codes = math.ceil(meetings / -math.log(min(max(above, 1 / (TRIALS * TRIAL_PAIRS)), 0.999)))
+            if codes <= MOST_CODES or blocks == sizes[-1]:
+                options.append((codes * self.words**blocks, codes, blocks, self.words))
+        _, codes, blocks, words = min(options)  # the fewest filters of a vector
+        self._cut(dim, blocks, words)
+        self.codes = [(np.linalg.qr(rng.standard_normal((dim, dim)))[0], self._books(rng, dim)) for _ in range(codes)]
+
+    def _cut(self, dim: int, blocks: int, words: int) -> None:
+        self.parts, self.words = np.array_split(np.arange(dim), blocks), words
+
+    def _books(self, rng, dim: int) -> list[np.ndarray]:
+        books = []
+        for part in self.parts:
+            book = rng.standard_normal((self.words, len(part)))
+            books.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt(len(part) / dim))
+        return books
+
+    def _missed(self, rng, dim: int, rho: float) -> float:
+        """The part of random pairs that share no filter of one random code."""
+        books = self._books(rng, dim)
+        keys = []
+        for v in random_pairs(rng, TRIAL_PAIRS, dim, rho):
+            row, code = self._decode(v, books, 0)
+            keys.append(row * self.words ** len(self.parts) + code)
+        met = np.intersect1d(*keys) // self.words ** len(self.parts)
+        return 1 - len(np.unique(met)) / TRIAL_PAIRS
+
+    def _decode(self, x: np.ndarray, books: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of every filter of code n that a rotated unit vector exceeds."""
+        dots = [x[:, p] @ b.T for p, b in zip(self.parts, books)]
+        reach = np.zeros((len(dots) + 1, len(x)))
+        for k in range(len(dots) - 1, -1, -1):
+            reach[k] = reach[k + 1] + dots[k].max(1)
+        row, code, total = np.arange(len(x)), np.full(len(x), n, np.int64), np.zeros(len(x))
+        for k, d in enumerate(dots):
+            t = total[:, None] + d[row]
+            i, j = np.nonzero(t + reach[k + 1][row][:, None] > self.height)
+            row, code, total = row[i], code[i] * self.words + j, t[i, j]
+        return row, code
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every filter that a unit vector exceeds, sorted by row, then filter."""
         rows, filters = [], []
         for n, (rotation, books) in enumerate(self.codes):
-            x = unit @ rotation
-            dots = [x[:, p] @ b.T for p, b in zip(self.parts, books)]
-            reach = np.zeros((len(dots) + 1, len(x)))
-            for k in range(len(dots) - 1, -1, -1):
-                reach[k] = reach[k + 1] + dots[k].max(1)
-            row, code, total = np.arange(len(x)), np.full(len(x), n, np.int64), np.zeros(len(x))
-            for k, d in enumerate(dots):
-                t = total[:, None] + d[row]
-                i, j = np.nonzero(t + reach[k + 1][row][:, None] > self.height)
-                row, code, total = row[i], code[i] * self.words + j, t[i, j]
+            row, code = self._decode(unit @ rotation, books, n)
             rows.append(row)
             filters.append(code)
         row, code = np.concatenate(rows), np.concatenate(filters)
@@ -148,35 +198,34 @@ def _compare(group: pa.Table, first_block: bool, kind: str, threshold: float):
     x /= np.abs(x).max(1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     mult, rep = group.column("mult").to_numpy()[order], group.column("rep").to_numpy()[order]
-    lists = [np.frombuffer(b, np.int64) for b in group.column("fids").take(pa.array(order)).to_pylist()]
-    earlier = [v[: np.searchsorted(v, fid)] for v in lists]
-    width = max((len(v) for v in earlier), default=0)
-    before = np.full((n, width), -1, np.int64)
-    for k, v in enumerate(earlier):
-        before[k, : len(v)] = v
-    # incidence with the distinct earlier filters: two rows met before if their products are not 0
-    names, at = np.unique(before, return_inverse=True)
-    seen = np.zeros((n, len(names)), np.float32)
-    seen[np.repeat(np.arange(n), width), at.ravel()] = 1
-    if len(names) and names[0] == -1:
-        seen[:, 0] = 0
     sorted_block = block[order]
     split = n if first_block else int(np.searchsorted(sorted_block, sorted_block[-1]))
     links, pairs = np.zeros(n, np.int64), []
+    right = np.arange(n) if first_block else np.arange(split, n)
     for lo in range(0, split, 512):
         hi = min(lo + 512, split)
-        right = np.arange(n) if first_block else np.arange(split, n)
         close = x[lo:hi] @ x[right].T >= threshold
         close &= rep[lo:hi, None] != rep[right][None, :]
-        if not close.any():
-            continue
         i, j = np.nonzero(close)
-        i += lo
-        pairs.append((i, right[j]))
-        new = close & (seen[lo:hi] @ seen[right].T == 0)
-        links[lo:hi] += new @ mult[right]
-        if not first_block:
-            links[right] += mult[lo:hi] @ new
+        if len(i):
+            pairs.append((i + lo, right[j]))
+    if pairs:
+        # incidence of the rows in pairs with the earlier filters of several: two rows met before if their products are not 0
+        live = np.unique(np.concatenate([v for p in pairs for v in p]))
+        lists = [np.frombuffer(b, np.int64) for b in group.column("fids").take(pa.array(order[live])).to_pylist()]
+        earlier = [v[: np.searchsorted(v, fid)] for v in lists]
+        names, at, held = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+        at, of = at.ravel(), np.repeat(np.arange(len(live)), [len(v) for v in earlier])
+        column, several = np.cumsum(held > 1) - 1, (held > 1)[at]
+        seen = np.zeros((len(live), int((held > 1).sum())), np.float32)
+        seen[of[several], column[at[several]]] = 1
+        for i, j in pairs:
+            i, j = np.searchsorted(live, i), np.searchsorted(live, j)
+            lo, hi = int(i.min()), int(i.max()) + 1
+            new = (seen[lo:hi] @ seen.T == 0)[i - lo, j]
+            np.add.at(links, live[i[new]], mult[live[j[new]]])
+            if not first_block:
+                np.add.at(links, live[j[new]], mult[live[i[new]]])
     label = rep
     if pairs:
         by_id = np.argsort(rep, kind="stable")

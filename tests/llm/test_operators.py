@@ -292,6 +292,15 @@ def test_embeddings(spark, kind):
     assert embed_dedup.near_embeddings(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("dim", "n"), [(64, 2_000), (64, 100_000), (64, 1_000_000), (64, 10_000_000), (16, 1_000_000), (2, 1_000_000), (1, 1_000_000)])
+def test_isolated_pairs_meet_at_every_number_of_vectors(dim, n):
+    code, rng = embed_dedup.ProductCode(dim, n), np.random.default_rng(7)
+    for rho in (0.9, 0.92, 0.95):
+        (r, f), (q, g) = (code.decode(v) for v in embed_dedup.random_pairs(rng, 1000, dim, rho))
+        met = set(zip(r.tolist(), f.tolist())) & set(zip(q.tolist(), g.tolist()))
+        assert len({row for row, _ in met}) == 1000
+
+
 def test_filter_blocks_compare_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = rng.standard_normal(16) + 0.05 * rng.standard_normal((60, 16))
