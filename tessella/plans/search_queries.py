@@ -106,14 +106,14 @@ def sql_rrf(spark, d, questions=_openings):
 
 @query("rt05_rt11_rerank")
 def rerank(spark, d):
-    """Fused ranks with exact, topical and scope boosts; the corpus is the first line of a document."""
+    """Fused ranks with exact, topical and scope boosts; the corpus is the whole document."""
     n = S.candidates(K)
     fused = S.rrf(_lexical(spark, d, n), _keywords(spark, d, n), "item_id", "doc")
-    docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), F.element_at(F.split("text", "\n"), 1).alias("head"), "source", "lang", T.tokens(F.substring("text", 1, 300)).alias("toks"))
+    docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), "text", "source", "lang")
     q = _questions(spark, d).select("item_id", T.normalise_words(F.col("question")).alias("nq"), T.tokens(F.col("question")).alias("qt"))
-    x = fused.join(docs, "doc").join(F.broadcast(q), "item_id")
+    x = fused.join(docs, "doc").join(F.broadcast(q), "item_id").withColumn("toks", T.tokens(F.col("text")))
     none = F.array().cast("array<string>")
-    exact = S.exact_boost({"corpus": F.col("head"), "label": F.col("source"), "article": F.lit("")}, {"articles": none, "documents": F.slice("qt", 1, 2), "dates": none, "text": F.col("nq")})
+    exact = S.exact_boost({"corpus": F.col("text"), "label": F.col("source"), "article": F.lit("")}, {"articles": none, "documents": F.slice("qt", 1, 2), "dates": none, "text": F.col("nq")})
     topical = S.topical_boost(R.shared_tokens(F.array_distinct("qt"), F.col("toks")), [(F.col("lang") == "en", 0.5), (F.size("toks") < 5, -1.0)])
     scope = F.when(F.col("source") == "src0", -1.5).otherwise(0.0)
     return S.rerank(x, exact, topical, scope, "item_id", "doc", K).select("item_id", "doc", F.round("rerank_score", 9).alias("rerank_score"), "rank")

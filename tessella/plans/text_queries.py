@@ -52,7 +52,7 @@ _EXPAND = [("mail", ["contact", "address"]), ("license|licence", ["license", "ri
 
 @query("sf08_sf09_topical_and_expanded")
 def topical(spark, d):
-    t = T.tokens(F.substring("text", 1, 400))
+    t = T.tokens(F.col("text"))
     return _docs(spark, d).select("doc_id", F.array_join(T.topical_tokens(t, _STOP), " ").alias("topical"), F.size(T.expand_tokens(t, F.col("text"), _EXPAND)).alias("n_expanded"))
 
 
@@ -127,6 +127,12 @@ def slugs(spark, d):
     return _docs(spark, d).select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query("sf25_slugs_whole", r"""
+SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^0-9a-z]+', '-', 'g'), '-') AS slug FROM documents""")
+def whole_slugs(spark, d):
+    return _docs(spark, d).select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 @query("sf28_sf29_hashes", "SELECT doc_id, substr(sha256(text), 1, 16) AS h16, replace(replace(rtrim(base64(encode(source)), '='), '+', '-'), '/', '_') AS id64 FROM documents")
 def hashes(spark, d):
     return _docs(spark, d).select("doc_id", T.short_hash(F.col("text")).alias("h16"), T.base64url(F.col("source")).alias("id64"))

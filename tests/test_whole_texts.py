@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
-from tessella.plans import registry
+from tessella.plans import registry, search_queries, text_queries
 
 FILLER = "plain words that say nothing of note and fill the line up to its end " * 8
 
@@ -29,3 +31,38 @@ def test_late_words_of_a_question_in_answers_topics_and_seeds(spark, late):
     assert [(r.item_id, r.docs) for r in q["rt16_seed_set_whole"](spark, late).collect()] == [(0, "0")]
     assert [r.item_id for r in q["rt15_jn16_answers"](spark, late).collect()] == [0]
     assert [(r.item_id, r.topic) for r in q["rt09_tk06_topic_match"](spark, late).collect()] == [(0, 1)]
+
+
+def words(text):
+    return [t for t in re.sub("[^a-z0-9]+", " ", text.lower()).split() if len(t) > 1]
+
+
+def test_topical_words_and_slugs_of_whole_texts(spark, late):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{late}/documents.parquet").collect()}
+    topical, size = {}, {}
+    for i, text in docs.items():
+        topical[i] = " ".join(dict.fromkeys(t for t in words(text) if len(t) > 2 and t not in text_queries._STOP))
+        more = [a for p, add in text_queries._EXPAND if re.search(p, text) for a in add]
+        size[i] = len(set(words(text) + more))
+    have = registry.queries()["sf08_sf09_topical_and_expanded"](spark, late).collect()
+    assert {r.doc_id: (r.topical, r.n_expanded) for r in have} == {i: (topical[i], size[i]) for i in docs}
+    assert topical[0].endswith("zebra quagga")
+    slugs = {r.doc_id: r.slug for r in registry.queries()["sf25_slugs_whole"](spark, late).collect()}
+    assert slugs == {i: re.sub("[^a-z0-9]+", "-", t.lower()).strip("-") for i, t in docs.items()}
+
+
+def test_rerank_sees_whole_documents(spark, late):
+    n = search_queries.S.candidates(search_queries.K)
+    fused = search_queries.S.rrf(search_queries._lexical(spark, late, n), search_queries._keywords(spark, late, n), "item_id", "doc")
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{late}/documents.parquet").collect()}
+    asked = {r.item_id: r.text for r in spark.read.parquet(f"{late}/benchmark.parquet").collect()}
+    want = {}
+    for r in fused.collect():
+        doc, q = docs[r.doc], words(asked[r.item_id])
+        toks, flat = set(words(doc.text)), " ".join(words(doc.text))
+        exact = (search_queries.S.EXACT["document"] if any(t in flat for t in q[:2]) else 0) + (search_queries.S.EXACT["label"] if doc.source in asked[r.item_id] else 0)
+        topical = 1.4 * min(4, len(set(q) & toks)) + 0.5 * (doc.lang == "en") - (len(words(doc.text)) < 5)
+        w = search_queries.S.WEIGHTS
+        want[r.item_id, r.doc] = round(r.fused + exact * w["exact"] + topical * w["topical"] - 1.5 * (doc.source == "src0") * w["scope"], 9)
+    have = {(r.item_id, r.doc): r.rerank_score for r in registry.queries()["rt05_rt11_rerank"](spark, late).collect()}
+    assert have == pytest.approx(want) and have
