@@ -355,3 +355,12 @@ def looks_like_heading(c: Column) -> Column:
 
 def starts_article(c: Column) -> Column:
     return one_line(c).rlike(r"(?iU)^(article|art\.?|المادة|الفصل)\b")
+
+
+def rewrite_headings(c: Column, aliases: list[tuple[list[str], str]]) -> Column:
+    """Each alias that opens a line, and that a colon or the line's end follows, becomes its target."""
+    out = F.coalesce(c, F.lit(""))
+    for names, target in aliases:
+        for name in names:
+            out = F.regexp_replace(out, rf"(?miU)^\Q{name}\E(?=\s*:|\s*$)", target.replace("\\", r"\\").replace("$", r"\$"))
+    return out

@@ -239,3 +239,16 @@ SELECT doc_id, regexp_matches(trim(regexp_replace(l, '\s+', ' ', 'g')), '^$') AS
 def headings(spark, d):
     line = F.trim(F.element_at(F.split("text", "\n"), 1))
     return _docs(spark, d).select("doc_id", (T.one_line(line) == "").alias("blank"), ((F.upper(line) == line) & (F.lower(line) != line)).alias("upper"))
+
+
+_ALIASES = [(["Short answer", "Useful answer"], "Answer"), (["Foundation", "Basis"], "Basis"), (["Sources", "Source"], "Sources")]
+
+
+@query("sf58_sf60_heading_lines")
+def heading_lines(spark, d):
+    """Every line of every text after the alias rewrite; the line's number begins with 0."""
+    text = T.rewrite_headings(F.col("text"), _ALIASES)
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "l")).withColumn("l", F.trim("l"))
+    upper = (F.upper("l") == F.col("l")) & (F.lower("l") != F.col("l"))
+    return lines.select("doc_id", "line_no", F.col("l").alias("line"), (T.one_line(F.col("l")) == "").alias("blank"), upper.alias("upper"),
+        T.looks_like_heading(F.col("l")).alias("heading"), T.starts_article(F.col("l")).alias("article"))

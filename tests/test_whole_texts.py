@@ -66,3 +66,16 @@ def test_rerank_sees_whole_documents(spark, late):
         want[r.item_id, r.doc] = round(r.fused + exact * w["exact"] + topical * w["topical"] - 1.5 * (doc.source == "src0") * w["scope"], 9)
     have = {(r.item_id, r.doc): r.rerank_score for r in registry.queries()["rt05_rt11_rerank"](spark, late).collect()}
     assert have == pytest.approx(want) and have
+
+
+def test_headings_of_every_line(spark, tmp_path):
+    text = "a plain line\nshort answer : yes\nSource\nSources of it\nCHAPTER ONE\n\nArticle 3 : x\nbasis"
+    spark.createDataFrame([(0, text), (1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(registry.queries()["sf58_sf60_heading_lines"](spark, str(tmp_path)).collect())
+    have = [(r.line, r.blank, r.upper, r.heading, r.article) for r in rows if r.doc_id == 0]
+    assert have == [
+        ("a plain line", False, False, False, False), ("Answer : yes", False, False, False, False), ("Sources", False, False, False, False),
+        ("Sources of it", False, False, False, False), ("CHAPTER ONE", False, True, True, False), ("", True, False, False, False),
+        ("Article 3 : x", False, False, False, True), ("Basis", False, False, False, False),
+    ]
+    assert [(r.doc_id, r.line_no) for r in rows if r.doc_id == 1] == [(1, 0)]
