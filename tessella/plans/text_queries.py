@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.functions.vectors import cosine
+from tessella.functions.vectors import cosine, norm
 from tessella.operators import quality as Q
 from tessella.sources.readers import table
 
@@ -159,6 +159,15 @@ def cosine_to_first(spark, d):
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))  # one stated vector
 
 
+@query("sf32_cosine_to_queries", """
+SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q""")
+def cosine_to_queries(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", norm(F.col("embedding")).alias("n"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("n").alias("nq"))
+    both = e.crossJoin(F.broadcast(q))  # the stated queries, against all rows
+    return both.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q"), F.col("n"), F.col("nq")), 6).alias("cosine"))
+
+
 @query("sf33_overlap_ratio", f"""
 WITH q AS (SELECT list_distinct(list_filter(string_split({_N1.format(c="substr(text, 1, 60)")}, ' '), lambda t: length(t) > 1)) AS toks FROM benchmark WHERE item_id = 0)
 SELECT doc_id, round(len(list_filter(toks, lambda t: contains(n, t))) / len(toks), 6) AS ratio FROM (SELECT doc_id, {N1} AS n FROM documents), q""")
@@ -170,6 +179,17 @@ def overlap(spark, d):
     return n.crossJoin(F.broadcast(q)).select("doc_id", F.round(overlap_ratio(F.col("toks"), F.col("n")), 6).alias("ratio"))  # one stated query
 
 
+@query("sf33_overlap_ratio_to_queries", f"""
+WITH q AS (SELECT item_id, list_distinct(list_filter(string_split({N1}, ' '), lambda t: length(t) > 1)) AS toks FROM benchmark WHERE item_id % 100 = 0)
+SELECT item_id, doc_id, round(len(list_filter(toks, lambda t: contains(n, t))) / len(toks), 6) AS ratio FROM (SELECT doc_id, {N1} AS n FROM documents), q""")
+def overlap_to_queries(spark, d):
+    from tessella.functions.vectors import overlap_ratio
+
+    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select("item_id", T.tokens(F.col("text")).alias("toks"))
+    n = _docs(spark, d).select("doc_id", T.normalise_words(F.col("text")).alias("n"))
+    return n.crossJoin(F.broadcast(q)).select("item_id", "doc_id", F.round(overlap_ratio(F.col("toks"), F.col("n")), 6).alias("ratio"))  # the stated queries
+
+
 @query("sf34_sf35_sf36_labelled_texts", """
 SELECT p_partkey, p_name || chr(10) || 'Brand: ' || p_brand || CASE WHEN p_size > 25 THEN chr(10) || 'Type: ' || p_type ELSE '' END AS labelled,
  p_name || ' — ' || p_brand || ' — art. ' || p_size || CASE WHEN p_size % 2 = 0 THEN ' — p. ' || p_size || '-' || (p_size + 1) ELSE ' — p. ' || p_size END AS citation FROM part""")

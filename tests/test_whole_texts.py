@@ -79,3 +79,14 @@ def test_headings_of_every_line(spark, tmp_path):
         ("Article 3 : x", False, False, False, True), ("Basis", False, False, False, False),
     ]
     assert [(r.doc_id, r.line_no) for r in rows if r.doc_id == 1] == [(1, 0)]
+
+
+def test_every_stated_query_is_scored(spark, tmp_path):
+    words = "a" * 70 + " zebra"
+    spark.createDataFrame([(0, "alpha"), (7, "beta"), (100, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, "alpha zebra")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [0.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    q = registry.queries()
+    assert sorted((r.item_id, r.doc_id, r.ratio) for r in q["sf33_overlap_ratio_to_queries"](spark, str(tmp_path)).collect()) == [(0, 5, 1.0), (100, 5, 0.5)]
+    have = sorted((r.query_id, r.vec_id, r.cosine) for r in q["sf32_cosine_to_queries"](spark, str(tmp_path)).collect())
+    assert have == [(0, 0, 1.0), (0, 1, 0.0), (0, 100, 0.0), (100, 0, 0.0), (100, 1, 1.0), (100, 100, 1.0)]
