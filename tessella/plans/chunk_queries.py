@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -54,6 +56,20 @@ def outline(spark, d):
     return C.outline(table(spark, d, "documents").select("doc_id", F.concat(F.lit("Section "), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("\nplain line")).alias("t")), "doc_id", "t")
 
 
+def _level_sql(level, pattern):
+    """Rows of one pattern of STRUCTURE over the lines l."""
+    flags = "i" if pattern.flags & re.I else "c"
+    groups = ", ".join(f"nullif(trim(regexp_extract(l, '{pattern.pattern}', {g + 1}, '{flags}')), '')" for g in range(pattern.groups))
+    return f"SELECT doc_id, '{level}' AS level, trim(concat_ws(' ', {groups})) AS label FROM l WHERE regexp_matches(l, '{pattern.pattern}', '{flags}')"
+
+
+@query("ch08_document_outline", "WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)))) AS l FROM documents) "
+    + " UNION ".join(_level_sql(*x) for x in C.STRUCTURE))
+def document_outline(spark, d):
+    """The outline of whole texts; the given documents hold no headings of these forms."""
+    return C.outline(table(spark, d, "documents"), "doc_id", "text")
+
+
 @query("ch09_preview")
 def preview(spark, d):
     lines = F.split("text", "\n")

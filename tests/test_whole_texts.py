@@ -90,3 +90,15 @@ def test_every_stated_query_is_scored(spark, tmp_path):
     assert sorted((r.item_id, r.doc_id, r.ratio) for r in q["sf33_overlap_ratio_to_queries"](spark, str(tmp_path)).collect()) == [(0, 5, 1.0), (100, 5, 0.5)]
     have = sorted((r.query_id, r.vec_id, r.cosine) for r in q["sf32_cosine_to_queries"](spark, str(tmp_path)).collect())
     assert have == [(0, 0, 1.0), (0, 1, 0.0), (0, 100, 0.0), (100, 0, 0.0), (100, 1, 1.0), (100, 100, 1.0)]
+
+
+def test_outline_of_whole_documents(spark, tmp_path):
+    import duckdb
+
+    text = "plain\nTITRE I Objet\n" + FILLER + "\nCHAPITRE II Suite\nsection 2 b\nArticle 3 : x\nArticle 3 : y"
+    spark.createDataFrame([(0, text), (1, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    have = {tuple(r) for r in registry.queries()["ch08_document_outline"](spark, str(tmp_path)).collect()}
+    assert have == {(0, "title", "I Objet"), (0, "chapter", "II Suite"), (0, "section", "section 2 b"), (0, "article", "3")}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(con.execute(registry.oracle_sql()["ch08_document_outline"]).fetchall()) == have
