@@ -8,6 +8,7 @@ side never builds one object per word.
 from __future__ import annotations
 
 import gc
+import hashlib
 import time
 import uuid
 
@@ -27,6 +28,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Mask of the first k bytes of a word of 8; bytes from which on a span is digested whole.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_SPAN = 4096
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -131,7 +135,8 @@ def text_blocks(column: pa.Array):
         i = j
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64 and their inverses, for hashes that only choose places."""
     size = max(BLOCK_BYTES, n) + 1
     if size not in _tables:
         _tables.clear()
@@ -152,19 +157,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash() gets the hash of any span of bytes."""
-    pre = np.zeros(len(data) + 1, np.uint64)
-    v = data.astype(np.uint64)
-    v += _U(1)
-    v *= _powers(len(data))[0][: len(data)]
-    np.cumsum(v, out=pre[1:])
-    return pre
-
-
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inv = _powers(len(pre))[1]
-    return mix((pre[end] - pre[start]) * inv[start])
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes: mix() chained over its words of 8 bytes, length first. No sum over
+    powers, whose values agree for some texts whatever the base. Spans above LONG_SPAN are digested whole."""
+    chunks = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    size = end - start
+    h = mix(size.astype(np.uint64) + _BASE)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        left = size[live] - at
+        h[live] = mix(h[live] ^ (chunks[start[live] + at] & _FIRST[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    for k in np.flatnonzero(size > LONG_SPAN):
+        h[k] = np.frombuffer(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "<u8")[0]
+    return h
+
+
+def run_hash(symbols: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of `count` symbols from start, chained like span_hash()."""
+    h = mix(count.astype(np.uint64) + _BASE)
+    live, at = np.flatnonzero(count > 0), 0
+    while len(live):
+        h[live] = mix(h[live] ^ symbols[start[live] + at])
+        at += 1
+        live = live[count[live] > at]
+    return h
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
@@ -181,8 +198,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
     end[:-1] &= ~solid[1:] | cut[1:-1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
     row = np.searchsorted(offs, s, "right") - 1
-    pre = prefix_hash(_LOWER[data] if lower else data)
-    return s, e, row, span_hash(pre, s, e)
+    return s, e, row, span_hash(_LOWER[data] if lower else data, s, e)
 
 
 def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
@@ -190,12 +206,10 @@ def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    mul = _U((0xD6E8FEB86659FD93 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, _U(seed) * _BASE)
     for j in range(k):
-        out *= mul
-        out += h[j : j + n]
-    return mix(out)
+        out = mix(out ^ h[j : j + n])
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, drop_shuffles, fresh_name, materialize, partitions, prefix_hash, release, span_hash, text_blocks
+from .core import arrow_batches, drop_shuffles, fresh_name, materialize, partitions, release, span_hash, text_blocks
 
 LENGTH, SHINGLE = 100, 40
 SPEC = winnow.Windows(LENGTH, SHINGLE, words=False, within=True)
@@ -157,8 +157,7 @@ def _open_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
                     w = np.repeat(np.flatnonzero(hot), n[hot])
                     off = np.arange(len(w)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
                     ws = start[w] + off
-                    pre = prefix_hash(data)
-                    wh = span_hash(pre, offs[row[w]] + ws, offs[row[w]] + ws + LENGTH)
+                    wh = span_hash(data, offs[row[w]] + ws, offs[row[w]] + ws + LENGTH)
                     cold = ~hot
                     h, start, n, row = np.r_[h[cold], wh], np.r_[start[cold], ws], np.r_[n[cold], np.ones(len(w), np.int64)], np.r_[row[cold], row[w]]
                 if not len(h):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import _powers, arrow_batches, mix, partitions, sliding_min, span_hash, text_blocks, words
+from .core import arrow_batches, mix, partitions, powers, run_hash, sliding_min, span_hash, text_blocks, words
 
 #: Segments that a task holds before it sends them on.
 SEND = 400_000
@@ -63,12 +63,12 @@ def segments(spec: Windows, data: np.ndarray, offs: np.ndarray) -> dict[str, np.
     W, k = spec.size, spec.shingle
     if len(sym) < W:
         return {f: np.zeros(0, t) for f, t in (*FIELDS, ("row", np.int64))}
-    powers, inverses = _powers(len(sym))
+    up, down = powers(len(sym))
     pre = np.zeros(len(sym) + 1, np.uint64)
-    np.cumsum(sym * powers[: len(sym)], out=pre[1:])
+    np.cumsum(sym * up[: len(sym)], out=pre[1:])
     g = pre[k:] - pre[:-k]
-    g *= inverses[: len(g)]
-    g = mix(g)
+    g *= down[: len(g)]
+    g = mix(g)  # only chooses anchors: different shingles of equal hash share a group, no more
     # hash and place in one number: the least is the first of the least
     key = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
     at = (sliding_min(key, W - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -80,7 +80,8 @@ def segments(spec: Windows, data: np.ndarray, offs: np.ndarray) -> dict[str, np.
     new = np.r_[True, (at[1:] != at[:-1]) | (st[1:] != st[:-1] + 1)]
     a = np.flatnonzero(new)
     b = np.r_[a[1:], len(st)]
-    s = span_hash(pre, st[a], st[b - 1] + W)
+    begin, size = st[a], st[b - 1] + W - st[a]
+    s = run_hash(sym, begin, size) if spec.words else span_hash(data, begin, begin + size)
     r = row[st[a]]
     return {"h": g[at[a]], "s": s, "row": r, "start": (st[a] - first[r]).astype(np.int32), "n": (b - a).astype(np.uint8)}
 

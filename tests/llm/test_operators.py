@@ -507,3 +507,36 @@ def test_url_filter(spark, per_sweep):
     assert have == {i: brute.judge_url(u, rules) for i, u in enumerate(urls)}
     none = url_filters.url_filter(pages, spark.createDataFrame([], "host string, path string, verdict string"))
     assert {r.verdict for r in none.collect()} == {"allow"}
+
+
+# ---------------------------------------------------------------- hashes
+
+
+def thue_morse(n, zero, one):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+def test_texts_whose_polynomial_hashes_agree_are_told_apart(spark):
+    """Thue-Morse texts and their complements have equal polynomial hashes modulo 2^64 for every base."""
+    one, two = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    rng = random.Random(5)
+    rest = prose(rng, 30).split(" ")
+    docs = [(1, " ".join([*rest[:12], one, *rest[12:]])), (2, " ".join([*rest[:12], two, "other", *prose(rng, 20).split(" ")]))]
+    docs += [(3, one), (4, two), (5, thue_morse(2048, "x ", "y ")), (6, thue_morse(2048, "y ", "x "))]
+    docs += [(7, f"{one} a b c d e f"), (8, f"{two} a b c d e f"), (9, "q" * 5000), (10, "q" * 4999 + "r")]
+    df = frame(spark, docs)
+    assert got(minhash.near_duplicates(df), "n_shingles", "component_id", "kept") == brute.near_duplicates(docs)
+    assert got(substring_dedup.removal_report(df), "n_words", "n_removed", "kept_sha256") == brute.repeated_words(docs)
+    assert got(suffix_dedup.removal_report(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix_report(docs)
+
+
+def test_equal_spans_and_only_they_hash_alike():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 60_000).astype(np.uint8)
+    start = rng.integers(0, 50_000, 20_000)
+    size = np.r_[rng.integers(0, 40, 19_900), rng.integers(4000, 4200, 100)]
+    h = core.span_hash(data, start, start + size)
+    seen = {}
+    for a, n, v in zip(start.tolist(), size.tolist(), h.tolist()):
+        assert seen.setdefault(v, data[a : a + n].tobytes()) == data[a : a + n].tobytes()
+    assert len(seen) == len(set(seen.values()))
