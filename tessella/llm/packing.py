@@ -4,12 +4,16 @@ Documents are tokenised and cut into pieces of at most `size` tokens. The number
 length is a histogram of at most `size` entries, however large the corpus, and the packing of a
 histogram is planned on the driver:
 
-* the configuration linear program (fewest sequences so that each length is covered; a column is
-  a multiset of lengths that fits) is solved by multiplicative weights: prices of lengths that are
-  covered less rise, and a knapsack dynamic program over the capacity finds the configuration of
-  greatest price each round;
-* the fractional plan is rounded down to whole sequences, and what is left goes on being priced
-  the same way with whole steps, then by best fit decreasing.
+* The configuration linear program (fewest sequences so that each length is covered; a column is a
+  multiset of lengths that fits) is solved by multiplicative weights. Each length has a weight; the
+  knapsack dynamic program over the capacity sums, over all configurations, the products of their
+  weights (the soft form of the dearest configuration, which leaves no configuration out), and gives
+  how often a length is used per sequence. Weights of lengths used less than their share of the
+  pieces rise by that ratio, until all are covered within GAP of the bound from the dual prices.
+* Rounding: configurations are drawn from the priced dynamic program (DRAWS at most a round), each a
+  whole number of times, and taken as far as their pieces last; every round takes about half of what
+  is left and prices the rest again, so the rounds grow with the logarithm of the corpus.
+* The last pieces, at most twice as many as there are lengths and a sixteenth of all, go by best fit decreasing.
 
 Pieces then get a rank among those of their length, in two levels (salted counts, then the rank
 within length and salt), and the rank says which sequence and offset the plan gives to the piece.
@@ -31,9 +35,13 @@ from pyspark.sql import functions as F
 from .core import arrow_batches, materialize
 
 SIZE, END_ID = 2048, 0
-SALTS = 64
-#: Price under the best duals from which on a configuration is used.
-TIGHT = 0.99
+#: Pieces of a length that are ranked together.
+PER_SALT = 50_000
+#: Distance from the dual bound at which pricing ends, rounds of it at most; configurations drawn in a round.
+GAP, ROUNDS, DRAWS = 0.005, 60, 2000
+#: Logarithm of the weight that a token has at first (the higher, the less room configurations leave); part of the
+#: way to the wanted usage that a round goes.
+TOKEN, STEP = 0.3, 0.6
 
 
 @cache
@@ -91,93 +99,142 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
 # ---------------------------------------------------------------- the plan
 
 
-def price_configuration(prices: np.ndarray, left: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Lengths, counts and price of the dearest multiset of lengths that fits in size.
-
-    prices[l] is the price of length l (index 0 unused), left[l] how many there are; lengths of
-    which none is left are not used. The dynamic program allows any number of one length.
-    """
-    p = np.where(left > 0, prices, -1.0)
-    best = np.zeros(size + 1)
-    pick = np.zeros(size + 1, np.int64)
-    backwards = p[::-1]  # backwards[size - l] = p[l]
+def dearest(prices: np.ndarray, size: int) -> float:
+    """Price of the dearest multiset of lengths that fits in size; prices[l] is that of length l."""
+    best, backwards = np.zeros(size + 1), prices[::-1]  # backwards[size - l] = prices[l]
     for c in range(1, size + 1):
-        total = best[:c] + backwards[size - c : size]  # best[c - l] + p[l] at index c - l
-        at = int(total.argmax())
-        if total[at] > best[c - 1] + 1e-15:
-            best[c], pick[c] = total[at], c - at
-        else:
-            best[c] = best[c - 1]
-    used, c = {}, size
-    while c > 0:
-        if pick[c]:
-            used[pick[c]] = used.get(pick[c], 0) + 1
-            c -= pick[c]
-        else:
-            c -= 1
-    lengths = np.array(sorted(used, reverse=True), np.int64)
-    return lengths, np.array([used[x] for x in lengths], np.int64), float(best[size])
-
-
-def plan_packing(histogram: dict[int, int], size: int = SIZE, rounds: int = 400, rate: float = 0.5):
-    """Configurations [(lengths, counts, times)] that place exactly the pieces of the histogram,
-    and a lower bound on the number of sequences from the program's dual."""
+        best[c] = max(best[c - 1], (best[:c] + backwards[size - c : size]).max())
+    return float(best[size])
+
+
+class _Priced:
+    """All configurations of lengths, each weighing the product of exp(weights) of its lengths."""
+
+    def __init__(self, lengths: np.ndarray, weights: np.ndarray, size: int):
+        # a factor exp(-tilt) for each token, room included, changes no proportion and keeps sums near 1
+        lo, hi = 0.0, 64.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.logaddexp.reduce(weights - mid * lengths) > 0 else (lo, mid)
+        self.lengths, self.size = lengths, size
+        self.w = np.zeros(size + 1)
+        self.w[lengths] = np.exp(weights - hi * lengths)
+        backwards = self.w[::-1].copy()
+        exact = np.zeros(size + 1)  # sum over the configurations of exactly c tokens
+        exact[0] = 1.0
+        for c in range(1, size + 1):
+            exact[c] = exact[:c] @ backwards[size - c : size]
+        self.exact, self.upto, total = exact, np.empty(size + 1), 0.0  # of at most c tokens
+        for c in range(size + 1):
+            total = total * np.exp(-hi) + exact[c]
+            self.upto[c] = total
+
+    def usage(self) -> np.ndarray:
+        """How often a sequence holds each of the lengths."""
+        both = np.convolve(self.exact, self.upto)[: self.size + 1]
+        used = self.w[self.lengths] * both[self.size - self.lengths] / self.upto[self.size]
+        return np.maximum(used, 1e-290)
+
+    def draw(self, rng, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(configuration, length) of n configurations drawn by their weight."""
+        rest = np.arange(self.size + 1)[:, None] - self.lengths[None, :]
+        ways = np.cumsum(np.where(rest >= 0, self.w[self.lengths][None, :] * self.upto[np.maximum(rest, 0)], 0.0), axis=1)
+        room, live, rows = np.full(n, self.size), np.arange(n), []
+        while len(live):
+            u = rng.random(len(live)) * self.upto[room[live]]
+            goes_on = u < ways[room[live], -1]
+            live, u = live[goes_on], u[goes_on]
+            lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.lengths) - 1)
+            while (lo < hi).any():
+                mid = (lo + hi) // 2
+                below = ways[room[live], mid] <= u
+                lo, hi = np.where(below, mid + 1, lo), np.where(below, hi, mid)
+            rows.append((live, self.lengths[lo]))
+            room[live] -= self.lengths[lo]
+        config, length = (np.concatenate(x) for x in zip(*rows))
+        return config, length
+
+
+def solve_program(need: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, gap: float = GAP) -> tuple[np.ndarray, float, float]:
+    """(weights of the lengths, sequences of the fractional plan, lower bound from the dual prices)."""
+    lengths = np.flatnonzero(need)
+    n = need[lengths].astype(np.float64)
+    weights, bound, value = np.log(n / n.sum()) + TOKEN * lengths, float((n * lengths).sum() / size), np.inf
+    for k in range(rounds):
+        used = _Priced(lengths, weights, size).usage()
+        value = min(value, float((n / used).max()))  # that many sequences cover every length
+        if k % 4 == 0:
+            prices = np.zeros(size + 1)
+            prices[lengths] = np.maximum(weights, 0)
+            bound = max(bound, float((prices[lengths] * n).sum() / dearest(prices, size)) if prices.any() else 0.0)
+        if value <= bound * (1 + gap):
+            break
+        weights += STEP * np.clip(np.log(n / used / bound) - GAP / 2, -64, 64)  # towards a plan that is as good as the bound
+    return weights, value, bound
+
+
+def plan_packing(histogram: dict[int, int], size: int = SIZE):
+    """Configurations [(lengths, counts, times)] that place exactly the pieces of the histogram, a lower
+    bound on the number of sequences from the program's dual, and how many pieces the program placed."""
     need = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
         need[length] = n
     plan: list[tuple[np.ndarray, np.ndarray, int]] = []
     if need[size]:
         plan.append((np.array([size]), np.array([1]), int(need[size])))
-    whole, need = int(need[size]), need.copy()
+    whole, total = int(need[size]), int(need.sum())
     need[size] = 0
-    some = need > 0
-    bound = -(-int((need * np.arange(size + 1)).sum()) // size)
-    ramp = np.arange(size + 1) / size
-    if some.any():
-        # fractional covering by multiplicative weights; `dual` are the prices of the best bound so far
-        covered, x, dual = np.zeros(size + 1), {}, ramp
-        scale = np.maximum(need, 1)
-        for _ in range(rounds):
-            behind = covered / scale
-            prices = np.where(some, ramp * np.exp(-rate * (behind - behind[some].min())), 0.0)
-            lengths, counts, value = price_configuration(prices, need, size)
-            if not len(lengths):
-                break
-            told = int(np.ceil((prices * need).sum() / value * (1 - 1e-9)))
-            if told > bound:
-                bound, dual = told, prices / value
-            step = float((need[lengths] / counts).min())
-            covered[lengths] += step * counts
-            key = (tuple(lengths), tuple(counts))
-            x[key] = x.get(key, 0.0) + step
-        # rounding: of the configurations whose price is about 1 (those that a best plan may use), each a
-        # whole number of times, as long as its pieces last
-        most = max(1.0, float((covered[some] / need[some]).max()))
-        left = need.copy()
-        worth = lambda ls, cs: float((dual[ls] * cs).sum())
-        for (lengths, counts), times in sorted(x.items(), key=lambda kv: (-worth(np.array(kv[0][0]), np.array(kv[0][1])), -kv[1])):
-            ls, cs = np.array(lengths), np.array(counts)
-            k = int(min(np.floor(times / most), (left[ls] // cs).min()))
-            if k and worth(ls, cs) >= TIGHT:
-                plan.append((ls, cs, k))
-                left[ls] -= k * cs
-        # the remainder, priced with the same duals (lengths of which more is left first) in whole steps
-        for _ in range(4 * size):
-            if not left.any():
-                break
-            prices = np.where(left > 0, dual * (1 + 1e-3 * left / scale), 0.0)
-            lengths, counts, _v = price_configuration(prices, left, size)
-            k = int((left[lengths] // counts).min())
-            if not k or worth(lengths, counts) < TIGHT:
+    if not need.any():
+        return plan, whole, total
+    weights = np.zeros(size + 1)
+    weights[np.flatnonzero(need)], _, bound = solve_program(need, size)
+    left, most, strict, rng = need.copy(), 2 * np.count_nonzero(need), True, np.random.default_rng(7)
+    while left.sum() > min(most, max(total // 16, 64)):
+        lengths = np.flatnonzero(left)
+        for _ in range(3):  # prices of what is left
+            priced = _Priced(lengths, weights[lengths], size)
+            used = priced.usage()
+            about = float((left[lengths] * lengths).sum() / (used * lengths).sum())
+            weights[lengths] += STEP * np.clip(np.log(left[lengths] / (used * about)), -64, 64)
+        priced = _Priced(lengths, weights[lengths], size)
+        n = int(min(max(about / 2, 16), DRAWS))
+        times = max(1, int(about / 2 / n))
+        # where the tokens are what binds, only configurations that leave no room are taken
+        full = strict and about <= (left * np.arange(size + 1)).sum() / size * 1.02
+        config, length = priced.draw(rng, 3 * n if full else n)
+        if full:
+            room = size - np.bincount(config, length, minlength=3 * n)
+            keep = (np.cumsum(room == 0) <= n) & (room == 0)
+            config, length = config[keep[config]], length[keep[config]]
+        key, counts = np.unique(config * (size + 1) + length, return_counts=True)
+        config, length = key // (size + 1), key % (size + 1)
+        # a configuration is taken if its pieces are there after those before it
+        order = np.lexsort((config, length))
+        wanted = counts[order] * times
+        sums = np.cumsum(wanted)
+        first = np.r_[True, np.diff(length[order]) != 0][: len(order)]
+        sums -= np.maximum.accumulate(np.where(first, sums - wanted, 0))
+        lacks = np.unique(config[order][sums > left[length[order]]])
+        some = ~np.isin(config, lacks)
+        config, length, counts = config[some], length[some], counts[some]
+        if not len(config):
+            if not full:
                 break
-            plan.append((lengths, counts, k))
-            left[lengths] -= k * counts
-        plan += _best_fit(left, size)
-    return plan, bound + whole
+            strict = False  # the room of what is left can't be filled any more
+            continue
+        left -= np.bincount(length, counts * times, minlength=size + 1).astype(np.int64)
+        edge = np.flatnonzero(np.r_[True, np.diff(config) != 0, True])
+        same: dict[tuple, int] = {}
+        for a, b in zip(edge, edge[1:]):
+            key = (tuple(length[a:b][::-1].tolist()), tuple(counts[a:b][::-1].tolist()))
+            same[key] = same.get(key, 0) + times
+        plan += [(np.array(ls), np.array(cs), k) for (ls, cs), k in same.items()]
+    return plan + _best_fit(left, size), whole + int(np.ceil(bound - 1e-6)), total - int(left.sum())
 
 
 def _best_fit(left: np.ndarray, size: int):
-    """Best fit decreasing: each piece, longest first, into the fullest sequence that has room."""
+    """Best fit decreasing: each piece, longest first, into the fullest sequence that has room; the pieces
+    are few (see plan_packing)."""
     room: list[list[int]] = [[] for _ in range(size + 1)]  # open sequences by free room
     made: list[dict[int, int]] = []
     open_rooms = np.zeros(size + 1, bool)
@@ -237,25 +294,28 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces (a written table with a length column) with sequence_id and offset."""
     spark = pieces.sparkSession
     names = pieces.columns
-    salt = F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("_salt", salt)
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # at most size * SALTS rows
-    histogram: dict[int, int] = {}
-    base = np.zeros((size + 1, SALTS), np.int64)
-    for length, s, n in sorted(map(tuple, counts)):
-        base[length, s] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
-    plan, _ = plan_packing(histogram, size)
-    places = spark.sparkContext.broadcast((_Places(plan), base))  # bounded by size, not by the corpus
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most size rows
+    salts = spark.createDataFrame([(k, -(-n // PER_SALT)) for k, n in sorted(histogram.items())], "length long, _salts long")
+    # one group for every PER_SALT pieces, so that a length that very many pieces have is ranked by many tasks
+    salted = pieces.join(F.broadcast(salts), "length").select(*names, F.pmod(F.xxhash64(*names), F.col("_salts")).cast("int").alias("_salt"))
+    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # size rows, and one for PER_SALT pieces
+    base: dict[int, np.ndarray] = {k: np.zeros(-(-n // PER_SALT), np.int64) for k, n in histogram.items()}
+    for length, salt, n in counts:
+        base[length][salt] = n
+    base = {k: np.cumsum(v) - v for k, v in base.items()}
+    plan, _, _ = plan_packing(histogram, size)
+    places = spark.sparkContext.broadcast((_Places(plan), base))  # grows with the rounds of the plan only
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*names)) - 1)
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
     def run(batches):
         plan, base = places.value
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False) + base[length, batch.column("_salt").to_numpy(zero_copy_only=False)]
-            seq, off = plan.of(length, rank)
+            length, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_salt", "_rank"))
+            at = np.zeros(len(length), np.int64)
+            for k in np.unique(length).tolist():
+                at[length == k] = base[k][salt[length == k]]
+            seq, off = plan.of(length, at + rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, schema)

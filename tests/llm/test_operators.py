@@ -131,7 +131,7 @@ def test_plan_places_exactly_the_histogram():
         for _ in range(n):
             k = rng.choice([rng.randrange(1, size + 1), size // 2 + 1, size // 3])
             hist[k] = hist.get(k, 0) + 1
-        plan, bound = packing.plan_packing(hist, size, rounds=60)
+        plan, bound, _ = packing.plan_packing(hist, size)
         placed = {}
         for lengths, counts, times in plan:
             assert (lengths * counts).sum() <= size
@@ -146,14 +146,60 @@ def test_plan_places_exactly_the_histogram():
         assert bound <= used <= best_fit * 1.015 + 1
 
 
-def test_plan_reaches_the_bound_on_mixed_lengths():
+def histogram(draw, n):
+    out = {}
+    for _ in range(n):
+        k = draw()
+        out[k] = out.get(k, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize(("name", "above"), [("lognormal", 1.002), ("large", 1.002), ("middle", 1.002), ("mixed", 1.05)])
+def test_program_places_most_pieces_near_its_bound(name, above):
     rng = random.Random(9)
-    hist = {}
-    for _ in range(6000):
-        k = min(256, int(rng.lognormvariate(4, 1)) + 1)
-        hist[k] = hist.get(k, 0) + 1
-    plan, bound = packing.plan_packing(hist, 256)
-    assert sum(t for _, _, t in plan) <= bound * 1.002 + 1
+    draw = {
+        "lognormal": lambda: min(2048, int(rng.lognormvariate(6, 1)) + 1), "large": lambda: rng.randrange(1100, 2048),
+        "middle": lambda: rng.randrange(690, 1001), "mixed": lambda: rng.choice([rng.randrange(1, 2049), rng.randrange(600, 800)]),
+    }[name]
+    one = histogram(draw, 20_000)
+    for times in (1, 1000):
+        hist = {k: n * times for k, n in one.items()}
+        plan, bound, placed = packing.plan_packing(hist)
+        done = {}
+        for lengths, counts, n in plan:
+            assert (lengths * counts).sum() <= 2048
+            for a, b in zip(lengths.tolist(), counts.tolist()):
+                done[a] = done.get(a, 0) + b * n
+        assert done == hist
+        assert placed >= 0.9 * sum(hist.values())
+        assert bound <= sum(n for _, _, n in plan) <= bound * above + 2
+        assert len(plan) < 40_000  # the plan does not grow with the pieces
+
+
+def test_program_is_solved_to_its_gap():
+    need = np.zeros(2049, np.int64)
+    rng = random.Random(4)
+    for k, n in histogram(lambda: min(2047, int(rng.lognormvariate(6, 1)) + 1), 30_000).items():
+        need[k] = n
+    _, value, bound = packing.solve_program(need)
+    assert bound <= value <= bound * 1.01
+
+
+def test_hot_lengths_are_ranked_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_SALT", 7)
+    rows = [(i, 0, 0, rng, i) for i in range(200) for rng in (256, 100 + i % 3)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    seqs = {}
+    for r in packing.pack(pieces, 256).collect():
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(map(len, seqs.values())) == 400
+    for parts in seqs.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(seqs) <= 200 + 100 + 1
 
 
 # ---------------------------------------------------------------- 2 fingerprints
