@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -49,18 +47,12 @@ def enriched(spark, d):
     return out.select("doc_id", "chunk_no", "summary", *[F.array_join(c, "|").alias(c) for c in ("obligations", "deadlines", "topics", "keywords")], "language")
 
 
-@query("ch08_outline", """
-SELECT DISTINCT doc_id, 'section' AS level, trim(regexp_extract(l, '(?i)^(SECTION|SOUS-SECTION)\\s+([IVXLC\\d]+)\\s*(.*)$', 1)) || ' ' || regexp_extract(l, '(?i)^(SECTION|SOUS-SECTION)\\s+([IVXLC\\d]+)\\s*(.*)$', 2) AS label
-FROM (SELECT doc_id, 'Section ' || (doc_id % 3 + 1) AS l FROM documents)""")
-def outline(spark, d):
-    return C.outline(table(spark, d, "documents").select("doc_id", F.concat(F.lit("Section "), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("\nplain line")).alias("t")), "doc_id", "t")
-
-
-def _level_sql(level, pattern):
+def _level_sql(level, folds, pattern):
     """Rows of one pattern of STRUCTURE over the lines l."""
-    flags = "i" if pattern.flags & re.I else "c"
-    groups = ", ".join(f"nullif(trim(regexp_extract(l, '{pattern.pattern}', {g + 1}, '{flags}')), '')" for g in range(pattern.groups))
-    return f"SELECT doc_id, '{level}' AS level, trim(concat_ws(' ', {groups})) AS label FROM l WHERE regexp_matches(l, '{pattern.pattern}', '{flags}')"
+    flags = "c" if folds else "i"
+    count = pattern.count("(") - pattern.count("(?")
+    groups = ", ".join(f"nullif(trim(regexp_extract(l, '{pattern}', {g + 1}, '{flags}')), '')" for g in range(count))
+    return f"SELECT doc_id, '{level}' AS level, trim(concat_ws(' ', {groups})) AS label FROM l WHERE regexp_matches(l, '{pattern}', '{flags}')"
 
 
 @query("ch08_document_outline", "WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)))) AS l FROM documents) "
@@ -82,7 +74,8 @@ def top_words(spark, d):
 
 
 @query("ag17_distinct_ignoring_case", """
-SELECT p_partkey, p_brand AS names FROM part""")
+SELECT p_partkey, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), ',') AS names
+FROM (SELECT p_partkey, string_split(p_name || ' ' || upper(p_type) || ' ' || p_type || ' ' || p_brand || ' ' || lower(p_brand), ' ') AS w FROM part)""")
 def distinct_ignoring_case(spark, d):
-    names = T.distinct_texts_ci(F.array("p_brand", F.upper("p_brand"), F.lower("p_brand")))
-    return table(spark, d, "part").select("p_partkey", F.array_join(names, ",").alias("names"))
+    words = F.split(F.concat_ws(" ", "p_name", F.upper("p_type"), "p_type", "p_brand", F.lower("p_brand")), " ")
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.distinct_texts_ci(words), ",").alias("names"))
