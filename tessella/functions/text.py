@@ -122,8 +122,8 @@ def many_lines(c: Column, size: int) -> Column:
 
 
 def clip(c: Column, size: int, mark: str = "…") -> Column:
-    """At most `size` characters, the mark included."""
-    return F.when(F.length(c) > size, F.concat(F.rtrim(F.substring(c, 1, size - len(mark))), F.lit(mark))).otherwise(c)
+    """Texts of more than `size` characters: the first size - 1, trimmed, and the mark (whatever its length)."""
+    return F.when(F.length(c) > size, F.concat(F.trim(F.substring(c, 1, size - 1)), F.lit(mark))).otherwise(c)
 
 
 def slug(c: Column, joiner: str = "-", keep_arabic: bool = False) -> Column:
@@ -133,10 +133,9 @@ def slug(c: Column, joiner: str = "-", keep_arabic: bool = False) -> Column:
 
 
 def strip_markdown(c: Column) -> Column:
-    """Emphasis, code, list and heading marks out, then links to their text."""
-    x = F.regexp_replace(c, r"[*_`~#>]", "")
-    x = F.regexp_replace(x, r"(?m)^\s*-\s+", "")
-    x = F.regexp_replace(x, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    """Runs of emphasis, code, heading, quote and list marks become a space, then links their text."""
+    x = F.regexp_replace(F.coalesce(c, F.lit("")), r"[*_`#>-]+", " ")
+    x = F.regexp_replace(x, r"\[([^\n\r]*?)\]\([^\n\r]*?\)", "$1")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
@@ -172,9 +171,9 @@ def distinct_texts(values: Column) -> Column:
 
 
 def distinct_texts_ci(values: Column) -> Column:
-    """First of those equal but for case."""
-    none = F.array().cast("array<string>")
-    return F.aggregate(values, none, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    """First of those equal but for case, in order."""
+    low = F.transform(values, lambda x: F.lower(x))
+    return F.filter(values, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
 
 def sentences(c: Column) -> Column:
@@ -195,6 +194,35 @@ def find_all(c: Column, patterns: list[tuple[str, int]], most: int | None = None
     return out if most is None else F.slice(out, 1, most)
 
 
+# fixed values: letters of a keyword, references of one text to another
+LETTERS = "[A-Za-zÀ-ÿ؀-ۿ]"
+CROSS_REFERENCES = [
+    r"article\s+(premier|1er|\d+)",
+    r"art\.\s*(premier|1er|\d+)",
+    r"المادة\s+([0-9٠-٩]+)",
+    r"loi\s+n[°º]?\s*[\d\.-]+",
+    r"dahir\s+n[°º]?\s*[\d\.-]+",
+    r"décret\s+n[°º]?\s*[\d\.-]+",
+    r"مرسوم\s+رقم\s+[\d\.-]+",
+    r"ظهير\s+شريف\s+رقم\s+[\d\.-]+",
+]
+
+
+def cross_references(c: Column, most: int = 20) -> Column:
+    """Distinct references to articles and laws, in order of pattern, then place."""
+    return find_all(c, [("(?iu)" + p, 0) for p in CROSS_REFERENCES], most)
+
+
+def keyword_set(topics: Column, translated: Column, title: Column, path: Column, article: Column, text: Column, most: int = 30) -> Column:
+    """Sorted keywords of at most 80 characters: topics and their translations, letter runs of three and more of
+    title and path, of four and more of the first 300 characters of the text, and the article by two names."""
+    none = F.array().cast("array<string>")
+    runs = lambda c, n: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"{LETTERS}{{{n},}}"), 0), lambda x: F.lower(x))
+    named = F.when(article != "", F.array(F.concat(F.lit("article "), article), F.concat(F.lit("المادة "), article))).otherwise(none)
+    every = F.concat(F.coalesce(topics, none), F.coalesce(translated, none), runs(title, 3), runs(path, 3), named, runs(F.substring(text, 1, 300), 4))
+    return F.slice(F.array_sort(F.array_distinct(F.filter(every, lambda k: k.isNotNull() & (k != "") & (F.length(k) <= 80)))), 1, most)
+
+
 def first_rule(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """Label of the first rule whose text c contains."""
     out = F.lit(default)
@@ -219,10 +247,10 @@ def first_match(c: Column, patterns: list[tuple[str, int]]) -> Column:
 
 
 def script_language(c: Column, least: int = 20) -> Column:
-    """ar, fr or unknown by the number of letters of each script; mixed text goes to the more frequent."""
-    ar = F.regexp_count(c, F.lit(r"[؀-ۿ]"))
-    la = F.regexp_count(c, F.lit(r"[A-Za-zÀ-ÿ]"))
-    return F.when((ar > least) & (ar > la), "ar").when(la > least, "fr").otherwise("unknown")
+    """ar, fr, mixed or unknown: more than `least` Arabic characters, letters before them in Unicode, both, none."""
+    ar = F.regexp_count(c, F.lit(r"[\x{0600}-\x{06FF}]")) > least
+    la = F.regexp_count(c, F.lit(r"[\p{L}&&[\x{0000}-\x{05FF}]]")) > least
+    return F.when(ar & la, "mixed").when(ar, "ar").when(la, "fr").otherwise("unknown")
 
 
 def letter_language(c: Column, spanish_first: bool = True) -> Column:
@@ -289,16 +317,17 @@ def token_payload(token: Column, secret: str, now: int) -> Column:
 
 
 def xor_hash32(c: Column) -> Column:
-    """Hash of a string: h = (h * 33) xor code, in 32 bits, from 5381."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    step = lambda h, x: F.bitwiseXOR(F.pmod(h * 33, F.lit(1 << 32)), x) if hasattr(F, "bitwiseXOR") else F.pmod(h * 33, F.lit(1 << 32)).bitwiseXOR(x)
-    return F.aggregate(codes, F.lit(5381).cast("long"), step)
+    """Hash of a string in hex: h = (h * 33) xor code, in 32 bits, from 5381, over its UTF-16 units."""
+    units = F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-16BE"))
+    codes = F.transform(F.filter(F.split(F.regexp_replace(units, "(.{4})", "$1 "), " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
+    h = F.aggregate(codes, F.lit(5381).cast("long"), lambda h, x: F.pmod(h * 33, F.lit(1 << 32)).bitwiseXOR(x))
+    return F.lower(F.hex(h))
 
 
 def hash_vector(c: Column, size: int = 64) -> Column:
-    """Deterministic unit vector from SHA-256 digests, rounded to six places."""
-    hexes = F.concat(*[F.sha2(F.concat(c, F.lit(f":{k}")), 256) for k in range((size + 31) // 32)])
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    """Deterministic unit vector: the bytes of the SHA-256 digest, over and over, as numbers from -1 to 1; six places."""
+    digest = F.sha2(c, 256)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0)
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(raw, lambda x: F.round(x / norm, 6))
 

@@ -177,14 +177,36 @@ def segments(df: DataFrame, by: list[str], order: list, boundary: Column, out: s
     return df.withColumn(out, F.sum(F.when(boundary, 1).otherwise(0)).over(w))
 
 
-def unique_slugs(df: DataFrame, slug: str, order: list) -> DataFrame:
-    """slug, made unique with -2, -3, ... in order; a suffix that some row has by nature is skipped."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    numbered = df.withColumn("_n", n)
-    taken = df.select(F.col(slug).alias("_taken")).distinct()
-    first = numbered.withColumn("unique_id", F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("_n").cast("string"))))
-    clash = first.join(taken, (first.unique_id == taken._taken) & (first._n > 1), "left")
-    return clash.withColumn("unique_id", F.when(F.col("_taken").isNotNull(), F.concat("unique_id", F.lit("-"), F.substring(F.sha2("unique_id", 256), 1, 6))).otherwise(F.col("unique_id"))).drop("_n", "_taken")
+def unique_slugs(df: DataFrame, slug: str, order: list[str]) -> DataFrame:
+    """unique_id: row by row in order, the slug, or the first of slug-1, slug-2, ... that no row before took.
+
+    Within a slug that is a row number. Only where a numbered form is itself the slug of some row do rows of
+    different slugs meet; just those slugs are counted through row by row, by the slug without its numbers.
+    """
+    numbered = r"-[1-9][0-9]*$"
+    slugs = df.select(F.col(slug).alias("_slug")).distinct()
+    up = slugs.where(F.col("_slug").rlike(numbered)).select(F.col("_slug").alias("_low"), F.regexp_replace("_slug", numbered, "").alias("_slug"))
+    pairs = up.join(slugs, "_slug", "left_semi")
+    meets = pairs.select("_slug").union(pairs.select("_low")).distinct()
+    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order)) - 1
+    plain = df.join(meets, F.col(slug) == meets._slug, "left_anti")
+    plain = plain.withColumn("unique_id", F.when(n == 0, F.col(slug)).otherwise(F.concat_ws("-", slug, n.cast("string"))))
+    shared = df.join(meets, F.col(slug) == meets._slug, "left_semi").withColumn("_root", F.regexp_replace(slug, r"(-[1-9][0-9]*)+$", ""))
+
+    def through(pdf):
+        pdf = pdf.sort_values(order, kind="stable")
+        taken, free_from, out = set(), {}, []
+        for s in pdf[slug]:
+            k = free_from.get(s, 0)
+            while (name := f"{s}-{k}" if k else s) in taken:
+                k += 1
+            free_from[s] = k + 1
+            taken.add(name)
+            out.append(name)
+        return pdf.drop(columns="_root").assign(unique_id=out)
+
+    schema = plain.schema
+    return plain.unionByName(shared.groupBy("_root").applyInPandas(through, schema))
 
 
 def fit_budget(blocks: Column, budget: int, joint: int = 2) -> Column:

@@ -368,8 +368,8 @@ def look_back(spark, d):
 
 
 @query("sf26_unique_ids", """
-SELECT p_partkey, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS unique_id
-FROM (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS n FROM (SELECT p_partkey, regexp_replace(lower(p_brand), '[^0-9a-z]+', '-', 'g') AS slug FROM part))""")
+SELECT p_partkey, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS unique_id
+FROM (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) - 1 AS n FROM (SELECT p_partkey, regexp_replace(lower(p_brand), '[^0-9a-z]+', '-', 'g') AS slug FROM part))""")
 def unique_ids(spark, d):
     df = table(spark, d, "part").select("p_partkey", T.slug(F.col("p_brand")).alias("slug"))
     return R.unique_slugs(df, "slug", ["p_partkey"]).select("p_partkey", "unique_id")

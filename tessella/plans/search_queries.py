@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -11,14 +9,13 @@ from tessella.operators import relational as R
 from tessella.operators import retrieval as S
 from tessella.sources.readers import table
 
-from .registry import QUERIES, query
-from .text_queries import N1, _N1
+from .registry import query
+from .text_queries import N1
 
 K = 4
-#: The SQL asks the first 60 characters of each benchmark item; the queries named _whole ask the whole item.
 _BASE = f"""
 WITH d AS (SELECT doc_id AS doc, list_filter(string_split({N1}, ' '), lambda t: length(t) > 1) AS toks FROM documents),
-q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split({_N1.format(c="substr(text, 1, 60)")}, ' '), lambda t: length(t) > 1))) AS term FROM benchmark),
+q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split({N1}, ' '), lambda t: length(t) > 1))) AS term FROM benchmark),
 tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(toks) AS term FROM d) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 st AS (SELECT count(*) AS n_docs, avg(greatest(len(toks), 1)) AS avg_len FROM d),
@@ -38,18 +35,13 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
 
 
-def _openings(spark, d):
-    """The questions of _BASE."""
-    return _questions(spark, d).withColumn("question", F.substring("question", 1, 60))
-
-
-def _lexical(spark, d, n, questions=_questions):
-    scores = S.bm25(_docs(spark, d), questions(spark, d), "doc_id", "text", "item_id", "question")
+def _lexical(spark, d, n):
+    scores = S.bm25(_docs(spark, d), _questions(spark, d), "doc_id", "text", "item_id", "question")
     return S.ranked(scores.withColumn("score", F.round("score", 6)), "item_id", "doc", n)
 
 
-def _keywords(spark, d, n, questions=_questions):
-    return S.ranked(S.token_hits(_docs(spark, d), questions(spark, d), "doc_id", "text", "item_id", "question"), "item_id", "doc", n)
+def _keywords(spark, d, n):
+    return S.ranked(S.token_hits(_docs(spark, d), _questions(spark, d), "doc_id", "text", "item_id", "question"), "item_id", "doc", n)
 
 
 @query("ag06_term_stats", f"""
@@ -61,8 +53,8 @@ def term_stats(spark, d):
 
 
 @query("rt01_tk09_bm25_topk", _BASE + "SELECT item_id, doc, score, rank FROM lex WHERE rank <= 20")
-def bm25_topk(spark, d, questions=_openings):
-    return _lexical(spark, d, 20, questions).select("item_id", "doc", "score", "rank")
+def bm25_topk(spark, d):
+    return _lexical(spark, d, 20).select("item_id", "doc", "score", "rank")
 
 
 @query("rt02_wn01_jn15_vector_topk", """
@@ -89,18 +81,18 @@ fused AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc, b.do
   coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS fused
   FROM (SELECT * FROM lex WHERE rank <= 20) a FULL JOIN (SELECT * FROM kw WHERE rank <= 20) b ON a.item_id = b.item_id AND a.doc = b.doc)
 SELECT item_id, doc, left_rank, right_rank, round(fused, 9) AS fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(fused, 9) DESC, doc) AS rank FROM fused) WHERE rank <= {K}""")
-def hybrid_rrf(spark, d, questions=_openings):
+def hybrid_rrf(spark, d):
     """JN07, RT04, RT11: the flagship, lexical and keyword ranks fused for all questions in one job."""
     n = S.candidates(K)
-    fused = S.rrf(_lexical(spark, d, n, questions), _keywords(spark, d, n, questions), "item_id", "doc").withColumn("fused", F.round("fused", 9))
+    fused = S.rrf(_lexical(spark, d, n), _keywords(spark, d, n), "item_id", "doc").withColumn("fused", F.round("fused", 9))
     return S.ranked(fused, "item_id", "doc", K, "fused").select("item_id", "doc", "left_rank", "right_rank", "fused", "rank")
 
 
 @query("rt12_jn01_wn02_sql_rrf", _BASE + """
 SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc, b.doc) AS doc, round(1.0 / (60 + coalesce(a.rank, 1000)) + 1.0 / (60 + coalesce(b.rank, 1000)), 9) AS fused
   FROM (SELECT * FROM lex WHERE rank <= 32) a FULL JOIN (SELECT * FROM kw WHERE rank <= 32) b ON a.item_id = b.item_id AND a.doc = b.doc""")
-def sql_rrf(spark, d, questions=_openings):
-    fused = S.rrf(_lexical(spark, d, 8 * K, questions), _keywords(spark, d, 8 * K, questions), "item_id", "doc", missing_rank=1000)
+def sql_rrf(spark, d):
+    fused = S.rrf(_lexical(spark, d, 8 * K), _keywords(spark, d, 8 * K), "item_id", "doc", missing_rank=1000)
     return fused.select("item_id", "doc", F.round("fused", 9).alias("fused"))
 
 
@@ -170,7 +162,7 @@ def all_tokens(spark, d):
 
 @query("rt15_jn16_answers")
 def answers(spark, d):
-    top = _lexical(spark, d, 3).join(_docs(spark, d).select(F.col("doc_id").alias("doc"), "source", F.substring("text", 1, 80).alias("t")), "doc")
+    top = _lexical(spark, d, 3).join(_docs(spark, d).select(F.col("doc_id").alias("doc"), "source", T.one_line(F.col("text"), 280).alias("t")), "doc")
     line = F.concat(F.lit("[R"), F.col("rank").cast("string"), F.lit("] "), "t")
     body = S.assemble(top, "item_id", ["rank"], line, 400)
     names = top.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source"))).alias("n"))
@@ -178,11 +170,7 @@ def answers(spark, d):
 
 
 @query("rt16_seed_set", _BASE + "SELECT item_id, array_to_string(list(doc ORDER BY rank), ',') AS docs, CASE WHEN max(score) > 20 THEN 'low' ELSE 'high' END AS risk FROM lex WHERE rank <= 4 GROUP BY 1")
-def seed_set(spark, d, questions=_openings):
-    g = _lexical(spark, d, 4, questions).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc"))).alias("x"), F.max("score").alias("m"))
+def seed_set(spark, d):
+    g = _lexical(spark, d, 4).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc"))).alias("x"), F.max("score").alias("m"))
     return g.select("item_id", F.array_join(F.transform("x", lambda v: v["doc"].cast("string")), ",").alias("docs"), F.when(F.col("m") > 20, "low").otherwise("high").alias("risk"))
 
-
-for _name in ("hybrid_rrf", "rt01_tk09_bm25_topk", "rt12_jn01_wn02_sql_rrf", "rt16_seed_set"):
-    _f, _sql = QUERIES[_name]
-    query(f"{_name}_whole", _sql.replace("substr(text, 1, 60)", "text"))(functools.partial(_f, questions=_questions))

@@ -56,16 +56,30 @@ def topical(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(T.topical_tokens(t, _STOP), " ").alias("topical"), F.size(T.expand_tokens(t, F.col("text"), _EXPAND)).alias("n_expanded"))
 
 
-@query("sf10_sf11_sf46_references", r"""
-SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')), ' ') IS NOT NULL AS has_list,
- len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS n_mails,
- coalesce(nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), ''), '-') AS first_mail,
- len(list_distinct(regexp_extract_all(text, '\b\d{3}-\d{4}\b'))) AS n_numbers FROM documents""")
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@query("sf10_sf46_references", rf"""
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '{_MAIL}'))), ' ') AS mails,
+ coalesce(nullif(regexp_extract(text, '{_MAIL}'), ''), '-') AS first_mail,
+ len(list_distinct(regexp_extract_all(coalesce(text, ''), '\b\d{{3}}-\d{{4}}\b'))) AS n_numbers FROM documents""")
 def references(spark, d):
-    mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    found = T.find_all(F.col("text"), [(mail, 0)])
-    return _docs(spark, d).select("doc_id", F.array_join(found, " ").isNotNull().alias("has_list"), F.size(found).cast("long").alias("n_mails"),
-        F.coalesce(T.first_match(F.col("text"), [(mail, 0)]), F.lit("-")).alias("first_mail"), F.size(T.find_all(F.col("text"), [(r"\b\d{3}-\d{4}\b", 0)])).cast("long").alias("n_numbers"))
+    found = T.find_all(F.col("text"), [(_MAIL, 0)])
+    return _docs(spark, d).select("doc_id", F.array_join(F.array_sort(found), " ").alias("mails"),
+        F.coalesce(T.first_match(F.col("text"), [(_MAIL, 0)]), F.lit("-")).alias("first_mail"), F.size(T.find_all(F.col("text"), [(r"\b\d{3}-\d{4}\b", 0)])).cast("long").alias("n_numbers"))
+
+
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS p, unnest(regexp_extract_all(t, '(?i){p}')) AS r, generate_subscripts(regexp_extract_all(t, '(?i){p}'), 1) AS k FROM t" for i, p in enumerate(T.CROSS_REFERENCES))
+
+
+@query("sf11_cross_references", rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, p, k, trim(regexp_replace(regexp_replace(r, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS r FROM ({_FOUND})),
+o AS (SELECT doc_id, r, min(p * 1000000 + k) AS k FROM f GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM o)
+SELECT doc_id, coalesce(string_agg(r, '|' ORDER BY k), '') AS refs FROM documents LEFT JOIN (SELECT * FROM n WHERE n <= 20) USING (doc_id) GROUP BY 1""")
+def cross_references(spark, d):
+    """References between texts; the given documents hold none of these forms."""
+    return _docs(spark, d).select("doc_id", F.array_join(T.cross_references(F.col("text")), "|").alias("refs"))
 
 
 @query("sf12_sf13_sf14_sentences")
@@ -75,17 +89,22 @@ def sentence_lines(spark, d):
         F.array_join(T.find_all(c, [(r"(?i)\b\d+\s+(?:days|months|years)\b", 0), (r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", 0)], 8), "|").alias("deadlines"))
 
 
-@query("sf15_sf16_sf42_summaries", r"""
-SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 280) AS summary,
- CASE WHEN length(text) > 40 THEN rtrim(substr(text, 1, 39)) || '…' ELSE text END AS clipped FROM documents""")
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[*_`#>-]+', ' ', 'g'), '\[([^\n\r]*?)\]\([^\n\r]*?\)', '\1', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("sf15_sf16_sf42_summaries", rf"""
+SELECT doc_id, substr(one, 1, 280) AS summary, CASE WHEN length(plain) > 40 THEN trim(substr(plain, 1, 39)) || '…' ELSE plain END AS clipped,
+ CASE WHEN length(substr(one, 1, 60)) > 40 THEN trim(substr(one, 1, 39)) || '...' ELSE substr(one, 1, 60) END AS dotted
+FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS one, {_PLAIN} AS plain FROM documents)""")
 def summaries(spark, d):
-    return _docs(spark, d).select("doc_id", T.one_line(F.col("text"), 280).alias("summary"), T.clip(F.col("text"), 40).alias("clipped"))
+    c = F.col("text")
+    return _docs(spark, d).select("doc_id", T.one_line(c, 280).alias("summary"), T.clip(T.strip_markdown(c), 40).alias("clipped"), T.clip(T.one_line(c, 60), 40, "...").alias("dotted"))
 
 
 @query("sf17_languages", r"""
-SELECT doc_id, CASE WHEN ar > 20 AND ar > la THEN 'ar' WHEN la > 20 THEN 'fr' ELSE 'unknown' END AS by_count,
+SELECT doc_id, CASE WHEN ar > 20 AND la > 20 THEN 'mixed' WHEN ar > 20 THEN 'ar' WHEN la > 20 THEN 'fr' ELSE 'unknown' END AS by_count,
  CASE WHEN ar > 0 THEN 'ar' WHEN regexp_matches(text, '[ñÑ¿¡]') THEN 'es' WHEN ru > 0 THEN 'ru' ELSE 'fr' END AS by_letter FROM (
- SELECT doc_id, text, len(regexp_extract_all(text, '[\x{0600}-\x{06FF}]')) AS ar, len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]')) AS la, len(regexp_extract_all(text, '[\x{0400}-\x{04FF}]')) AS ru FROM documents)""")
+ SELECT doc_id, text, len(regexp_extract_all(text, '[\x{0600}-\x{06FF}]')) AS ar, len(regexp_extract_all(text, '\p{L}')) - len(regexp_extract_all(regexp_replace(text, '[\x{0000}-\x{05FF}]', '', 'g'), '\p{L}')) AS la, len(regexp_extract_all(text, '[\x{0400}-\x{04FF}]')) AS ru FROM documents)""")
 def languages(spark, d):
     c = F.col("text")
     return _docs(spark, d).select("doc_id", T.script_language(c).alias("by_count"), F.when(c.contains("Ñ"), "es").otherwise(T.letter_language(c)).alias("by_letter"))
@@ -102,7 +121,9 @@ def rules(spark, d):
 
 @query("sf20_sf21_ag10_document_quality")
 def document_quality(spark, d):
-    return Q.document_quality(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    """Every document as one page; a document without text has no page."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    return Q.document_quality(docs.where("text is not null"), "doc_id", documents=docs)
 
 
 @query("sf24_ag09_page_rollup", """
@@ -122,14 +143,8 @@ def clean(spark, d):
 
 
 @query("sf25_slugs", r"""
-SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^0-9a-z]+', '-', 'g'), '-') AS slug FROM documents""")
-def slugs(spark, d):
-    return _docs(spark, d).select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
-
-
-@query("sf25_slugs_whole", r"""
 SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^0-9a-z]+', '-', 'g'), '-') AS slug FROM documents""")
-def whole_slugs(spark, d):
+def slugs(spark, d):
     return _docs(spark, d).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
@@ -145,18 +160,13 @@ def signed_tokens(spark, d):
     return df.select("c_custkey", "token", T.token_payload(F.col("token"), "not-a-secret", 5000).isNotNull().alias("valid"))
 
 
-@query("sf31_hash_vectors")
+@query("sf31_hash_vectors", """
+WITH r AS (SELECT p_partkey, list_transform(range(40), lambda i: CAST('0x' || substr(sha256(p_name), CAST(i % 32 * 2 + 1 AS INTEGER), 2) AS INTEGER) / 255.0::DOUBLE * 2 - 1) AS r FROM part),
+n AS (SELECT p_partkey, r, sqrt(list_sum(list_transform(r, lambda x: x * x))) AS n FROM r)
+SELECT p_partkey, array_to_string(list_transform(r, lambda x: printf('%.6f', round(x / n, 6))), ' ') AS vector FROM n""")
 def hash_vectors(spark, d):
-    v = T.hash_vector(F.col("p_name"), 16)
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(v, lambda x: F.format_number(x, 6)), ",").alias("vector"))
-
-
-@query("sf32_cosine_to_first", """
-SELECT v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""")
-def cosine_to_first(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))  # one stated vector
+    v = T.hash_vector(F.col("p_name"), 40)
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), " ").alias("vector"))
 
 
 @query("sf32_cosine_to_queries", """
@@ -168,17 +178,6 @@ def cosine_to_queries(spark, d):
     return both.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q"), F.col("n"), F.col("nq")), 6).alias("cosine"))
 
 
-@query("sf33_overlap_ratio", f"""
-WITH q AS (SELECT list_distinct(list_filter(string_split({_N1.format(c="substr(text, 1, 60)")}, ' '), lambda t: length(t) > 1)) AS toks FROM benchmark WHERE item_id = 0)
-SELECT doc_id, round(len(list_filter(toks, lambda t: contains(n, t))) / len(toks), 6) AS ratio FROM (SELECT doc_id, {N1} AS n FROM documents), q""")
-def overlap(spark, d):
-    from tessella.functions.vectors import overlap_ratio
-
-    q = table(spark, d, "benchmark").where("item_id = 0").select(T.tokens(F.substring("text", 1, 60)).alias("toks"))
-    n = _docs(spark, d).select("doc_id", T.normalise_words(F.col("text")).alias("n"))
-    return n.crossJoin(F.broadcast(q)).select("doc_id", F.round(overlap_ratio(F.col("toks"), F.col("n")), 6).alias("ratio"))  # one stated query
-
-
 @query("sf33_overlap_ratio_to_queries", f"""
 WITH q AS (SELECT item_id, list_distinct(list_filter(string_split({N1}, ' '), lambda t: length(t) > 1)) AS toks FROM benchmark WHERE item_id % 100 = 0)
 SELECT item_id, doc_id, round(len(list_filter(toks, lambda t: contains(n, t))) / len(toks), 6) AS ratio FROM (SELECT doc_id, {N1} AS n FROM documents), q""")
@@ -209,13 +208,22 @@ def first_patterns(spark, d):
     return table(spark, d, "pages").select("page_id", F.coalesce(T.first_match(c, [("<title>([^<]*)</title>", 1), ("<h1>([^<]*)</h1>", 1)]), F.lit("-")).alias("title"), F.coalesce(T.first_match(c, [('lang="([a-z]+)"', 1)]), F.lit("-")).alias("lang"))
 
 
-@query("sf38_sf39_keyword_sets")
+_TRANSLATED = {"en": ["english", "anglais"], "de": ["german", "deutsch"], "fr": ["french", "français"], "es": ["spanish"]}
+_LETTERS = r"[A-Za-zÀ-ÿ\x{0600}-\x{06FF}]"
+
+
+@query("sf38_sf39_keyword_sets", rf"""
+WITH k AS (SELECT doc_id, text, list_concat([lang], CASE lang {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _TRANSLATED.items())} ELSE [] END,
+  list_transform(regexp_extract_all(source, '{_LETTERS}{{3,}}'), lambda x: lower(x)), list_transform(regexp_extract_all(substr(text, 1, 300), '{_LETTERS}{{4,}}'), lambda x: lower(x))) AS w FROM documents)
+SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(w, lambda x: x <> '' AND length(x) <= 80))), 1, 30), ',') AS keywords,
+ concat_ws('|', CASE WHEN contains(lower(text), 'license') THEN 'Which license?' END, CASE WHEN contains(lower(text), '@') THEN 'Whom to write to?' END, CASE WHEN contains(lower(text), 'the') THEN 'What is said?' END) AS questions FROM k""")
 def keyword_sets(spark, d):
     c = F.col("text")
     low = F.lower(c)
     ask = F.filter(F.array(F.when(low.contains("license"), "Which license?"), F.when(low.contains("@"), "Whom to write to?"), F.when(low.contains("the"), "What is said?")), lambda x: x.isNotNull())
-    words = F.filter(F.array_sort(F.array_distinct(F.concat(F.array("lang", "source"), T.tokens(F.substring(c, 1, 300))))), lambda k: F.length(k) <= 80)
-    return _docs(spark, d).select("doc_id", F.array_join(F.slice(words, 1, 30), ",").alias("keywords"), F.array_join(F.slice(ask, 1, 5), "|").alias("questions"))
+    translated = F.create_map(*[x for k, v in _TRANSLATED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("lang")]
+    words = T.keyword_set(F.array("lang"), translated, F.col("source"), F.lit(""), F.lit(None).cast("string"), c)
+    return _docs(spark, d).select("doc_id", F.array_join(words, ",").alias("keywords"), F.array_join(F.slice(ask, 1, 5), "|").alias("questions"))
 
 
 @query("sf41_sf44_sf45_escapes", """
@@ -224,6 +232,11 @@ def escapes(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_escape(T.arabic_digits(F.col("url"))).alias("escaped"), T.one_line(F.col("html"), 50).alias("line"))
 
 
+@query("sf43_plain_text", f"SELECT doc_id, {_PLAIN} AS plain FROM documents")
+def plain_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.strip_markdown(F.col("text")).alias("plain"))
+
+
 @query("sf43_html_text")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.strip_markdown(T.strip_tags(F.col("html"))).alias("text"))
@@ -242,9 +255,10 @@ def lists(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(T.split_list(F.replace("p_name", F.lit(" "), F.lit(" , "))), "|").alias("items"))
 
 
-@query("sf52_xor_hash")
+@query("sf52_xor_hash", """
+SELECT doc_id, printf('%x', list_reduce(list_concat([5381::UBIGINT], list_transform(string_split(source, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: xor(h * 33 % 4294967296, c))) AS h FROM documents""")
 def xor_hash(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.xor_hash32(F.col("p_brand")).alias("h"))
+    return _docs(spark, d).select("doc_id", T.xor_hash32(F.col("source")).alias("h"))
 
 
 @query("sf54_sf55_sf56_intents", r"""
@@ -254,13 +268,6 @@ def intents(spark, d):
     return n.select("doc_id", F.col("n").rlike(r"\b(the|of)\b").alias("asks_the"), F.when(F.col("n").rlike(r"\bder\b"), "de").when(F.col("n").rlike(r"\bque\b"), "romance").otherwise("none").alias("intent"))
 
 
-@query("sf58_sf60_headings", r"""
-SELECT doc_id, regexp_matches(trim(regexp_replace(l, '\s+', ' ', 'g')), '^$') AS blank, upper(l) = l AND lower(l) <> l AS upper FROM (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS l FROM documents)""")
-def headings(spark, d):
-    line = F.trim(F.element_at(F.split("text", "\n"), 1))
-    return _docs(spark, d).select("doc_id", (T.one_line(line) == "").alias("blank"), ((F.upper(line) == line) & (F.lower(line) != line)).alias("upper"))
-
-
 _ALIASES = [(["Short answer", "Useful answer"], "Answer"), (["Foundation", "Basis"], "Basis"), (["Sources", "Source"], "Sources")]
 
 

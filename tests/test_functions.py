@@ -69,7 +69,12 @@ def test_lists_and_rules(spark):
     assert ask(df, T.distinct_texts_ci(F.array(F.lit("A"), F.lit("b"), F.lit("a")))) == [["A", "b"]]
     assert ask(df, T.all_rules(F.col("t"), [("zz", ["q"])], "none")) == [["none"]]
     assert ask(df, T.expand_tokens(F.array(F.lit("a")), F.col("t"), [("warf", ["a", "blood"])])) == [["a", "blood"]]
-    assert ask(df, T.xor_hash32(F.lit("ab"))) == [((5381 * 33 ^ 97) * 33 % 2**32) ^ 98]
+    for text in ("", "ab", "é漢", "x😀" * 9):
+        h = 5381
+        units = text.encode("utf-16-be")
+        for k in range(0, len(units), 2):
+            h = (h * 33 & 0xFFFFFFFF) ^ int.from_bytes(units[k : k + 2], "big")
+        assert ask(df, T.xor_hash32(F.lit(text))) == [f"{h:x}"]
     assert ask(df, T.template(F.lit("{a}-{b}"), F.create_map(F.lit("a"), F.lit("1")))) == ["1-{b}"]
     assert ask(df, T.form_values(F.lit("a=1+2&b=%C3%A9"))) == [{"a": "1 2", "b": "é"}]
     assert ask(df, T.phone_address(F.lit("whatsapp:00212 6-1"))) == ["whatsapp:+21261"]
@@ -84,3 +89,37 @@ def test_headings(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], [1.0, 1.0]), (1, [0.0, 0.0], [1.0, 1.0]), (2, [1.0], [1.0, 1.0])], "i int, a array<double>, b array<double>")
     assert ask(df, F.round(cosine(F.col("a"), F.col("b")), 6)) == [0.707107, 0.0, 0.0]
+
+
+def test_hash_vector_cycles_one_digest(spark):
+    df = spark.createDataFrame([(0, "hé"), (1, "")], "i int, t string")
+    want = []
+    for t in ("hé", ""):
+        digest = hashlib.sha256(t.encode()).digest()
+        raw = [digest[k % 32] / 255 * 2 - 1 for k in range(70)]
+        size = sum(x * x for x in raw) ** 0.5
+        want.append(pytest.approx([x / size for x in raw], abs=6e-7))
+    assert ask(df, T.hash_vector(F.col("t"), 70)) == want
+
+
+def test_clipped_and_plain_text(spark):
+    df = spark.createDataFrame([(0, "## A *b* [link](http://x) - c~d\n> e"), (1, None)], "i int, t string")
+    assert ask(df, T.strip_markdown(F.col("t"))) == ["A b link c~d e", ""]
+    assert ask(df, T.clip(F.lit("abcd efgh"), 6))[0] == "abcd…"
+    assert ask(df, T.clip(F.lit("abcd efgh"), 8, "..."))[0] == "abcd ef..."
+    assert ask(df, T.clip(F.lit("abcd"), 4, "..."))[0] == "abcd"
+
+
+def test_languages_by_count(spark):
+    texts = ["ا" * 21, "a" * 21, "ا" * 21 + "я" * 21, "ا" * 20 + "a" * 20, "漢" * 50, "é" * 10 + "Ω" * 11]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert ask(df, T.script_language(F.col("t"))) == ["ar", "fr", "mixed", "unknown", "unknown", "fr"]
+
+
+def test_references_and_keywords(spark):
+    df = spark.createDataFrame([(0, "Loi n° 17-04, article 3 et Art. 5; ARTICLE  3 et المادة ٣; décret n 2-9"), (1, None)], "i int, t string")
+    assert ask(df, T.cross_references(F.col("t"))) == [["article 3", "ARTICLE 3", "Art. 5", "المادة ٣", "Loi n° 17-04", "décret n 2-9"], []]
+    none = F.lit(None).cast("array<string>")
+    have = ask(df, T.keyword_set(F.array(F.lit("tax")), none, F.lit("Le Code"), F.lit("TITRE II"), F.lit("4"), F.col("t")))
+    assert have[0] == sorted({"tax", "code", "titre", "article 4", "المادة 4", "article", "المادة", "décret"})
+    assert have[1] == sorted({"tax", "code", "titre", "article 4", "المادة 4"})

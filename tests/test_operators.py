@@ -25,12 +25,31 @@ def test_paragraph_packing_respects_the_budget(spark):
     assert [r.chunk for r in out] == ["a" * 500 + "\n\n" + "b" * 598, "c" * 2000, "d\n\n" + "e" * 5]
 
 
-def pages(*texts):
-    return [(k, t) for k, t in enumerate(texts, 1)]
+PAGED = "i int, title string, pages array<struct<page_number:int,text:string>>"
 
 
-def test_section_units():
-    units = list(C.section_units(pages("INTRO\n\nfirst text\n\nArticle 1 : a\n\nmore\n\nArticle 2 : b", "tail"), "Doc"))
+def units_of(spark, pages, target=320):
+    df = spark.createDataFrame([(1, "Doc", pages and list(enumerate(pages, 1)))], PAGED)
+    return [(r.section, r.text, r.page_start, r.page_end) for r in C.section_units(df, "i", "title", "pages", target).orderBy("unit").collect()]
+
+
+def test_long_units_end_with_a_page(spark):
+    many = "word " * 210
+    assert [u[2:] for u in units_of(spark, [many, many, "tail", "HEAD\n\nend"], 120)] == [(1, 2), (3, 3), (4, 4)]
+    assert [u[2:] for u in units_of(spark, [many, "", "tail"], 120)] == [(1, 1), (3, 3)]  # a page without text ends it too
+    assert units_of(spark, None) == [] and units_of(spark, [None, " "]) == []
+
+
+def test_split_section_at_sentences(spark):
+    text = "\n\n".join(["aa " * 100 + ".", "bb cc. " * 90, "dd " * 30])
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, "")], "i int, t string")
+    out = dict(df.select("i", C.split_section(F.col("t"), 120, 5)).collect())
+    assert out[2] == ["short"] and out[3] == [""]
+    assert [len(x.split()) for x in out[1]] == [101, 125, 95] and out[1][1].startswith("aa aa aa aa .\n\nbb cc.")
+
+
+def test_section_units(spark):
+    units = units_of(spark, ["INTRO\n\nfirst text\n\nArticle 1 : a\n\nmore\n\nArticle 2 : b", "tail"])
     assert units == [("INTRO", "first text", 1, 1), ("INTRO > Article 1 : a", "Article 1 : a\n\nmore", 1, 1), ("INTRO > Article 1 : a > Article 2 : b", "Article 2 : b\n\ntail", 1, 2)]
 
 
@@ -69,6 +88,39 @@ def test_document_quality(spark):
     assert not out[1].is_low and out[1].score < 0.55
     assert out[2].is_low and out[2].score >= 0.55
     assert out[1].average_confidence == 0.75
+    none = Q.document_quality(df.where("doc = 1"), "doc", documents=spark.createDataFrame([(1,), (7,)], "doc int"))
+    assert {r.doc: (r.score, r.n_reasons, r.is_low) for r in none.collect()}[7] == (1.0, 1, True)
+
+
+def test_page_metrics_equal_a_plain_count(spark):
+    import re
+    import unicodedata
+
+    texts = ["Don't stop-word n° 5 == ## @x ~~~~ <b> ¦ © aaaa\n\n\n\n", None, "", "٣ نص المادة الأولى! �□■ \u200b\u00a0 a1 b\\c", "!!!!! tab\tx\x1cy 12 3 l’eau"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = {r.i: r for r in Q.page_metrics(df).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        seen = [c for c in t if not c.isspace()]
+        fine = [c for c in seen if c.isalnum() or c in ".,;:!?()[]{}%/+-'’\"«»" or "\u0600" <= c <= "\u06FF"]
+        odd = [c for c in seen if c not in fine and (c in Q.NOISE or unicodedata.category(c)[0] == "C")]
+        runs = sum(len(m[0]) for m in re.finditer(r"(.)\1{3,}", t))
+        want = (len(seen), len(fine), len(odd), len(t.split()), len(re.findall(Q.WORD, t)), runs, len(t.strip()))
+        r = rows[i]
+        assert (r.visible, r.readable, r.abnormal, r.n_tokens, r.n_words, r.repeated, r.n_chars) == want, t
+
+
+def test_unique_slugs_count_up_to_a_free_one(spark):
+    slugs = ["a", "a", "a-1", "a", "b-2", "b-2", "a-1", "a-1-1", None, "a", "c", "a-01"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(slugs)], "i int, slug string")
+    taken, want = set(), {}
+    for i, s in enumerate(slugs):
+        k = 0
+        while s is not None and (name := f"{s}-{k}" if k else s) in taken:
+            k += 1
+        want[i] = None if s is None else name
+        taken.add(want[i])
+    assert {r.i: r.unique_id for r in R.unique_slugs(df, "slug", ["i"]).collect()} == want
 
 
 # ---------------------------------------------------------------- rules and matching

@@ -21,14 +21,14 @@ def late(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["hybrid_rrf_whole", "rt01_tk09_bm25_topk_whole", "rt12_jn01_wn02_sql_rrf_whole", "rt05_rt11_rerank"])
+@pytest.mark.parametrize("name", ["hybrid_rrf", "rt01_tk09_bm25_topk", "rt12_jn01_wn02_sql_rrf", "rt05_rt11_rerank"])
 def test_words_after_60_characters_of_a_question_find_their_document(spark, late, name):
     assert [(r.item_id, r.doc) for r in registry.queries()[name](spark, late).collect()] == [(0, 0)]
 
 
 def test_late_words_of_a_question_in_answers_topics_and_seeds(spark, late):
     q = registry.queries()
-    assert [(r.item_id, r.docs) for r in q["rt16_seed_set_whole"](spark, late).collect()] == [(0, "0")]
+    assert [(r.item_id, r.docs) for r in q["rt16_seed_set"](spark, late).collect()] == [(0, "0")]
     assert [r.item_id for r in q["rt15_jn16_answers"](spark, late).collect()] == [0]
     assert [(r.item_id, r.topic) for r in q["rt09_tk06_topic_match"](spark, late).collect()] == [(0, 1)]
 
@@ -47,7 +47,7 @@ def test_topical_words_and_slugs_of_whole_texts(spark, late):
     have = registry.queries()["sf08_sf09_topical_and_expanded"](spark, late).collect()
     assert {r.doc_id: (r.topical, r.n_expanded) for r in have} == {i: (topical[i], size[i]) for i in docs}
     assert topical[0].endswith("zebra quagga")
-    slugs = {r.doc_id: r.slug for r in registry.queries()["sf25_slugs_whole"](spark, late).collect()}
+    slugs = {r.doc_id: r.slug for r in registry.queries()["sf25_slugs"](spark, late).collect()}
     assert slugs == {i: re.sub("[^a-z0-9]+", "-", t.lower()).strip("-") for i, t in docs.items()}
 
 
