@@ -68,13 +68,16 @@ def drop_shuffles(spark: SparkSession) -> None:
         time.sleep(0.25)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table written by materialize() once nothing lazy reads it any more."""
     path = getattr(df, "_tessella_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        remove_path(df.sparkSession, path)
 
 
 def table_bytes(df: DataFrame) -> int:

@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 else:
                     fresh.append(x)
         if fresh:
-            repeated, opened, contents, _ = winnow.resolve(SPEC, winnow.concat(fresh), None, hot)
+            repeated, opened, contents, _ = winnow.resolve(SPEC, winnow.concat(fresh), hot)
             yield from winnow.told(0, repeated)
             yield from winnow.told(1, opened, contents)
 

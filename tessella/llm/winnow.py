@@ -227,37 +227,69 @@ def told(kind: int, x: dict[str, np.ndarray], contents=None):
         yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.nulls(n, pa.binary())], [f for f, _ in _TOLD])
 
 
-def resolve(spec: Windows, fresh: dict[str, np.ndarray], known: dict[str, np.ndarray] | None, hot: np.ndarray):
-    """(repeated, open, contents of the anchor of each open one, first of each new content) of one bucket.
+def resolve(spec: Windows, fresh: dict[str, np.ndarray], hot: np.ndarray, cells=()):
+    """(repeated, open, contents of the anchor of each open one, new contents) of the fresh segments of one bucket.
 
-    known: the first segment of each content of earlier batches; it is compared with but not judged.
+    cells: sorted parts of the runs of earlier batches, each the first segments of contents. They are joined with
+    the sorted fresh contents one after the other (found() looks up a cell's keys in order); what they know is
+    compared with but not judged: every content in them is of an earlier document.
     """
-    x = concat([fresh] if known is None else [fresh, known])
-    x["old"] = np.r_[np.zeros(len(fresh["h"]), bool), np.ones(len(x["h"]) - len(fresh["h"]), bool)]
-    x = order_of(x)
+    x = order_of(fresh)
     first = new_content(x)
-    lead = np.flatnonzero(first)
-    run_of = np.cumsum(first) - 1
-    lead_doc = x["doc"][lead][run_of] if len(lead) else x["doc"]
-    repeated = later(spec, x, lead[run_of] if len(lead) else lead) & ~x["old"]
+    lead, run_of = np.flatnonzero(first), np.cumsum(first) - 1
+    h, s = x["h"][lead], x["s"][lead]
+    known, others = np.zeros(len(lead), bool), np.zeros(len(lead), np.int64)  # by content: in a run; by anchor: contents in runs
+    witnesses = []
+    for cell in cells:
+        at, lo, hi = found(h, s, cell["h"], cell["s"])
+        met = hi > lo
+        others_at = lo[met]  # the first content of the anchor stands for the anchor
+        np.add.at(others, others_at, 1)
+        inside = met & (at < hi)
+        same = inside.copy()
+        same[inside] = s[at[inside]] == cell["s"][inside]
+        known[at[same]] = True
+        witnesses.append(({k: v[met] for k, v in cell.items()}, others_at))
+    repeated = later(spec, x, lead[run_of]) | known[run_of] if len(lead) else np.zeros(0, bool)
     # anchors with several contents, at least one of them new
-    h = x["h"][lead]
-    anchor = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.zeros(0, np.int64)
-    contents = np.bincount(anchor)
-    is_new = ~x["old"][lead]
-    fresh_content = np.ones(len(lead), bool)
-    if known is not None and len(lead):
-        fresh_content = ~np.logical_or.reduceat(x["old"], lead)
-    any_new = np.bincount(anchor, weights=fresh_content) > 0 if len(h) else np.zeros(0, bool)
-    spread = np.isin(h, hot)  # contents of a hot anchor may be in other buckets too
-    contents = contents[anchor] if len(h) else anchor
+    head = np.r_[True, h[1:] != h[:-1]][: len(h)]
+    anchor = np.cumsum(head) - 1
+    contents = np.bincount(anchor[~known], minlength=int(head.sum())) + others[head] if len(h) else others
+    any_new = np.bincount(anchor, weights=~known) > 0 if len(h) else known
+    spread = np.isin(h[head], hot)  # contents of a hot anchor may be in other buckets too
+    wide = ((contents > 1) & any_new) | spread
     contents = np.where(spread, 1 << 30, contents)
-    wide = ((contents > 1) & any_new[anchor]) | spread if len(h) else np.zeros(0, bool)
-    # open: every segment of the content's first document (several places only if the document repeats it)
-    is_open = wide[run_of] & ~repeated & (first if spec.within else x["doc"] == lead_doc) if len(lead) else first
-    number = contents[run_of] if len(lead) else run_of
-    take = lambda m: {k: v[m] for k, v in x.items() if k != "old"}
-    return take(repeated), take(is_open), number[is_open], take(first & np.r_[is_new & fresh_content, []].astype(bool)[run_of] if len(lead) else first)
+    # open: every segment of the content's first document (several places only if the document repeats it), and what runs know of the anchor
+    mine = np.zeros(len(run_of), bool)
+    if len(lead):
+        mine = wide[anchor][run_of] & ~repeated & (first if spec.within else x["doc"] == x["doc"][lead][run_of])
+    opened = [{k: v[mine] for k, v in x.items()}]
+    numbers = [contents[anchor[run_of[mine]]]]
+    for cell, at in witnesses:
+        some = wide[anchor[at]]
+        opened.append({k: v[some] for k, v in cell.items()})
+        numbers.append(contents[anchor[at[some]]])
+    fresh_leads = lead[~known]
+    take = lambda m: {k: v[m] for k, v in x.items()}
+    return take(repeated), concat(opened), np.concatenate(numbers), take(fresh_leads)
+
+
+def found(h: np.ndarray, s: np.ndarray, kh: np.ndarray, ks: np.ndarray):
+    """Place of each key (kh, ks) in the sorted keys (h, s), and the range of keys that share kh."""
+    lo, hi = np.searchsorted(h, kh, "left"), np.searchsorted(h, kh, "right")
+    at, end = lo.copy(), hi.copy()
+    while (live := np.flatnonzero(at < end)).size:
+        mid = (at[live] + end[live]) // 2
+        below = s[mid] < ks[live]
+        at[live] = np.where(below, mid + 1, at[live])
+        end[live] = np.where(below, end[live], mid)
+    return at, lo, hi
+
+
+def merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Two sorted lists of contents as one."""
+    at, _, _ = found(a["h"], a["s"], b["h"], b["s"])
+    return {k: np.insert(a[k], at, b[k]) for k in a}
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
