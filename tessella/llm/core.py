@@ -7,10 +7,9 @@ side never builds one object per word.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,36 +37,46 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here when unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session
+    gets one here; on a cluster, whose machines share no local folder, that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return str(jdir.get())
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = f"/tmp/tessella-checkpoints-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+#: With this setting Spark removes the shuffle files of a statement when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def own_shuffles(spark: SparkSession):
+    """Shuffles of the statements inside are removed as each ends: what they write is read from its table."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with own_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessella_path = path
     return out
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more (it does so when the
-    driver collects garbage, which a small driver heap may put off until much of the disk is used)."""
-    for _ in range(2):  # what Python lets go in the first round, the JVM can collect in the second
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.25)
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
@@ -103,9 +112,10 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str, bound: int = 8 <
 
 
 def arrow_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
-    """Hold batches of rows that go to Python at a few MB, whatever the length of their texts."""
+    """Hold batches of rows that go to Python at a few MB, whatever the length of their texts. The setting is
+    read when a lazy result is planned, so it stays for the session."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).removesuffix("b")) > limit:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > limit:
         spark.conf.set(key, str(limit))
 
 
@@ -209,7 +219,7 @@ def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, _U(seed) * _BASE)
+    out = np.full(n, seed * int(_BASE) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for j in range(k):
         out = mix(out ^ h[j : j + n])
     return out

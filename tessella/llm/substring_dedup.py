@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, drop_shuffles, materialize, partitions, release, remove_path, shared_dir, text_blocks, windows, words
+from .core import arrow_batches, materialize, own_shuffles, partitions, release, remove_path, shared_dir, text_blocks, windows, words
 
 SIZE, SHINGLE, FAN_IN, BATCHES = 13, 5, 2, 4
 #: Fingerprints of a cell of a run.
@@ -65,7 +65,8 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame, name: str) -> None:
         path = f"{shared_dir(self.spark).rstrip('/')}/{name}"
-        rows.write.bucketBy(self.buckets, "bucket").option("path", path).option("compression", "zstd").mode("append").saveAsTable(name)
+        with own_shuffles(self.spark):
+            rows.write.bucketBy(self.buckets, "bucket").option("path", path).option("compression", "zstd").mode("append").saveAsTable(name)
 
     def _drop(self, name: str | None) -> None:
         if name:
@@ -219,12 +220,9 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             part = part.where(F.col("doc_id") < hi)
         rows = index.ingest(part, last=hi is None)
         found = rows if found is None else found.union(rows)
-        drop_shuffles(docs.sparkSession)
     found = found.unionByName(index.verify())
     spans = materialize(winnow.spans_of(found), "lsm")
-    del found, rows
     index.close()
-    drop_shuffles(docs.sparkSession)
     return spans
 
 

@@ -11,7 +11,9 @@ least LENGTH bytes are the places of one string; all but the first place are rep
 
 What makes this fit a cluster is that collections are small: winnow.py leaves only segments whose
 windows could be repeated in another segment of the same anchor, and anchors are independent. An
-anchor with more than HOT contents is split into single windows, dealt by the window's hash.
+anchor with more than HOT contents is split into single windows, dealt by the window's hash. Equal windows
+of such an anchor are compared byte by byte where they are read, and a task sends on the first of them; those
+that meet go through collections of bounded size one after the other, with the first place of each string.
 
 Cases: null text is empty; matches never cross documents; rows that
 share an id are places of one document, and a row that is there twice is not repeated by itself; rows with a null
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, drop_shuffles, fresh_name, materialize, partitions, release, span_hash, text_blocks
+from .core import arrow_batches, fresh_name, materialize, partitions, release, span_hash, text_blocks
 
 LENGTH, SHINGLE = 100, 40
 SPEC = winnow.Windows(LENGTH, SHINGLE, words=False, within=True)
@@ -128,6 +130,20 @@ def repeated_windows(data: np.ndarray, offs: np.ndarray, key: np.ndarray, start:
     return d[later], a[later]
 
 
+def equal_to_earlier(data: np.ndarray, at: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether the window of `length` bytes at each place is, byte by byte, that of the first place of its hash."""
+    o = np.lexsort((start, doc, h))
+    first = np.r_[True, h[o][1:] != h[o][:-1]]
+    lead = o[np.flatnonzero(first)][np.cumsum(first) - 1]
+    out = np.zeros(len(at), bool)
+    ask = np.flatnonzero((doc[o] != doc[lead]) | (start[o] != start[lead]))
+    for i in range(0, len(ask), 8192):
+        a, b = o[ask[i : i + 8192]], lead[ask[i : i + 8192]]
+        span = np.arange(length)
+        out[a] = (data[at[a][:, None] + span] == data[at[b][:, None] + span]).all(1)
+    return out
+
+
 _SHIPPED = [("h", np.uint64), ("doc", np.int64), ("start", np.int32), ("n", np.uint8)]
 
 
@@ -156,10 +172,14 @@ def _open_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
                 if hot.any():  # one document for each window, dealt by its hash
                     w = np.repeat(np.flatnonzero(hot), n[hot])
                     off = np.arange(len(w)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
-                    ws = start[w] + off
-                    wh = span_hash(data, offs[row[w]] + ws, offs[row[w]] + ws + LENGTH)
+                    ws, wr = start[w] + off, row[w]
+                    wh = span_hash(data, offs[wr] + ws, offs[wr] + ws + LENGTH)
+                    sure = equal_to_earlier(data, offs[wr] + ws, wh, ids[i:j][wr].astype(np.int64), ws)
+                    if sure.any():
+                        yield from known(ids[i:j][wr[sure]].astype(np.int64), ws[sure])
                     cold = ~hot
-                    h, start, n, row = np.r_[h[cold], wh], np.r_[start[cold], ws], np.r_[n[cold], np.ones(len(w), np.int64)], np.r_[row[cold], row[w]]
+                    h, start, row = np.r_[h[cold], wh[~sure]], np.r_[start[cold], ws[~sure]], np.r_[row[cold], wr[~sure]]
+                    n = np.r_[n[cold], np.ones(int((~sure).sum()), np.int64)]
                 if not len(h):
                     continue
                 bucket = (h % np.uint64(P)).astype(np.int64)
@@ -175,11 +195,25 @@ def _open_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
                 bodies = [body[ends[edge[k]] : ends[edge[k + 1]]].tobytes() for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["bucket", "head", "body"])
 
+    def known(doc, st):
+        """Windows that are already known to be repeated, with no bytes, dealt by document."""
+        bucket = (doc.astype(np.uint64) % np.uint64(P)).astype(np.int64)
+        o = np.lexsort((st, doc, bucket))
+        edge = np.searchsorted(bucket[o], np.arange(P + 1))
+        some = np.flatnonzero(np.diff(edge)).tolist()
+        heads = [winnow.pack_columns({"doc": doc[o[edge[k] : edge[k + 1]]], "start": st[o[edge[k] : edge[k + 1]]]}, _SHIPPED[1:3]) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(heads, pa.binary()), pa.nulls(len(some), pa.binary())], ["bucket", "head", "body"])
+
     def judge(batches):
         heads, bodies = [], []
         for batch in batches:
-            heads += [winnow.unpack_columns(x, _SHIPPED) for x in batch.column("head").to_pylist()]
-            bodies += batch.column("body").to_pylist()
+            for head, body in zip(batch.column("head").to_pylist(), batch.column("body").to_pylist()):
+                if body is None:
+                    x = winnow.unpack_columns(head, _SHIPPED[1:3])
+                    yield runs_of(x["doc"], x["start"].astype(np.int64))
+                else:
+                    heads.append(winnow.unpack_columns(head, _SHIPPED))
+                    bodies.append(body)
         if not heads:
             return
         x = winnow.concat(heads, _SHIPPED)
@@ -195,16 +229,33 @@ def _open_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
             b = max(a + 1, int(np.searchsorted(total[group], total[group[a]] + COLLECTION, "right")) - 1)
             pick = o[group[a] : group[b]]
             a = b
-            s = size[pick]
-            at = np.repeat(begin[pick] - (np.cumsum(s) - s), s) + np.arange(s.sum())
-            d, off = repeated_windows(data[at], np.r_[0, np.cumsum(s)], x["doc"][pick], x["start"][pick].astype(np.int64))
-            if not len(d):
+            if size[pick].sum() <= COLLECTION or (x["n"][pick] > 1).any():  # at most HOT contents, or several anchors
+                later = repeated(x, data, begin, size, pick)
+                if len(later[0]):
+                    yield runs_of(*later)
                 continue
-            doc, st = x["doc"][pick][d], x["start"][pick][d] + off
-            q = np.lexsort((st, doc))
-            doc, st = doc[q], st[q]
-            run = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (st[1:] != st[:-1] + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[run]), pa.array(st[run].astype(np.int32)), pa.array(np.diff(np.r_[run, len(doc)]).astype(np.int32))], ["doc_id", "start", "n"])
+            pick = pick[np.lexsort((x["start"][pick], x["doc"][pick]))]
+            step, lead = COLLECTION // LENGTH, pick[:0]  # lead: the first place of each string so far
+            for k in range(0, len(pick), step):
+                part = np.r_[lead, pick[k : k + step]]
+                doc, st = later = repeated(x, data, begin, size, part)
+                if len(doc):
+                    yield runs_of(*later)
+                place = lambda d, s: d.astype(np.uint64) * np.uint64(1 << 32) + s.astype(np.uint64)
+                lead = part[~np.isin(place(x["doc"][part], x["start"][part]), place(doc, st))]
+
+    def repeated(x, data, begin, size, pick):
+        """(document, start) of the repeated windows of a collection."""
+        s = size[pick]
+        at = np.repeat(begin[pick] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+        d, off = repeated_windows(data[at], np.r_[0, np.cumsum(s)], x["doc"][pick], x["start"][pick].astype(np.int64))
+        return x["doc"][pick][d], x["start"][pick][d].astype(np.int64) + off
+
+    def runs_of(doc, st):
+        q = np.lexsort((st, doc))
+        doc, st = doc[q], st[q]
+        run = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (st[1:] != st[:-1] + 1)])
+        return pa.RecordBatch.from_arrays([pa.array(doc[run]), pa.array(st[run].astype(np.int32)), pa.array(np.diff(np.r_[run, len(doc)]).astype(np.int32))], ["doc_id", "start", "n"])
 
     sent = texts.select("doc_id", "text", "segs").mapInArrow(cut, "bucket int, head binary, body binary")
     return sent.repartitionById(P, F.col("bucket")).mapInArrow(judge, "doc_id long, start int, n int")
@@ -232,14 +283,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = winnow.hot_anchors(docs, SPEC)
     sent = winnow.sent_segments(docs, SPEC, hot)
     told = materialize(sent.repartitionById(P, F.col("bucket")).mapInArrow(judge, winnow.TOLD), "sa")
-    del sent
-    drop_shuffles(spark)
     judged = _open_windows(docs, told.where("kind = 1").select("h", "doc_id", "start", "n", "contents"))
     rows = told.where("kind = 0").select("doc_id", "start", "n").unionByName(judged)
     spans = materialize(winnow.spans_of(rows), "sa")
     release(told)
-    del rows, judged
-    drop_shuffles(spark)
     return spans
 
 

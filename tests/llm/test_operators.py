@@ -409,6 +409,20 @@ def test_suffix_dedup(spark, rows, monkeypatch, hot):
     assert suffix_dedup.removal_report(frame(spark, [])).count() == 0
 
 
+def test_hot_windows_go_through_bounded_collections(spark, monkeypatch):
+    rng = random.Random(31)
+    line = prose(rng, 30)
+    docs = [(i, f"{prose(rng, 8)} {line} {prose(rng, 8)}") for i in range(90)] + [(200, "z" * 900)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 1000)
+    for name, value in (("HOT_LEAST", 5), ("HOT_SHARE", 10), ("HINT_OF", 2)):
+        monkeypatch.setattr(winnow, name, value)
+    assert got(suffix_dedup.removal_report(frame(spark, docs).repartition(30)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix_report(docs)
+    data = np.frombuffer((b"x" * 100 + b"y" + b"x" * 100), np.uint8)
+    same = suffix_dedup.equal_to_earlier(data, np.array([0, 101, 1]), np.zeros(3, np.uint64), np.array([1, 2, 3]), np.array([0, 0, 0]))
+    assert same.tolist() == [False, True, False]
+
+
 def test_transform_and_common_prefixes():
     rng = random.Random(2)
     docs = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40))) for _ in range(30)] + [b"abab" * 8, b"abab" * 8]
@@ -590,3 +604,40 @@ def test_equal_spans_and_only_they_hash_alike():
     for a, n, v in zip(start.tolist(), size.tolist(), h.tolist()):
         assert seen.setdefault(v, data[a : a + n].tobytes()) == data[a : a + n].tobytes()
     assert len(seen) == len(set(seen.values()))
+
+
+# ---------------------------------------------------------------- quality: likelihood
+
+
+def test_ordinal_step_follows_the_gradient_of_the_likelihood():
+    """The fit raises the plain cumulative-link likelihood, and its end is near a point where its slope is 0."""
+    rng = np.random.default_rng(5)
+    cols = rng.integers(0, 12, (400, 3)).astype(np.uint32)
+    truth = np.linspace(-3, 3, 12)
+    grades = np.digitize(truth[cols].sum(1) + rng.logistic(size=400), [-1.5, 1.0])
+    at = np.arange(0, 1201, 3)
+
+    def likelihood(score, thresholds):
+        tails = np.c_[np.ones(len(score)), 1 / (1 + np.exp(thresholds[None, :] - score[:, None])), np.zeros(len(score))]
+        k = np.arange(len(score))
+        return float(np.log(np.maximum(tails[k, grades] - tails[k, grades + 1], 1e-12)).mean())
+
+    model = quality.fit_ordinal(at, cols.ravel(), np.ones(1200, np.float32), grades, epochs=40)
+    score = model.weights[cols].sum(1).astype(float)
+    share = np.array([(grades >= 1).mean(), (grades >= 2).mean()])
+    best = likelihood(score, model.thresholds)
+    assert best > likelihood(np.zeros(400), -np.log(share / (1 - share))) + 0.1
+    assert model.thresholds[0] < model.thresholds[1]
+    for k in range(2):  # no threshold can be moved for more than a little gain
+        for step in (-0.2, 0.2):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert likelihood(score, moved) < best + 0.01
+    assert np.corrcoef(model.weights[:12], truth)[0, 1] > 0.9
+    flat = quality.fit_ordinal(at[:3], cols.ravel()[:6], np.ones(6, np.float32), np.array([2, 2]))
+    assert flat.thresholds[0] < flat.thresholds[1] and np.isfinite(flat.weights).all()
+
+
+def test_labels_with_ties_and_copies(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.grade for r in quality.grades_of(labels).collect()} == {1: 0, 2: 1, 3: 2}
