@@ -18,8 +18,10 @@ is compared as pairs of blocks. Pairs never leave a task: per vector there come
 links that this filter is the first to find and the smallest vector it is connected to here.
 
 Cases: a vector that is null, zero, or holds a null or non-finite component links with nothing; so
-does one whose id is null (its component is null, it is kept); vectors of different length never link;
-rows of equal id and vector count as copies; an empty table gives an empty result.
+does one whose id is null (its component is null, it is kept); vectors of different length never link.
+Rows are the nodes, ids only name them: rows of equal id and vector count as copies, rows of equal id and
+different vectors are two vectors, linked only by their cosine, and a component's id is the smallest id of
+its rows. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import (
@@ -48,6 +50,8 @@ THRESHOLD, PER_FILTER, MEETINGS, BLOCK, SEED = 0.9, 256, 16.0, 2048, 20240229
 WORDS, LEAST_SHARED = 256, 1 / 8
 #: A cut into fewer blocks is taken with this many codes at most.
 MOST_CODES = 128
+#: Numbers from here on stand for classes whose least id is that of another class too; ids are below.
+OTHER_IDS = 1 << 62
 #: Random codes, and pairs for each, by which the chance to miss a pair is measured.
 TRIALS, TRIAL_PAIRS = 32, 256
 
@@ -159,8 +163,13 @@ def _vectors(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(flat.to_pylist()), kind)
 
 
+def _number(code: ProductCode) -> type:
+    """The type that holds the number of any filter of a code."""
+    return np.uint32 if len(code.codes) * code.words ** len(code.parts) < 1 << 32 else np.int64
+
+
 def filter_rows(reps: DataFrame, codes: dict[int, ProductCode], kind: str) -> DataFrame:
-    """rep, mult, dim, vec, fids, fid: a row for each filter that a vector exceeds."""
+    """rep, mult, dim, vec, fids (the vector's filters before this one), fid: a row for each filter that a vector exceeds."""
     held = reps.sparkSession.sparkContext.broadcast(codes)  # a few codewords for each dimension
 
     def run(batches):
@@ -178,20 +187,22 @@ def filter_rows(reps: DataFrame, codes: dict[int, ProductCode], kind: str) -> Da
                     row, fid = held.value[dim].decode(y / np.linalg.norm(y, axis=1, keepdims=True))
                     if not len(row):
                         continue
-                    cut = np.searchsorted(row, np.arange(len(pick) + 1))
-                    lists = [fid[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+                    begin = np.searchsorted(row, row).tolist()
+                    flat = fid.astype(_number(held.value[dim])).tobytes()
+                    wide = len(flat) // len(fid)
+                    lists = [flat[a * wide : k * wide] for k, a in enumerate(begin)]
                     blobs = [v.tobytes() for v in x]
                     yield pa.RecordBatch.from_arrays([
                         sub.column("rep").take(pa.array(row)), sub.column("mult").take(pa.array(row)), pa.array(np.full(len(row), dim, np.int32)),
-                        pa.array([blobs[r] for r in row], pa.binary()), pa.array([lists[r] for r in row], pa.binary()), pa.array(fid),
+                        pa.array([blobs[r] for r in row], pa.binary()), pa.array(lists, pa.binary()), pa.array(fid),
                     ], ["rep", "mult", "dim", "vec", "fids", "fid"])
 
     return reps.mapInArrow(run, "rep long, mult long, dim int, vec binary, fids binary, fid long")
 
 
-def _compare(group: pa.Table, first_block: bool, kind: str, threshold: float):
+def _compare(group: pa.Table, first_block: bool, kind: str, threshold: float, number: type):
     """Link counts by row (links that this filter is the first to find) and the smallest connected row."""
-    n, fid = group.num_rows, group.column("fid")[0].as_py()
+    n = group.num_rows
     block = group.column("block").to_numpy()
     order = np.argsort(block, kind="stable")
     x = _vectors(group.column("vec"), kind).astype(np.float64).reshape(n, -1)[order]
@@ -212,8 +223,7 @@ def _compare(group: pa.Table, first_block: bool, kind: str, threshold: float):
     if pairs:
         # incidence of the rows in pairs with the earlier filters of several: two rows met before if their products are not 0
         live = np.unique(np.concatenate([v for p in pairs for v in p]))
-        lists = [np.frombuffer(b, np.int64) for b in group.column("fids").take(pa.array(order[live])).to_pylist()]
-        earlier = [v[: np.searchsorted(v, fid)] for v in lists]
+        earlier = [np.frombuffer(b, number) for b in group.column("fids").take(pa.array(order[live])).to_pylist()]
         names, at, held = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
         at, of = at.ravel(), np.repeat(np.arange(len(live)), [len(v) for v in earlier])
         column, several = np.cumsum(held > 1) - 1, (held > 1)[at]
@@ -249,10 +259,21 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         & F.exists("embedding", lambda v: v != 0)
     )
     valid = vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", "embedding")
-    classes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "cap")
+    classes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult")), "cap")
+    # a class goes by its least id; where several have the same, all but one get a number above all ids instead
+    shared = classes.groupBy("least").count().where("count > 1").select("least")
+    if shared.limit(1).count():
+        own = Window.partitionBy("least").orderBy(F.xxhash64("embedding"), "embedding")
+        several = classes.join(shared, "least", "left_semi").withColumn("_n", F.row_number().over(own))
+        number = F.lit(OTHER_IDS) + F.monotonically_increasing_id()
+        several = several.withColumn("rep", F.when(F.col("_n") == 1, F.col("least")).otherwise(number)).drop("_n")
+        classes = materialize(classes.join(shared, "least", "left_anti").withColumn("rep", F.col("least")).unionByName(several), "cap")
+    else:
+        classes = classes.withColumn("rep", F.col("least"))
     sizes = {r[0]: r[1] for r in classes.groupBy(F.size("embedding")).count().collect()}  # one row for each dimension
     codes = {d: ProductCode(d, n, threshold) for d, n in sizes.items()}
-    rows = materialize(filter_rows(classes.repartition(partitions(spark)), codes, kind), "cap")
+    numbers = {d: _number(c) for d, c in codes.items()}
+    rows = materialize(filter_rows(classes.select("embedding", "mult", "rep").repartition(partitions(spark)), codes, kind), "cap")
     counts = rows.groupBy("dim", "fid").agg(F.count("*").alias("n")).where("n > 1")
     rows_met = split_blocks(join_sized(rows, materialize(counts, "cap"), ["dim", "fid"], "inner"), "n", "rep", BLOCK)
     keys = ["dim", "fid", "lo", "hi"]
@@ -265,7 +286,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 group = table.slice(a, b - a)
                 same = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
                 if b - a > 1:
-                    rep, links, label = _compare(group, same, kind, threshold)
+                    rep, links, label = _compare(group, same, kind, threshold, numbers[group.column("dim")[0].as_py()])
                     some = (links > 0) | (label != rep)
                     out.append((rep[some], links[some], label[some]))
             if out:
@@ -275,15 +296,18 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     release(rows)
     comps = connected_components(found.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    several = classes.where("mult > 1").select(F.col("embedding").alias("_e"), F.col("rep").alias("_rep"), "mult")
+    # components of classes that go by a number take their least id
+    other = classes.where(F.col("rep") >= OTHER_IDS).select("rep", "least")
+    lower = comps.join(other, comps.node == other.rep).groupBy("component").agg(F.min("least").alias("_lower"))
+    comps = comps.join(lower, "component", "left").select("node", F.least("component", "_lower").alias("component"))
+    several = classes.where((F.col("mult") > 1) | (F.col("rep") != F.col("least"))).select(F.col("embedding").alias("_e"), F.col("rep").alias("_rep"), "least", "mult")
     several = materialize(several, "cap")
     out = vectors.select("vec_id", "embedding", F.coalesce(fine, F.lit(False)).alias("_fine"))
     hot = F.when(F.col("_fine"), F.col("embedding"))  # null joins with nothing
-    cond = hot == several["_e"]
-    out = out.join(F.broadcast(several), cond, "left") if several.count() <= 10_000 else out.join(several, cond, "left")
-    out = out.select("vec_id", "_fine", F.coalesce("_rep", "vec_id").alias("rep"), F.coalesce("mult", F.lit(1)).alias("mult"))
+    out = join_sized(out.withColumn("_e", hot), several, "_e", "left")
+    out = out.select("vec_id", "_fine", F.coalesce("_rep", "vec_id").alias("rep"), F.coalesce("least", "vec_id").alias("least"), F.coalesce("mult", F.lit(1)).alias("mult"))
     out = out.join(links, "rep", "left").join(comps, out.rep == comps.node, "left")
-    component = F.when(F.col("_fine"), F.coalesce("component", "rep")).otherwise(F.col("vec_id"))
+    component = F.when(F.col("_fine"), F.coalesce("component", "least")).otherwise(F.col("vec_id"))
     n_links = F.when(F.col("_fine"), F.col("mult") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0))
     return out.select(
         "vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"),

@@ -338,13 +338,40 @@ def test_embeddings(spark, kind):
     assert embed_dedup.near_embeddings(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize(("dim", "n"), [(64, 2_000), (64, 100_000), (64, 1_000_000), (64, 10_000_000), (16, 1_000_000), (2, 1_000_000), (1, 1_000_000)])
+@pytest.mark.parametrize(("dim", "n"), [
+    (64, 2_000), (64, 100_000), (64, 1_000_000), (64, 100_000_000), (24, 10_000), (24, 1_000_000), (24, 100_000_000), (128, 100_000_000),
+    (768, 1_000_000), (768, 100_000_000), (16, 1_000_000), (2, 1_000_000), (1, 1_000_000)])
 def test_isolated_pairs_meet_at_every_number_of_vectors(dim, n):
     code, rng = embed_dedup.ProductCode(dim, n), np.random.default_rng(7)
     for rho in (0.9, 0.92, 0.95):
-        (r, f), (q, g) = (code.decode(v) for v in embed_dedup.random_pairs(rng, 1000, dim, rho))
+        pairs = 1000 if dim < 500 else 200
+        (r, f), (q, g) = (code.decode(v) for v in embed_dedup.random_pairs(rng, pairs, dim, rho))
         met = set(zip(r.tolist(), f.tolist())) & set(zip(q.tolist(), g.tolist()))
-        assert len({row for row, _ in met}) == 1000
+        assert len({row for row, _ in met}) == pairs
+
+
+def test_planted_partners_among_many_vectors(spark):
+    rng = np.random.default_rng(11)
+    x, y = embed_dedup.random_pairs(rng, 500, 24, 0.902)
+    noise = rng.standard_normal((19_000, 24))
+    vecs = np.concatenate([x, y, noise / np.linalg.norm(noise, axis=1, keepdims=True)])
+    close = set()
+    for lo in range(0, len(vecs), 2000):
+        i, j = np.nonzero(vecs[lo : lo + 2000] @ vecs.T >= 0.9)
+        close |= {(a + lo, b) for a, b in zip(i.tolist(), j.tolist()) if a + lo < b}
+    comp = brute.components(range(len(vecs)), close)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    have = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_embeddings(df).collect()}
+    assert len(close) >= 500 and sum(v[0] for v in have.values()) >= 0.99 * 2 * len(close)
+    assert np.mean([have[i][1] == comp[i] for i in have]) > 0.999
+
+
+def test_equal_ids_with_different_vectors_are_two_rows(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.1]
+    rows = [(5, a), (5, b), (9, c), (7, a), (3, [0.0, 0.0, 1.0]), (5, [0.0, -1.0, 0.0]), (5, b)]
+    out = embed_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    have = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    assert have == [(3, 0, 3, True), (5, 0, 5, True), (5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (7, 1, 5, False), (9, 2, 5, False)]
 
 
 def test_filter_blocks_compare_all_pairs(spark, monkeypatch):
