@@ -48,8 +48,8 @@ SHINGLE, BANDS, ROWS, BATCH = 5, 36, 5, 36
 HASHES = BANDS * ROWS
 #: Share of the threshold in 100 * intersection >= THRESHOLD * union.
 THRESHOLD, MISS = 75, 1e-6
-#: Members of a bucket that are compared at once; larger buckets go as pairs of blocks.
-BLOCK, VERIFY_BLOCK = 2048, 512
+#: Members of a bucket, and texts of a cluster, that are compared at once; larger ones go as blocks.
+BLOCK, VERIFY_BLOCK = 256, 512
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -202,39 +202,55 @@ def across(members: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the members of a bucket that are in different components and survive
     pruning; a spanning forest of those pairs, not all of them.
 
-    members: bkey, n_members, rep, c (component), n_shingles, sig. A bucket of more than BLOCK members
-    is cut into blocks, and each pair of blocks is a group of its own.
+    members: bkey, rep, c (component), n_shingles, sig. Members of a bucket's largest component don't meet each
+    other: they come once for every BLOCK of the others (mostly one), and the others once for every BLOCK of
+    them. The others meet among themselves, more than BLOCK of them as pairs of blocks.
     """
     spark = members.sparkSession
     least = least_matches()
-    rows = split_blocks(members, "n_members", "rep", BLOCK)
-    rows = rows.select("bkey", "lo", "hi", "block", "rep", "c", "n_shingles", "sig")
-    rows = rows.repartition(partitions(spark), "bkey", "lo", "hi").sortWithinPartitions("bkey", "lo", "hi")
+    per = members.groupBy("bkey", "c").agg(F.count("*").alias("n")).groupBy("bkey").agg(
+        F.max_by("c", F.struct("n", "c")).alias("_main"), F.max("n").alias("_n_main"), (F.sum("n") - F.max("n")).alias("_n_others"), F.count("*").alias("_n_c"))
+    rows = join_sized(members, materialize(per, "mh"), "bkey", "inner").withColumn("main", F.col("c") == F.col("_main"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    own = F.when(F.col("main"), blocks("_n_main")).otherwise(blocks("_n_others"))
+    other = F.when(F.col("main"), blocks("_n_others")).otherwise(blocks("_n_main"))
+    cross = rows.withColumn("block", F.pmod(F.xxhash64("rep"), own).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), other - 1)))
+    cross = cross.withColumns({
+        "lo": F.when(F.col("main"), F.col("block")).otherwise(F.col("_other")), "hi": F.when(F.col("main"), F.col("_other")).otherwise(F.col("block")), "kind": F.lit(0)})
+    among = split_blocks(rows.where(~F.col("main") & (F.col("_n_c") > 2)), "_n_others", "rep", BLOCK).withColumn("kind", F.lit(1))
+    keys = ["bkey", "kind", "lo", "hi"]
+    columns = [*keys, "main", "block", "rep", "c", "n_shingles", "sig"]
+    rows = cross.select(*columns).unionByName(among.select(*columns))
+    rows = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "main")
 
     def compare(group: pa.Table, edge: np.ndarray):
         sig = _signatures(group.column("sig"))
-        cols = {k: group.column(k).to_numpy() for k in ("lo", "hi", "block", "rep", "c", "n_shingles")}
-        end = np.repeat(np.r_[edge[1:], len(sig)], np.diff(np.r_[edge, len(sig)]))
-        ahead = end - np.arange(len(sig)) - 1  # rows of the group after each row
+        cols = {k: group.column(k).to_numpy() for k in ("kind", "lo", "hi", "block", "rep", "c", "n_shingles")}
+        main, n = np.asarray(group.column("main")).astype(bool), len(sig)
+        sizes = np.diff(np.r_[edge, n])
+        end = np.repeat(np.r_[edge[1:], n], sizes)
+        first_main = np.repeat(edge + np.add.reduceat(~main, edge), sizes)  # the others stand before them
+        partner = np.where(cols["kind"] == 0, first_main, np.arange(n) + 1)
+        ahead = np.where((cols["kind"] == 0) & main, 0, end - partner)  # rows that each row is compared with
         i, left, right = 0, [], []
-        while i < len(sig):
+        while i < n:
             j = max(i + 1, int(np.searchsorted(np.cumsum(ahead[i:]), 200_000, "right")) + i)
             x = np.repeat(np.arange(i, j), ahead[i:j])
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(ahead[i:j]) - ahead[i:j], ahead[i:j])
-            n, m = cols["n_shingles"][x], cols["n_shingles"][y]
-            ok = (cols["c"][x] != cols["c"][y]) & (100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m))
-            ok &= (cols["lo"][x] == cols["hi"][x]) | (cols["block"][x] != cols["block"][y])
+            y = np.repeat(partner[i:j], ahead[i:j]) + np.arange(len(x)) - np.repeat(np.cumsum(ahead[i:j]) - ahead[i:j], ahead[i:j])
+            few, many = cols["n_shingles"][x], cols["n_shingles"][y]
+            ok = (cols["c"][x] != cols["c"][y]) & (100 * np.minimum(few, many) >= THRESHOLD * np.maximum(few, many))
+            ok &= (cols["kind"][x] == 0) | (cols["lo"][x] == cols["hi"][x]) | (cols["block"][x] != cols["block"][y])
             x, y = x[ok], y[ok]
             keep = _survive(sig[x], sig[y], least) if len(x) else x
             left.append(x[keep])
             right.append(y[keep])
             i = j
-        label = min_labels(len(sig), np.concatenate(left), np.concatenate(right))
-        some = np.flatnonzero(label != np.arange(len(sig)))
+        label = min_labels(n, np.concatenate(left), np.concatenate(right))
+        some = np.flatnonzero(label != np.arange(n))
         yield pa.RecordBatch.from_arrays([pa.array(cols["rep"][some]), pa.array(cols["rep"][label[some]])], ["a", "b"])
 
     def run(batches):
-        for group, edge in whole_groups(batches, ["bkey", "lo", "hi"]):
+        for group, edge in whole_groups(batches, keys):
             yield from compare(group, edge)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
