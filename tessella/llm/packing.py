@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .core import arrow_batches, materialize
 
 SIZE, END_ID = 2048, 0
-#: Pieces of a length that are ranked together.
-PER_SALT = 50_000
+#: Pieces of a length that are ranked together at least, and groups of them in all beside one for each length.
+PER_SALT, SALTS = 1000, 50_000
 #: Distance from the dual bound at which pricing ends, rounds of it at most; configurations drawn in a round.
 GAP, ROUNDS, DRAWS = 0.005, 60, 2000
 #: Logarithm of the weight that a token has at first (the higher, the less room configurations leave); part of the
@@ -295,11 +295,12 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     spark = pieces.sparkSession
     names = pieces.columns
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most size rows
-    salts = spark.createDataFrame([(k, -(-n // PER_SALT)) for k, n in sorted(histogram.items())], "length long, _salts long")
-    # one group for every PER_SALT pieces, so that a length that very many pieces have is ranked by many tasks
+    per_salt = max(PER_SALT, sum(histogram.values()) // SALTS)
+    # a length that very many pieces have is ranked in many groups
+    salts = spark.createDataFrame([(k, -(-n // per_salt)) for k, n in sorted(histogram.items())], "length long, _salts long")
     salted = pieces.join(F.broadcast(salts), "length").select(*names, F.pmod(F.xxhash64(*names), F.col("_salts")).cast("int").alias("_salt"))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # size rows, and one for PER_SALT pieces
-    base: dict[int, np.ndarray] = {k: np.zeros(-(-n // PER_SALT), np.int64) for k, n in histogram.items()}
+    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # at most size + SALTS rows
+    base: dict[int, np.ndarray] = {k: np.zeros(-(-n // per_salt), np.int64) for k, n in histogram.items()}
     for length, salt, n in counts:
         base[length][salt] = n
     base = {k: np.cumsum(v) - v for k, v in base.items()}
