@@ -262,7 +262,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult")), "cap")
     # a class goes by its least id; where several have the same, all but one get a number above all ids instead
     shared = classes.groupBy("least").count().where("count > 1").select("least")
-    if shared.limit(1).count():
+    named = shared.limit(1).count() > 0
+    if named:
         own = Window.partitionBy("least").orderBy(F.xxhash64("embedding"), "embedding")
         several = classes.join(shared, "least", "left_semi").withColumn("_n", F.row_number().over(own))
         number = F.lit(OTHER_IDS) + F.monotonically_increasing_id()
@@ -297,9 +298,10 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     comps = connected_components(found.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # components of classes that go by a number take their least id
-    other = classes.where(F.col("rep") >= OTHER_IDS).select("rep", "least")
-    lower = comps.join(other, comps.node == other.rep).groupBy("component").agg(F.min("least").alias("_lower"))
-    comps = comps.join(lower, "component", "left").select("node", F.least("component", "_lower").alias("component"))
+    if named:
+        other = classes.where(F.col("rep") >= OTHER_IDS).select("rep", "least")
+        lower = comps.join(other, comps.node == other.rep).groupBy("component").agg(F.min("least").alias("_lower"))
+        comps = join_sized(comps, materialize(lower, "cap"), "component", "left").select("node", F.least("component", "_lower").alias("component"))
     several = classes.where((F.col("mult") > 1) | (F.col("rep") != F.col("least"))).select(F.col("embedding").alias("_e"), F.col("rep").alias("_rep"), "least", "mult")
     several = materialize(several, "cap")
     out = vectors.select("vec_id", "embedding", F.coalesce(fine, F.lit(False)).alias("_fine"))
