@@ -6,11 +6,12 @@ word shape (square root of the shape's share of the words), one for repetition o
 and one that every text has. From the tail probabilities come the expected grade and the selection.
 
 Grades here: 0 toxic, 1 poor, 2 good. The model is fitted on the driver on at most TRAIN_ROWS
-labelled rows (those of smallest hash; a documented bound), and the weights, a table of fixed size,
-are broadcast. Scoring reads every text whole.
+labelled rows (those of smallest hash) with at most TRAIN_ENTRIES features together (texts of smallest
+hash first), both documented bounds, and the weights, a table of fixed size, are broadcast. Scoring reads every text whole.
 
 Cases: null text counts as empty and has score 0; labels without document, or with null in any
-column, are not used; a document with several labels has the smallest grade; without labels nothing
+column, are not used; a document with several labels has the smallest grade, and of rows that share an id
+the one of smallest text hash is fitted; without labels nothing
 is rejected; equal rows score equally; further columns are kept by select_documents().
 """
 
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import core
-from .core import arrow_batches, mix, text_blocks
+from .core import arrow_batches, materialize, mix, release, text_blocks
 
-BUCKETS, TRAIN_ROWS, GRADES = 1 << 20, 20_000, 3
+BUCKETS, TRAIN_ROWS, TRAIN_ENTRIES, GRADES = 1 << 20, 20_000, 20_000_000, 3
 EPOCHS, STEP, RIDGE = 16, 0.35, 5e-4
 #: Buckets from here on are for shapes; a word that is in more than this share of the fitted texts has no weight.
 WORDS, COMMON = BUCKETS - (1 << 14), 0.5
@@ -136,11 +137,12 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on at most `rows` labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, entries: int = TRAIN_ENTRIES) -> OrdinalModel:
+    """Fit on at most `rows` labelled documents of at most `entries` features together."""
     arrow_batches(docs.sparkSession)
     sample = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade", F.xxhash64("text").alias("key"))
+    told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("key", F.xxhash64("text"))
+    told = told.groupBy("doc_id", "grade").agg(F.min_by("text", "key").alias("text"), F.min("key").alias("key")).select("text", "grade", "key")
 
     def run(batches):
         for batch in batches:
@@ -153,8 +155,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
                     core.blobs([v[a:b] for a, b in cut]),
                 ], ["key", "grade", "cols", "vals"])
 
-    # at most `rows` rows (and copies of ids), in an order that tasks have no part in
-    got = told.mapInArrow(run, "key long, grade int, cols binary, vals binary").toArrow().sort_by([("key", "ascending"), ("grade", "ascending")]).combine_chunks()
+    found = materialize(told.mapInArrow(run, "key long, grade int, cols binary, vals binary"), "fit")
+    sizes = sorted(map(tuple, found.select("key", (F.length("cols") / 4).cast("long")).collect()))  # at most `rows` rows
+    total, last = 0, None
+    for key, n in sizes:
+        total += n
+        if total > entries and last is not None:
+            break
+        last = key
+    some = found.where(F.col("key") <= last) if sizes else found
+    # in an order that tasks have no part in
+    got = some.toArrow().sort_by([("key", "ascending"), ("grade", "ascending")]).combine_chunks()
+    release(found)
     size = pc.binary_length(got["cols"]).to_numpy() // 4
     at = np.r_[0, np.cumsum(size, dtype=np.int64)]
     cols = np.frombuffer(b"".join(c.buffers()[2].to_pybytes()[: at[-1] * 4] for c in got["cols"].chunks if len(c)), np.uint32)

@@ -525,6 +525,10 @@ def test_quality_held_out(spark):
         assert kept >= 0.97 if k == 2 else kept <= 0.05
     r = have[7]
     assert r.expected_grade == pytest.approx(r.p_ge_1 + r.p_ge_2) and r.p_ge_1 >= r.p_ge_2
+    few = quality.train(df, told, entries=3000)
+    assert np.count_nonzero(few.weights) and (few.weights != quality.train(df, told).weights).any()
+    copies = frame(spark, [*docs, *[docs[5]] * 40], [(5, "other words")])
+    assert (quality.train(copies, told).weights == quality.train(copies.repartition(7), told).weights).all()
     chosen = quality.select_documents(df, told)
     assert chosen.columns == df.columns
     assert {x.doc_id for x in chosen.collect()} == {i for i, x in have.items() if x.kept}
