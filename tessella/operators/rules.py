@@ -5,37 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rule tables up to this many rows are broadcast; larger ones are joined by equality first (see pair_rules).
-BROADCAST_RULES = 10_000
+#: Fewest characters of a text that may stand inside another.
+LEAST = 4
 
 
-def fuzzy_equal(a: Column, b: Column, least: int = 4) -> Column:
+def fuzzy_equal(a: Column, b: Column, least: int = LEAST) -> Column:
     """Equal, or one of at least `least` characters inside the other (both already normalised)."""
     inside = ((F.length(b) >= least) & a.contains(b)) | ((F.length(a) >= least) & b.contains(a))
     return (a != "") & (b != "") & ((a == b) | inside)
 
 
+def _grams(text: Column) -> Column:
+    """Substrings of LEAST characters; a shorter text itself."""
+    size = F.length(text)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(size - LEAST + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(LEAST)))
+    return F.when(size < LEAST, F.array(text)).otherwise(F.array_distinct(every))
+
+
+def named_by(names: DataFrame, rules: DataFrame, side: str) -> DataFrame:
+    """_name, rule_no of the names that are fuzzily equal to that side of a rule.
+
+    Of two fuzzily equal texts the first LEAST characters of one are a gram of the other, so candidates
+    are joined by equality whatever the number of rules.
+    """
+    told = rules.select("rule_no", F.col(side).alias("_side"))
+    begins = lambda c: F.substring(c, 1, LEAST)
+    inside = names.select("_name", F.explode(_grams(F.col("_name"))).alias("_g")).join(told.withColumn("_g", begins("_side")), "_g")
+    around = names.withColumn("_g", begins("_name")).join(told.select("rule_no", "_side", F.explode(_grams(F.col("_side"))).alias("_g")), "_g")
+    both = inside.unionByName(around).where(fuzzy_equal(F.col("_side"), F.col("_name")))
+    return both.select("_name", "rule_no").distinct()
+
+
 def pair_rules(items: DataFrame, rules: DataFrame, list_id: str, place: str, name: str) -> DataFrame:
     """Pairs of items of a list that a rule names, either way round, each with its gravest rule.
 
-    items: list_id, place, name; rules: first, second, level, severity, rule_no. First the few names
-    that occur are matched with the rule names (a nested loop over distinct names and a small rule
-    table), then items and pairs are joined by equality, so the work per list is in its own pairs.
+    items: list_id, place, name; rules: first, second, level, severity, rule_no (unique). The distinct names are
+    matched with the rules, then the items that a rule names first and second meet inside their list.
     """
-    rules = rules.select("first", "second", "level", "severity", "rule_no")
-    small = F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
     names = items.select(F.col(name).alias("_name")).distinct()
-    hit1 = names.join(small, fuzzy_equal(F.col("first"), F.col("_name"))).select(F.col("_name").alias("_n1"), "rule_no", "level", "severity")
-    hit2 = names.join(small, fuzzy_equal(F.col("second"), F.col("_name"))).select(F.col("_name").alias("_n2"), "rule_no")
-    named = hit1.join(hit2, "rule_no")
-    both = named.select("_n1", "_n2", "rule_no", "level", "severity").union(named.select("_n2", "_n1", "rule_no", "level", "severity"))
-    best = both.groupBy("_n1", "_n2").agg(F.max_by(F.struct("rule_no", "level", "severity"), F.struct("severity", -F.col("rule_no"))).alias("r"))
-    a = items.select(list_id, F.col(place).alias("place_a"), F.col(name).alias("name_a"))
-    b = items.select(list_id, F.col(place).alias("place_b"), F.col(name).alias("name_b"))
-    # items that occur in some named pair only, then the pairs inside each list
-    a = a.join(best.select(F.col("_n1").alias("name_a")).distinct(), "name_a", "left_semi")
-    pairs = a.join(best, F.col("name_a") == F.col("_n1")).join(b.withColumnRenamed(list_id, "_l"), (F.col(list_id) == F.col("_l")) & (F.col("_n2") == F.col("name_b")) & (F.col("place_a") < F.col("place_b")))
-    return pairs.select(list_id, "place_a", "place_b", "name_a", "name_b", F.col("r.level").alias("level"), F.col("r.severity").alias("severity"), F.col("r.rule_no").alias("rule_no"))
+
+    def named(side: str, k: int) -> DataFrame:
+        rows = items.select(list_id, F.col(place).alias(f"_p{k}"), F.col(name).alias("_name"))
+        return rows.join(named_by(names, rules, side), "_name").withColumnRenamed("_name", f"_n{k}")
+
+    met = named("first", 1).join(named("second", 2), [list_id, "rule_no"]).where("_p1 <> _p2")
+    turned = F.col("_p1") > F.col("_p2")
+    met = met.select(
+        list_id, "rule_no", F.least("_p1", "_p2").alias("place_a"), F.greatest("_p1", "_p2").alias("place_b"),
+        F.when(turned, F.col("_n2")).otherwise(F.col("_n1")).alias("name_a"), F.when(turned, F.col("_n1")).otherwise(F.col("_n2")).alias("name_b"))
+    met = met.join(rules.select("rule_no", "level", "severity"), "rule_no")
+    gravest = F.max_by(F.struct("level", "severity", "rule_no"), F.struct("severity", -F.col("rule_no")))
+    pairs = met.groupBy(list_id, "place_a", "place_b", "name_a", "name_b").agg(gravest.alias("_r"))
+    return pairs.select(list_id, "place_a", "place_b", "name_a", "name_b", "_r.level", "_r.severity", "_r.rule_no")
 
 
 def rule_report(pairs: DataFrame, list_id: str, levels: list[str]) -> DataFrame:

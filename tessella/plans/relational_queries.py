@@ -221,12 +221,15 @@ def _matches(spark, d):
     name = F.lower("p_name")
     q = part.select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 5 == 0, "zzz").when(F.col("p_partkey") % 3 == 0, F.split_part(name, F.lit(" "), F.lit(1))).otherwise(name).alias("q"))
     items = part.groupBy(name.alias("name"), F.lower("p_brand").alias("alias")).agg(F.min("p_partkey").alias("item_id"))
-    a = q.select("qid", F.explode(F.array_distinct(F.split("q", " "))).alias("tok"))
-    b = items.select("item_id", F.explode(F.array_distinct(F.split("name", " "))).alias("tok"))
-    s = a.join(b, "tok").groupBy("qid", "item_id").agg(F.count("*").alias("s"))
-    top = R.top_by(s, ["qid"], [F.desc("s"), "item_id"], 5)
-    n = top.groupBy("qid").agg(F.count("*").alias("n_candidates"))
-    return P.match_status(q, top.join(n, "qid").join(items, "item_id"), "qid", "q")
+    asked = q.where("q is not null").select("q").distinct()  # each text is matched once, with each name once
+    firsts = R.top_by(items, ["name"], ["item_id"], 5, "_n").drop("_n")  # of one name no more can be among the best five
+    a = asked.select("q", F.explode(F.array_distinct(F.split("q", " "))).alias("tok"))
+    b = firsts.select("name").distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("tok"))
+    s = a.join(b, "tok").groupBy("q", "name").agg(F.count("*").alias("s"))
+    top = R.top_by(s.join(firsts, "name"), ["q"], [F.desc("s"), "item_id"], 5)
+    n = top.groupBy("q").agg(F.count("*").alias("n_candidates"))
+    found = P.match_status(asked.withColumn("text", F.col("q")), top.join(n, "q"), "q", "text")
+    return q.join(found, "q", "left").select("qid", "item_id", F.coalesce("match_status", F.lit("rejected")).alias("match_status"))
 
 
 @query("jn09_fuzzy_match", _MATCH_SQL + "SELECT qid, item_id, match_status FROM status")
@@ -375,7 +378,15 @@ def unique_ids(spark, d):
     return R.unique_slugs(df, "slug", ["p_partkey"]).select("p_partkey", "unique_id")
 
 
-@query("tk10_budget_prefix")
+@query("tk10_budget_prefix", """
+WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+walk(conv_id, i, used, context) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM t
+  UNION ALL
+  SELECT w.conv_id, t.i, CASE WHEN used + length(text) <= 900 THEN used + length(text) + 2 ELSE used END,
+         CASE WHEN used + length(text) <= 900 THEN concat_ws(chr(10) || chr(10), context, text) ELSE context END
+  FROM walk w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1)
+SELECT conv_id, arg_max(coalesce(context, ''), i) AS context FROM walk GROUP BY 1""")
 def budget_prefix(spark, d):
     g = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return g.select("conv_id", F.array_join(R.fit_budget(F.transform("t", lambda x: x["text"]), 900), "\n\n").alias("context"))

@@ -10,7 +10,7 @@ from tessella.operators import retrieval as S
 from tessella.sources.readers import table
 
 from .registry import query
-from .text_queries import N1
+from .text_queries import _N1, N1
 
 K = 4
 _BASE = f"""
@@ -67,7 +67,17 @@ def vector_topk(spark, d):
     return S.vector_topk(e, q, "vec_id", "embedding", "query_id", 10).withColumn("score", F.round("score", 6))
 
 
-@query("rt03_sf31_additive_hybrid")
+def _hash_vector_sql(text, size):
+    """The vector of the digest of a text: its bytes over and over, as values from -1 to 1, of length 1."""
+    raw = f"list_transform(range({size}), lambda i: CAST('0x' || substr(sha256({text}), CAST(i % 32 * 2 + 1 AS INTEGER), 2) AS INTEGER) / 255.0::DOUBLE * 2 - 1)"
+    return f"list_transform({raw}, lambda x: round(x / sqrt(list_sum(list_transform({raw}, lambda y: y * y))), 6))"
+
+
+@query("rt03_sf31_additive_hybrid", f"""
+WITH p AS (SELECT p_partkey, {_hash_vector_sql("p_brand", 16)} AS v, {_N1.format(c="p_name || ' ' || p_type")} AS h FROM part),
+q AS (SELECT p_partkey AS query_id, v AS qv, list_slice(string_split(h, ' '), 1, 2) AS qt FROM p WHERE p_partkey % 100 = 0),
+s AS (SELECT query_id, p_partkey AS id, list_cosine_similarity(v, qv) + len(list_filter(qt, lambda t: contains(h, t))) / len(qt) AS score FROM p, q)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def additive_hybrid(spark, d):
     """Hash vectors stand in for embeddings of names; the queries are every 100th part."""
     p = table(spark, d, "part").select("p_partkey", T.hash_vector(F.col("p_brand"), 16).alias("v"), T.normalise_words(F.concat_ws(" ", "p_name", "p_type")).alias("h"))
@@ -137,7 +147,11 @@ def prefer(spark, d):
     return S.prefer(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", F.col("p_size") > 45).select("p_partkey", "p_brand")
 
 
-@query("rt09_tk06_topic_match")
+@query("rt09_tk06_topic_match", f"""
+WITH q AS (SELECT item_id, {N1} AS n, list_filter(string_split({N1}, ' '), lambda t: length(t) > 1) AS toks FROM benchmark),
+t(topic, phrase) AS (VALUES (0, 'the of'), (1, 'de la'), (2, 'der die'), (3, 'that thing'), (4, 'que')),
+s AS (SELECT item_id, topic, CAST(CASE WHEN contains(n, phrase) THEN len(string_split(phrase, ' ')) + 3 ELSE len(list_intersect(string_split(phrase, ' '), toks)) END AS INTEGER) AS score FROM q, t)
+SELECT item_id, topic, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, topic) AS n FROM s WHERE score > 0) WHERE n = 1""")
 def topic_match(spark, d):
     q = _questions(spark, d).select("item_id", T.normalise_words(F.col("question")).alias("nq"), T.tokens(F.col("question")).alias("qt"))
     topics = spark.createDataFrame([(i, t) for i, t in enumerate(["the of", "de la", "der die", "that thing", "que"])], "topic int, phrase string")
@@ -145,7 +159,11 @@ def topic_match(spark, d):
     return R.top_by(s.where("score > 0"), ["item_id"], [F.desc("score"), "topic"], 1).select("item_id", "topic", "score")
 
 
-@query("rt10_tk05_line_ranking")
+@query("rt10_tk05_line_ranking", r"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM conversations),
+s AS (SELECT *, 10.0::DOUBLE - 0.2::DOUBLE * pos + CASE WHEN regexp_matches(line, '(?i)^(the|die|le)\b') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM l),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, line ORDER BY turn, pos) AS n FROM s) WHERE n = 1)
+SELECT conv_id, line, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn, pos) AS rank FROM f) WHERE rank <= 7""")
 def line_ranking(spark, d):
     lines = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     score = F.lit(10.0) - 0.2 * F.col("pos") + F.when(F.col("line").rlike("(?i)^(the|die|le)\\b"), 2.0).otherwise(0.0)
@@ -160,7 +178,13 @@ def all_tokens(spark, d):
     return _docs(spark, d).where(S.all_tokens_present(toks, T.tokens(F.col("text")))).select("doc_id")
 
 
-@query("rt15_jn16_answers")
+@query("rt15_jn16_answers", _BASE + r""",
+l AS (SELECT item_id, rank, source, '[R' || rank || '] ' || substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 280) AS line FROM lex JOIN documents ON doc_id = doc WHERE rank <= 3),
+p AS (SELECT item_id, max(line) FILTER (rank = 1) AS a, max(line) FILTER (rank = 2) AS b, max(line) FILTER (rank = 3) AS c,
+  max(source) FILTER (rank = 1) AS sa, max(source) FILTER (rank = 2) AS sb, max(source) FILTER (rank = 3) AS sc FROM l GROUP BY 1),
+u AS (SELECT *, length(a) + 2 + length(b) <= 400 AS with_b FROM p),
+v AS (SELECT *, length(a) + 2 + CASE WHEN with_b THEN length(b) + 2 ELSE 0 END + length(c) <= 400 AS with_c FROM u)
+SELECT item_id, concat_ws(chr(10), replace(a, '[R1]', '[' || sa || ']'), CASE WHEN with_b THEN replace(b, '[R2]', '[' || sb || ']') END, CASE WHEN with_c THEN replace(c, '[R3]', '[' || sc || ']') END) AS answer FROM v""")
 def answers(spark, d):
     top = _lexical(spark, d, 3).join(_docs(spark, d).select(F.col("doc_id").alias("doc"), "source", T.one_line(F.col("text"), 280).alias("t")), "doc")
     line = F.concat(F.lit("[R"), F.col("rank").cast("string"), F.lit("] "), "t")

@@ -173,9 +173,28 @@ def json_props(spark, d):
 # ---------------------------------------------------------------- event state
 
 
-@query("st01_st02_state_machine")
+def _fold_sql(rules, words, start):
+    """The last state of each user, event by event: the first rule that fits decides."""
+    def fits(word, where):
+        return " AND ".join([f"control = '{word}'"] * (word != "*") + [f"state = '{where}'"] * (where != "*")) or "true"
+
+    cases = " ".join(f"WHEN {fits(word, where)} THEN " + ("state" if then == "=" else f"'{then}'") for word, where, then in rules)
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id, {list(words)}[CAST(event_id % {len(words)} + 1 AS INTEGER)] AS control, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+walk(user_id, i, state) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), '{start}' FROM e
+  UNION ALL
+  SELECT w.user_id, e.i, CASE {cases} ELSE state END FROM walk w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.i = w.i + 1)
+SELECT user_id, arg_max(state, i) AS state, max(i) AS n_events FROM walk GROUP BY 1"""
+
+
+_TALK = ("start", "fr", "accept", "theme", "ask", "menu", "back", "stop", "hello")
+_ANSWERS = ("accept", "refuse", "revoke", "reprompt", "other")
+
+
+@query("st01_st02_state_machine", _fold_sql(S.CONVERSATION, _TALK, "awaiting_language"))
 def state_machine(spark, d):
-    word = F.element_at(F.array(*[F.lit(w) for w in ("start", "fr", "accept", "theme", "ask", "menu", "back", "stop", "hello")]), (F.col("event_id") % 9 + 1).cast("int"))
+    word = F.element_at(F.array(*[F.lit(w) for w in _TALK]), (F.col("event_id") % len(_TALK) + 1).cast("int"))
     return S.batch_states(table(spark, d, "events").withColumn("control", word), "user_id", ["event_id"], "control", S.CONVERSATION, "awaiting_language")
 
 
@@ -193,7 +212,15 @@ def status_monotonic(spark, d):
     return S.last_status(e, "user_id", ["event_id"], "r", monotonic=True)
 
 
-@query("st05_ag21_rate_limit")
+@query("st05_ag21_rate_limit", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+walk AS (
+  SELECT user_id, event_id, i, ts AS window_start, 1 AS window_count FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.i, CASE WHEN e.ts - w.window_start > INTERVAL 3600 SECOND THEN e.ts ELSE w.window_start END,
+         CASE WHEN e.ts - w.window_start > INTERVAL 3600 SECOND THEN 1 ELSE w.window_count + 1 END
+  FROM walk w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.i = w.i + 1)
+SELECT user_id, event_id, window_start, window_count, window_count <= 3 AS allowed FROM walk""")
 def rate_limit(spark, d):
     return S.rate_limit(table(spark, d, "events"), "user_id", "ts", ["event_id"], 3600, 3)
 
@@ -212,9 +239,9 @@ def opt_out(spark, d):
     return S.opt_out(prefs, stops, "c_custkey", "2024-01-01 00:00:00")[0]
 
 
-@query("st08_consent_lifecycle")
+@query("st08_consent_lifecycle", _fold_sql(S.CONSENT, _ANSWERS, "pending"))
 def consent_lifecycle(spark, d):
-    word = F.element_at(F.array(*[F.lit(w) for w in ("accept", "refuse", "revoke", "reprompt", "other")]), (F.col("event_id") % 5 + 1).cast("int"))
+    word = F.element_at(F.array(*[F.lit(w) for w in _ANSWERS]), (F.col("event_id") % len(_ANSWERS) + 1).cast("int"))
     return S.batch_states(table(spark, d, "events").withColumn("control", word), "user_id", ["event_id"], "control", S.CONSENT, "pending")
 
 

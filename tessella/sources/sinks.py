@@ -15,16 +15,21 @@ def _fs(df: DataFrame, path: str):
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then put it in its place: readers see the old or the new table."""
+    """Write beside the table, then put it in its place by two renames. No reader sees a half-written table;
+    one that comes between the renames finds none. If the second fails, the old table comes back."""
     tmp, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(tmp)
     fs, p, jvm = _fs(df, path)
+    before = jvm.org.apache.hadoop.fs.Path(old)
     had = fs.exists(p)
+    if had and not fs.rename(p, before):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), p):
+        if had:
+            fs.rename(before, p)
+        raise OSError(f"can't move {tmp}")
     if had:
-        fs.rename(p, jvm.org.apache.hadoop.fs.Path(old))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), p)
-    if had:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+        fs.delete(before, True)
 
 
 def write_both(df: DataFrame, primary: str, secondary: str) -> None:
@@ -60,9 +65,10 @@ def csv_lines(df: DataFrame, quoted: list[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *[cell(c) for c in df.columns]).alias("line"))
 
 
-def materialise_view(df: DataFrame, path: str, by: str) -> None:
-    """A folder for each value of `by`; those that are written are replaced, the others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def materialise_view(df: DataFrame, path: str, by: str, whole: bool = False) -> None:
+    """A folder for each value of `by`; those that are written are replaced. The others stay, or are
+    deleted if df is the whole view."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy(by).parquet(path)
 
 
 def backup(df: DataFrame, path: str, label: str) -> str:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -105,22 +107,38 @@ def stream_into_table(stream: DataFrame, merge: Callable[[DataFrame, int], None]
 
 
 def rate_limit(events: DataFrame, key: str, at: str, order: list[str], seconds: int = 60, most: int = 20) -> DataFrame:
-    """Adds window_start, window_count, allowed. A window opens with the first event of a key after the last
-    one has passed; at most `most` events of a window are allowed. Folded over each key's events."""
-    ts = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts.alias("_t"), *order))).alias("_e"))
-    zero = F.struct(F.array().cast("array<struct<start:bigint,n:int>>").alias("out"), F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"))
-
-    def step(acc, e):
-        fresh = acc["start"].isNull() | (e["_t"] - acc["start"] > seconds * 1_000_000)
-        start = F.when(fresh, e["_t"]).otherwise(acc["start"])
-        n = F.when(fresh, F.lit(1)).otherwise(acc["n"] + 1)
-        return F.struct(F.concat(acc["out"], F.array(F.struct(start.alias("start"), n.alias("n")))).alias("out"), start.alias("start"), n.alias("n"))
-
-    folded = rows.select(key, F.arrays_zip(F.col("_e"), F.aggregate("_e", zero, step, lambda a: a["out"]).alias("_w")).alias("_z"))
-    one = folded.select(key, F.explode("_z").alias("z"))
-    got = [c if isinstance(c, str) else c for c in order]
-    return one.select(key, *[F.col(f"z._e.{c}").alias(c) for c in got], F.timestamp_micros(F.col("z._w.start")).alias("window_start"), F.col("z._w.n").alias("window_count"), (F.col("z._w.n") <= most).alias("allowed"))
+    """key, order columns, window_start, window_count, allowed. A window opens with the first event of a key after
+    the last one has passed; at most `most` events of a window are allowed. An event without a time is a window of
+    its own. Events are sorted by key and time and read as they come, so a key's events are never held together."""
+    span = seconds * 1_000_000
+    rows = events.select(key, *order, F.unix_micros(F.col(at).cast("timestamp")).alias("_t")).repartition(key).sortWithinPartitions(key, "_t", *order)
+
+    def run(batches):
+        last, start, n = None, None, 0  # the key so far, its window and the events in that
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, times = batch.column(key), batch.column("_t")
+            code = np.asarray(keys.dictionary_encode("encode").indices)
+            known, t = np.asarray(times.is_valid()), np.asarray(times.fill_null(0))
+            starts, counts = t.copy(), np.ones(len(t), np.int32)
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]).tolist()
+            for a, b in zip(first, [*first[1:], len(t)]):
+                if last != (own := (keys[a].as_py(),)):
+                    last, start, n = own, None, 0
+                a += int((~known[a:b]).sum())  # they stand first
+                while a < b:
+                    if start is None or t[a] - start > span:
+                        start, n = int(t[a]), 0
+                    c = int(np.searchsorted(t[a:b], start + span, "right"))
+                    starts[a : a + c], counts[a : a + c] = start, n + 1 + np.arange(c)
+                    n, a = n + c, a + c
+            told = [pa.array(starts, mask=~known), pa.array(counts), pa.array(counts <= most)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, *order)), *told], [key, *order, "window_start", "window_count", "allowed"])
+
+    out = rows.drop("_t").withColumns({"window_start": F.lit(0).cast("long"), "window_count": F.lit(0), "allowed": F.lit(True)})
+    kind = events.schema[at].dataType
+    return rows.mapInArrow(run, out.schema).withColumn("window_start", F.timestamp_micros("window_start").cast(kind))
 
 
 # ---------------------------------------------------------------- ingestion and consent
