@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,23 +155,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, entries: i
                 ], ["key", "grade", "cols", "vals"])
 
     found = materialize(told.mapInArrow(run, "key long, grade int, cols binary, vals binary"), "fit")
-    sizes = sorted(map(tuple, found.select("key", (F.length("cols") / 4).cast("long")).collect()))  # at most `rows` rows
-    total, last = 0, None
-    for key, n in sizes:
-        total += n
-        if total > entries and last is not None:
-            break
-        last = key
-    some = found.where(F.col("key") <= last) if sizes else found
-    # in an order that tasks have no part in
-    got = some.toArrow().sort_by([("key", "ascending"), ("grade", "ascending")]).combine_chunks()
+    # positions in an order that tasks have no part in: at most `rows` rows, and as many as `entries` allows (one at least)
+    sizes = sorted(map(tuple, found.select("key", "grade", (F.length("cols") / 4).cast("long")).collect()))
+    at = np.r_[0, np.cumsum([n for _, _, n in sizes], dtype=np.int64)]
+    kept = min(len(sizes), max(1, int(np.searchsorted(at, entries, "right")) - 1))
+    at, places = at[: kept + 1], {}
+    for i, told_by in enumerate(sizes[:kept]):
+        places.setdefault(told_by, []).append(i)
+    grades = np.array([g for _, g, _ in sizes[:kept]], np.int64)
+    cols, vals = np.zeros(at[-1], np.uint32), np.zeros(at[-1], np.float32)
+    some = found.where(F.col("key") <= sizes[kept - 1][0]) if kept else found
+    for key, grade, c, v in some.coalesce(8).toLocalIterator():  # an eighth at a time, straight to its place
+        free = places.get((key, grade, len(c) // 4))
+        if free:
+            i = free.pop()
+            cols[at[i] : at[i + 1]], vals[at[i] : at[i + 1]] = np.frombuffer(c, np.uint32), np.frombuffer(v, np.float32)
     release(found)
-    size = pc.binary_length(got["cols"]).to_numpy() // 4
-    at = np.r_[0, np.cumsum(size, dtype=np.int64)]
-    cols = np.frombuffer(b"".join(c.buffers()[2].to_pybytes()[: at[-1] * 4] for c in got["cols"].chunks if len(c)), np.uint32)
-    vals = np.frombuffer(b"".join(c.buffers()[2].to_pybytes()[: at[-1] * 4] for c in got["vals"].chunks if len(c)), np.float32)
-    grades = got["grade"].to_numpy().astype(np.int64)
-    del got
     return fit_ordinal(at, cols, vals, grades)
 
 
