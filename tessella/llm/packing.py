@@ -137,8 +137,10 @@ class _Priced:
 
     def draw(self, rng, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(configuration, length) of n configurations drawn by their weight."""
-        rest = np.arange(self.size + 1)[:, None] - self.lengths[None, :]
-        ways = np.cumsum(np.where(rest >= 0, self.w[self.lengths][None, :] * self.upto[np.maximum(rest, 0)], 0.0), axis=1)
+        ways = np.zeros((self.size + 1, len(self.lengths)))  # by room and length; the one large table of the plan
+        for k, length in enumerate(self.lengths.tolist()):
+            ways[length:, k] = self.w[length] * self.upto[: self.size + 1 - length]
+        np.cumsum(ways, axis=1, out=ways)
         room, live, rows = np.full(n, self.size), np.arange(n), []
         while len(live):
             u = rng.random(len(live)) * self.upto[room[live]]
