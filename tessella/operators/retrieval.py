@@ -6,6 +6,11 @@ document for every query; per-query top-k is a ranked window, which Spark cuts b
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +18,13 @@ from tessella.functions import text as T
 from tessella.functions.vectors import cosine, norm
 
 # fixed values of the ranking
-K1, B, RRF_K = 1.5, 0.75, 60
+K1, B, RRF_K, PER_TOKEN = 1.5, 0.75, 60, 3.0
 WEIGHTS = {"exact": 0.08, "topical": 0.05, "scope": 0.05}
 EXACT = {"article": 8, "document": 10, "date": 4, "label": 6}
 
+#: Bytes of the vectors of a block of queries, about; scores that a task holds at once.
+QUERY_BYTES, SCORES = 32 << 20, 1 << 21
+
 
 def term_stats(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tf, df, stats): term counts of each document, documents of each term, and n_docs and avg_len."""
@@ -28,10 +36,10 @@ def term_stats(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataF
     return tf, df, stats
 
 
-def bm25(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: str, query: str) -> DataFrame:
-    """query_id, doc, score of every document that shares a term with the query.
+def term_scores(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: str, query: str) -> DataFrame:
+    """query_id, doc, score (BM25) and hits (PER_TOKEN for each distinct term) of every document that shares a term.
 
-    Only postings of query terms leave the scan: terms of a bounded query set are broadcast.
+    Only postings of query terms leave the scan, and both scores come from the same postings.
     """
     q = queries.select(query_id, F.explode(F.array_distinct(T.tokens(F.col(query)))).alias("term"))
     toks = docs.select(F.col(ident).alias("doc"), T.tokens(F.col(text)).alias("toks"))
@@ -44,19 +52,79 @@ def bm25(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: s
     joined = tf.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return joined.groupBy(query_id, "doc").agg(F.sum(idf * part).alias("score"))
+    return joined.groupBy(query_id, "doc").agg(F.sum(idf * part).alias("score"), (F.count("*") * PER_TOKEN).alias("hits"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, query_id: str, k: int, extra: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: str, query: str) -> DataFrame:
+    """query_id, doc, score of every document that shares a term with the query."""
+    return term_scores(docs, queries, ident, text, query_id, query).select(query_id, "doc", "score")
+
+
+def _unit_vectors(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length: the places of the vectors of an Arrow column that have a direction, and these."""
+    lens = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    flat = pc.fill_null(column.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    begin, out = np.cumsum(lens) - lens, {}
+    for d in np.unique(lens[lens > 0]).tolist():
+        at = np.flatnonzero(lens == d)
+        x = flat[begin[at][:, None] + np.arange(d)]
+        n = np.sqrt((x * x).sum(1))
+        some = np.isfinite(n) & (n > 0)
+        out[d] = (at[some], x[some] / n[some, None])
+    return out
+
+
+def _best(q: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int):
+    """The k greatest scores of each q, of equal ones those of least id."""
+    o = np.lexsort((ident, -score, q))
+    q, score, ident = q[o], score[o], ident[o]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])[: len(q)]
+    some = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+    return q[some], score[some], ident[some]
+
+
+def _block_topk(vectors: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    """_q, id, score: for each query of a block the k best of each task, by matrix products."""
+    told = block.toArrow().combine_chunks()
+    held = vectors.sparkSession.sparkContext.broadcast((pa.array(told.column("id").to_pylist(), told.schema.field("id").type), _unit_vectors(told.column("v").combine_chunks())))
+
+    def run(batches):
+        asked, of_length = held.value
+        best, kind = None, None
+        for batch in batches:
+            ids, kind = batch.column("id").to_numpy(zero_copy_only=False), batch.column("id").type
+            for d, (at, x) in _unit_vectors(batch.column("v")).items():
+                if d not in of_length or not len(at):
+                    continue
+                q_at, y = of_length[d]
+                step = max(1, SCORES // len(at))
+                for i in range(0, len(q_at), step):
+                    s = np.round(y[i : i + step] @ x.T, 12)
+                    edge = np.partition(s, len(at) - k, axis=1)[:, [len(at) - k]] if len(at) > k else 0.0
+                    r, c = np.nonzero((s >= edge) & (s > 0))
+                    new = _best(q_at[i + r], s[r, c], ids[at[c]], k)
+                    best = new if best is None else _best(*(np.concatenate(pair) for pair in zip(best, new)), k)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(best[0])), pa.array(best[2], kind), pa.array(best[1])], ["_q", "id", "score"])
+
+    schema = block.select(F.col("id").alias("_q")).schema.add("id", vectors.schema["id"].dataType).add("score", "double")
+    return vectors.mapInArrow(run, schema)
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, query_id: str, k: int) -> DataFrame:
     """query_id, id, score, rank: the k vectors of greatest positive cosine for each of a stated set of queries.
 
-    The queries are blocks that every vector meets (there is no candidate pair list); norms are computed once.
+    The queries go in blocks of about QUERY_BYTES, each broadcast for one pass over the vectors; of every task
+    and query only the k best are shuffled. Vectors that are null, zero or not finite, of another length or
+    without an id match nothing; a null component is 0. Cosines count to 12 digits, equal ones go by id.
     """
-    v = vectors.select(F.col(ident).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv"))
-    q = queries.select(F.col(query_id), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_nq"))
-    scored = v.join(F.broadcast(q), F.size("_v") == F.size("_q")).select(query_id, "id", cosine(F.col("_v"), F.col("_q"), F.col("_nv"), F.col("_nq")).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), "id")
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    v = vectors.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    q = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    size = q.agg(F.sum(8 * F.size("v") + 16)).first()[0] or 0
+    blocks = max(1, -(-int(size) // QUERY_BYTES))
+    parts = [_block_topk(v, q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), k) for i in range(blocks)]
+    found = reduce(DataFrame.union, parts).select(F.col("_q").alias(query_id), "id", "score")
+    return ranked(found, query_id, "id", k)
 
 
 def additive_hybrid(docs: DataFrame, queries: DataFrame, ident: str, vector: str, haystack: str, query_id: str, query_vector: str, query_tokens: str, k: int) -> DataFrame:
@@ -75,17 +143,28 @@ def ranked(scores: DataFrame, query_id: str, ident: str, k: int, score: str = "s
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _rrf_part(c: str, missing_rank: int | None, k: int) -> Column:
+    rank = F.col(c) if missing_rank is None else F.coalesce(F.col(c), F.lit(missing_rank))
+    return F.coalesce(1.0 / (k + rank), F.lit(0.0))
+
+
 def rrf(left: DataFrame, right: DataFrame, query_id: str, ident: str, missing_rank: int | None = None, k: int = RRF_K) -> DataFrame:
     """query_id, id, left_rank, right_rank, fused. A missing rank counts 0, or as missing_rank if that is given."""
     a = left.select(query_id, ident, F.col("rank").alias("left_rank"))
     b = right.select(query_id, ident, F.col("rank").alias("right_rank"))
     both = a.join(b, [query_id, ident], "full_outer")
+    return both.withColumn("fused", _rrf_part("left_rank", missing_rank, k) + _rrf_part("right_rank", missing_rank, k))
 
-    def part(c: str) -> Column:
-        rank = F.col(c) if missing_rank is None else F.coalesce(F.col(c), F.lit(missing_rank))
-        return F.coalesce(1.0 / (k + rank), F.lit(0.0))
 
-    return both.withColumn("fused", part("left_rank") + part("right_rank"))
+def rrf_of_scores(scores: DataFrame, query_id: str, ident: str, left: Column, right: Column, n: int, missing_rank: int | None = None, k: int = RRF_K) -> DataFrame:
+    """rrf() of the n best by two columns of one table, which is computed once: both rankings are one window."""
+    side = lambda i, c: F.struct(F.lit(i).alias("_side"), c.cast("double").alias("_score"))
+    rows = scores.select(query_id, ident, F.explode(F.array(side(0, left), side(1, right))).alias("_s")).select(query_id, ident, "_s.*")
+    w = Window.partitionBy(query_id, "_side").orderBy(F.desc("_score"), ident)
+    top = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    of = lambda i: F.max(F.when(F.col("_side") == i, F.col("rank")))
+    both = top.groupBy(query_id, ident).agg(of(0).alias("left_rank"), of(1).alias("right_rank"))
+    return both.withColumn("fused", _rrf_part("left_rank", missing_rank, k) + _rrf_part("right_rank", missing_rank, k))
 
 
 def candidates(limit: int) -> int:
@@ -121,13 +200,12 @@ def rerank(fused: DataFrame, exact: Column, topical: Column, scope: Column, quer
 
 def hybrid(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: str, query: str, k: int) -> DataFrame:
     """Lexical and keyword ranks of each query fused; query_id, doc, left_rank, right_rank, fused, rank."""
-    n = candidates(k)
-    lexical = ranked(bm25(docs, queries, ident, text, query_id, query), query_id, "doc", n)
-    keywords = ranked(token_hits(docs, queries, ident, text, query_id, query), query_id, "doc", n)
-    return ranked(rrf(lexical, keywords, query_id, "doc"), query_id, "doc", k, "fused")
+    scores = term_scores(docs, queries, ident, text, query_id, query)
+    fused = rrf_of_scores(scores, query_id, "doc", F.col("score"), F.col("hits"), candidates(k))
+    return ranked(fused, query_id, "doc", k, "fused")
 
 
-def token_hits(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: str, query: str, per_token: float = 3.0) -> DataFrame:
+def token_hits(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: str, query: str, per_token: float = PER_TOKEN) -> DataFrame:
     """Score of documents by distinct query tokens that they hold as words, per_token each."""
     q = queries.select(query_id, F.explode(F.array_distinct(T.tokens(F.col(query)))).alias("term"))
     d = docs.select(F.col(ident).alias("doc"), F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))

@@ -68,7 +68,13 @@ def preview(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(C.preview(lines, lambda x: F.regexp_count(x, F.lit(r"\bthe\b"))), "\n").alias("preview"))
 
 
-@query("ag14_ag17_top_words")
+_WORDS = rf"regexp_extract_all(lower(coalesce(text, '')), '{T.WORD.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("ag14_ag17_top_words", f"""
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS pos FROM documents),
+g AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) >= 4 AND word NOT IN ('that', 'this', 'with') AND NOT regexp_matches(word, '^[0-9]+$') GROUP BY 1, 2)
+SELECT doc_id, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM g) WHERE rank <= 8""")
 def top_words(spark, d):
     return C.top_words(table(spark, d, "documents"), "doc_id", "text", ["that", "this", "with"])
 

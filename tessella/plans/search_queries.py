@@ -44,6 +44,11 @@ def _keywords(spark, d, n):
     return S.ranked(S.token_hits(_docs(spark, d), _questions(spark, d), "doc_id", "text", "item_id", "question"), "item_id", "doc", n)
 
 
+def _fused(spark, d, n, missing_rank=None):
+    scores = S.term_scores(_docs(spark, d), _questions(spark, d), "doc_id", "text", "item_id", "question")
+    return S.rrf_of_scores(scores, "item_id", "doc", F.round("score", 6), F.col("hits"), n, missing_rank)
+
+
 @query("ag06_term_stats", f"""
 WITH d AS (SELECT doc_id AS doc, unnest(list_filter(string_split({N1}, ' '), lambda t: length(t) > 1)) AS term FROM documents),
 tf AS (SELECT doc, term, count(*) AS tf FROM d GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY 1""")
@@ -93,8 +98,7 @@ fused AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc, b.do
 SELECT item_id, doc, left_rank, right_rank, round(fused, 9) AS fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(fused, 9) DESC, doc) AS rank FROM fused) WHERE rank <= {K}""")
 def hybrid_rrf(spark, d):
     """JN07, RT04, RT11: the flagship, lexical and keyword ranks fused for all questions in one job."""
-    n = S.candidates(K)
-    fused = S.rrf(_lexical(spark, d, n), _keywords(spark, d, n), "item_id", "doc").withColumn("fused", F.round("fused", 9))
+    fused = _fused(spark, d, S.candidates(K)).withColumn("fused", F.round("fused", 9))
     return S.ranked(fused, "item_id", "doc", K, "fused").select("item_id", "doc", "left_rank", "right_rank", "fused", "rank")
 
 
@@ -102,15 +106,30 @@ def hybrid_rrf(spark, d):
 SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc, b.doc) AS doc, round(1.0 / (60 + coalesce(a.rank, 1000)) + 1.0 / (60 + coalesce(b.rank, 1000)), 9) AS fused
   FROM (SELECT * FROM lex WHERE rank <= 32) a FULL JOIN (SELECT * FROM kw WHERE rank <= 32) b ON a.item_id = b.item_id AND a.doc = b.doc""")
 def sql_rrf(spark, d):
-    fused = S.rrf(_lexical(spark, d, 8 * K), _keywords(spark, d, 8 * K), "item_id", "doc", missing_rank=1000)
+    fused = _fused(spark, d, 8 * K, missing_rank=1000)
     return fused.select("item_id", "doc", F.round("fused", 9).alias("fused"))
 
 
+@query("rt04_rt11_rt12_vector_rrf", _BASE + f""",
+dv AS (SELECT doc_id, {_hash_vector_sql("text", 32)} AS v FROM documents), qv AS (SELECT item_id, {_hash_vector_sql("text", 32)} AS qv FROM benchmark),
+cs AS (SELECT item_id, doc_id AS doc, round(list_cosine_similarity(v, qv), 12) AS score FROM dv, qv),
+near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc) AS rank FROM cs WHERE score > 0)
+SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc, b.doc) AS doc, a.rank AS left_rank, b.rank AS right_rank,
+  round(1.0 / (60 + coalesce(a.rank, 1000)) + 1.0 / (60 + coalesce(b.rank, 1000)), 9) AS fused
+  FROM (SELECT * FROM lex WHERE rank <= 32) a FULL JOIN (SELECT * FROM near WHERE rank <= 32) b ON a.item_id = b.item_id AND a.doc = b.doc""")
+def vector_rrf(spark, d):
+    """Lexical and vector ranks fused; hash vectors of whole texts stand in for a model's."""
+    v = _docs(spark, d).select("doc_id", T.hash_vector(F.col("text"), 32).alias("v"))
+    q = _questions(spark, d).select("item_id", T.hash_vector(F.col("question"), 32).alias("v"))
+    near = S.vector_topk(v, q, "doc_id", "v", "item_id", 8 * K).withColumnRenamed("id", "doc")
+    fused = S.rrf(_lexical(spark, d, 8 * K), near, "item_id", "doc", missing_rank=1000)
+    return fused.select("item_id", "doc", "left_rank", "right_rank", F.round("fused", 9).alias("fused"))
+
+
 @query("rt05_rt11_rerank")
 def rerank(spark, d):
     """Fused ranks with exact, topical and scope boosts; the corpus is the whole document."""
-    n = S.candidates(K)
-    fused = S.rrf(_lexical(spark, d, n), _keywords(spark, d, n), "item_id", "doc")
+    fused = _fused(spark, d, S.candidates(K))
     docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), "text", "source", "lang")
     q = _questions(spark, d).select("item_id", T.normalise_words(F.col("question")).alias("nq"), T.tokens(F.col("question")).alias("qt"))
     x = fused.join(docs, "doc").join(F.broadcast(q), "item_id").withColumn("toks", T.tokens(F.col("text")))
