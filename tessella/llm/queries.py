@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embed_dedup, fingerprints, minhash, mixing, packing, quality, substring_dedup, suffix_dedup, url_filters
+from . import alignment, byte_bpe, chat, delta_lloyd, embed_dedup, fingerprints, minhash, mixing, packing, quality, substring_dedup, suffix_dedup, url_filters
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: host, path, verdict
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -62,6 +62,18 @@ def op10_url_filters(spark, sf_dir):
     return url_filters.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_byte_bpe(spark, sf_dir):
+    return byte_bpe.roundtrip_report(table(spark, sf_dir, "documents"), tokenizer_path(RANKS))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return delta_lloyd.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), tokenizer_path(PIECES))
+
+
 OP3_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
@@ -134,6 +146,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_document_fingerprints, op3_chat_perspectives, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_suffix_array_dedup, op7_quality_classifier,
         op8_substring_dedup, op9_source_mixing, op10_url_filters,
+        op11_byte_bpe, op12_centroid_clustering, op13_tokenizer_alignment,
     )}
 
 

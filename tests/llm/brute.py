@@ -137,3 +137,88 @@ def judge_url(url, rules, default="allow"):
             if best is None or (len(h + p), len(h)) > (len(best[0]), best[2]):
                 best = (h + p, v, len(h))
     return host, path, best and best[0], best[1] if best else default
+
+
+# ---------------------------------------------------------------- tokenizers and clusters
+
+
+def byte_bpe(texts, ranks, pattern):
+    """id -> (ids, bytes): merges of the lowest rank first, match by match."""
+    import regex
+
+    names = {k: t for t, k in ranks.items()}
+
+    def merge(word):
+        parts = [bytes([b]) for b in word]
+        while len(parts) > 1:
+            rank, k = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return [ranks[p] for p in parts]
+
+    out = {}
+    for i, t in texts:
+        ids = [x for m in regex.findall(pattern, t or "") for x in merge(m.encode())]
+        out[i] = ids, b"".join(names[x] for x in ids)
+    return out
+
+
+def lloyd(rows, k=16, rounds=3, dim=64, seed=1):
+    """[(id, cluster, distance)] in the order of the rows that are kept, and the centroids."""
+    import math
+
+    kept = []
+    for i, x in rows:
+        if x is not None and len(x) == dim and all(c is not None and math.isfinite(c) for c in x):
+            kept.append((i, [math.floor(64 * c) for c in x]))
+    kept_sorted = sorted(kept, key=lambda r: (sha(f"{seed}:{'' if r[0] is None else r[0]}".encode()), r[1]))
+    centres = [v for _, v in kept_sorted[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centres))
+
+    for _ in range(rounds):
+        where = defaultdict(list)
+        for _, v in kept:
+            where[nearest(v)[1]].append(v)
+        centres = [[sum(col) // len(where[j]) for col in zip(*where[j])] if where[j] else c for j, c in enumerate(centres)]
+    told = [(i, *nearest(v)[::-1]) for i, v in kept]
+    return told, centres
+
+
+def alignment(texts, encode_a, bytes_a, encode_b, bytes_b):
+    """Rows (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), token by token."""
+    told, held = [], defaultdict(set)
+    for n, (i, t) in enumerate(texts):
+        a, b = (encode_a(" " + t), encode_b(t)) if t else ([], [])
+        whole = (" " + (t or "")).encode()
+        if not t or b"".join(map(bytes_a, a)) != whole or b"".join(map(bytes_b, b)) != whole:
+            told.append((i, [], [], [], []))
+            continue
+
+        def ends(ids, of):
+            out, at = [], 0
+            for x in ids:
+                out.append((at, at + len(of(x)), x))
+                at += len(of(x))
+            return out
+
+        ea, eb = ends(a, bytes_a), ends(b, bytes_b)
+        both = sorted({e for _, e, _ in ea} & {e for _, e, _ in eb})
+        groups, start = [], 0
+        for end in both:
+            groups.append(tuple(",".join(str(x) for s, e, x in side if start < e <= end) for side in (ea, eb)))
+            start = end
+        links = [(x, y) for s, e, x in ea for s2, e2, y in eb if s < e2 and s2 < e]
+        for pair in links:
+            held[pair].add(n)
+        told.append((i, a, b, groups, links))
+    top = defaultdict(int)
+    for (x, _), docs in held.items():
+        top[x] = max(top[x], len(docs))
+    out = []
+    for i, a, b, groups, links in told:
+        text = ";".join(f"{x}|{y}" for x, y in groups)
+        out.append((i, len(a), len(b), len(groups), len(links), sum(len(held[p]) == top[p[0]] for p in links), sum(len(held[p]) for p in links), sha(text.encode()) if a else ""))
+    return out

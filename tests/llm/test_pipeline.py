@@ -59,7 +59,7 @@ def test_stages_keep_the_columns_of_documents(spark, sf):
 
 def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
