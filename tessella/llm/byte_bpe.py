@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import arrow_batches, materialize, span_hash
-from .lexicon import block_number, blocks_of, bucket_count, by_bucket, flat_bytes, pack_ints, pack_many, pack_words, pattern_cuts, ragged, sent_array, spans, to_blocks, to_buckets, unpack_ints, unpack_many, unpack_words
+from .core import arrow_batches, span_hash
+from .lexicon import block_number, blocks_of, bucket_count, by_bucket, flat_bytes, pack_ints, pack_many, pack_words, pattern_cuts, ragged, sent_array, spans, to_blocks, to_buckets, unpack_ints, unpack_many, unpack_words, write_bucketed
 
 BLOCKS = "block long, doc_ids array<long>, n_words binary, codes binary, slots binary, sent array<struct<bucket:int,data:binary>>"
 
@@ -125,7 +125,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) of every text, by the rank file at path."""
     arrow_batches(docs.sparkSession)
     buckets = bucket_count(docs)
-    blocks = materialize(word_blocks(docs, buckets), "bpe")
+    blocks, _ = write_bucketed(word_blocks(docs, buckets), "block", "bpe")
     told = encoded_words(to_buckets(blocks, "sent", buckets), path)
 
     def run(batches):

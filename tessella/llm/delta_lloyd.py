@@ -22,14 +22,14 @@ further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import arrow_batches, materialize, own_shuffles, partitions, release, remove_path, shared_dir
+from .core import arrow_batches, materialize, partitions, release
+from .lexicon import drop_bucketed, write_bucketed
 
 CLUSTERS, ROUNDS, DIM, SCALE, SEED = 16, 3, 64, 64, 1
 LIMIT = 1 << 27
@@ -105,20 +105,15 @@ class Lloyd:
         self.counts = np.zeros(len(self.centroids), object)
         self.changed = np.arange(len(self.centroids))
         self.owners: DataFrame | None = None
-        self.compared: list[int] = []
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        name = f"tessella_lloyd_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark).rstrip('/')}/{name}"
-        with own_shuffles(self.spark):
-            df.write.bucketBy(self.buckets, "row").sortBy("row").option("path", path).option("compression", "zstd").saveAsTable(name)
+        table, name = write_bucketed(df, "row", "lloyd")
         self.tables.append(name)
-        return self.spark.table(name)
+        return table
 
     def _drop(self, name: str) -> None:
         self.tables.remove(name)
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        remove_path(self.spark, f"{shared_dir(self.spark).rstrip('/')}/{name}")
+        drop_bucketed(self.spark, name)
 
     def reassign(self) -> None:
         """One round of assignments; adds the transfers of moved vectors to the global sums."""

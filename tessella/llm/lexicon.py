@@ -11,18 +11,19 @@ The hash only chooses a bucket; values are compared as values.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import partitions
+from .core import BLOCK_BYTES, own_shuffles, partitions, remove_path, shared_dir
 
 #: Bytes of text of a block, about; of text behind a bucket, about.
-BLOCK, BUCKET = 8 << 20, 256 << 20
+BLOCK, BUCKET = 16 << 20, 256 << 20
 #: White space, letters, numbers of the pattern that splits text, in this order; all else is a fourth class.
 CLASSES = (r"\s", r"\p{L}", r"\p{N}")
 #: What follows an apostrophe in a part of its own (fixed values of the pattern).
@@ -121,6 +122,16 @@ def _follows(points: np.ndarray, at: np.ndarray, word: str) -> np.ndarray:
 
 
 def pattern_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """_pattern_cuts(), for about BLOCK_BYTES of texts at a time."""
+    out, i, n = [np.zeros(1, np.int64)], 0, len(offsets) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1))
+        out.append(offsets[i] + _pattern_cuts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1:])
+        i = j
+    return np.concatenate(out)
+
+
+def _pattern_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte offsets at which the matches of public_tokenizers.PATTERN start in texts data[offsets[i]:offsets[i+1]],
     and the end: runs of one class of code points; a run after white space takes its last blank with it (other white
     space before it stands alone); an apostrophe that begins a run takes s, t, re, ve, m, ll, d that follow."""
@@ -206,6 +217,23 @@ def sent_array(rows: list[list[tuple[int, bytes]]]) -> pa.Array:
     return pa.array([[{"bucket": b, "data": d} for b, d in row] for row in rows], kind)
 
 
+def write_bucketed(df: DataFrame, key: str, tag: str) -> tuple[DataFrame, str]:
+    """(df as a table in the shared folder, bucketed and sorted by key, its name): joins by key read it where it is."""
+    spark, name = df.sparkSession, f"tessella_{tag}_{uuid.uuid4().hex}"
+    with own_shuffles(spark):
+        df.write.bucketBy(partitions(spark), key).sortBy(key).option("path", _place(spark, name)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), name
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}"
+
+
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove_path(spark, _place(spark, name))
+
+
 def to_buckets(blocks: DataFrame, column: str, n: int) -> DataFrame:
     """block, bucket, data of every packed dictionary; the partition of a row is its bucket."""
     rows = blocks.select("block", F.explode(column).alias("_s")).select("block", "_s.bucket", "_s.data")
@@ -213,6 +241,6 @@ def to_buckets(blocks: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def to_blocks(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """blocks with `answers`, the packed answers of all buckets by bucket (a block's own dictionary bounds them)."""
+    """blocks (read where they are, if bucketed by block) with `answers`, the packed answers of all buckets by bucket (a block's own dictionary bounds them)."""
     told = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("answers"))
     return blocks.join(told, "block", "left")
