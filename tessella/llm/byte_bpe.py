@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .core import arrow_batches, span_hash
 from .lexicon import block_number, blocks_of, bucket_count, by_bucket, flat_bytes, pack_ints, pack_many, pack_words, pattern_cuts, ragged, sent_array, spans, to_blocks, to_buckets, unpack_ints, unpack_many, unpack_words, write_bucketed
 
+#: Words of the documents that are put together at a time.
+PART = 1 << 17
 BLOCKS = "block long, doc_ids array<long>, n_words binary, codes binary, slots binary, sent array<struct<bucket:int,data:binary>>"
 
 
@@ -138,10 +140,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 if answers:
                     count[slots] = (n := np.concatenate([a[0] for a in answers]))
                     start[slots] = np.cumsum(n) - n
-                ids = flat[ragged(start[codes], count[codes])]
                 words = np.r_[0, np.cumsum(unpack_ints(row["n_words"]))]
-                edge = np.r_[0, np.cumsum(count[codes])][words]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+                first, n = 0, len(row["doc_ids"])
+                while first < n:  # documents of about PART words at a time
+                    last = min(n, max(first + 1, int(np.searchsorted(words, words[first] + PART, "right")) - 1))
+                    some = codes[words[first] : words[last]]
+                    edge = np.r_[0, np.cumsum(count[some])][words[first : last + 1] - words[first]]
+                    ids = flat[ragged(start[some], count[some])]
+                    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][first:last], pa.int64()), lists], ["doc_id", "ids"])
+                    first = last
 
     whole = to_blocks(blocks.drop("sent"), told).select("doc_ids", "n_words", "codes", "slots", "answers")
     return whole.mapInArrow(run, "doc_id long, ids array<int>")
