@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import chunk_queries, relational_queries, search_queries, table_queries, text_queries  # noqa: F401
+    from . import chunk_queries, relational_queries, search_queries, state_queries, table_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:
