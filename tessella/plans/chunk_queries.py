@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import chunking as C
-from tessella.sources.readers import table
+from tessella.sources.readers import spread, table
 
 from .registry import query
 
@@ -14,7 +14,7 @@ from .registry import query
 def _paged(spark, d):
     """Documents as pages of one text each, lines as paragraphs."""
     page = F.struct(F.lit(1).alias("page_number"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    return table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.array(page).alias("pages"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("source").alias("title"), F.array(page).alias("pages"))
 
 
 @query("ch06_wn08_paragraph_chunks", r"""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import relational as R
+from tessella.operators import rerank as RR
 from tessella.operators import retrieval as S
-from tessella.sources.readers import table
+from tessella.operators.search_index import SearchIndex
+from tessella.session import shared_dir
+from tessella.sources.readers import spread, table
 
 from .registry import query
 from .text_queries import _N1, N1
@@ -35,26 +40,35 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
 
 
-def _lexical(spark, d, n):
-    scores = S.bm25(_docs(spark, d), _questions(spark, d), "doc_id", "text", "item_id", "question")
-    return S.ranked(scores.withColumn("score", F.round("score", 6)), "item_id", "doc", n)
+def stored_index(spark, d, name="documents", rows=_docs, text="text") -> SearchIndex:
+    """The index of rows made of a table of a folder, in the shared folder; made when it is not there for these very files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [path] if fs.getFileStatus(path).isFile() else [f.getPath() for f in fs.listStatus(path)]
+    told = sorted((str(f), fs.getFileStatus(f).getLen(), fs.getFileStatus(f).getModificationTime()) for f in files)
+    index = SearchIndex(spark, f"{shared_dir(spark)}/search-{hashlib.sha256(repr(told).encode()).hexdigest()[:24]}")
+    if not index.exists():
+        index.add(spread(rows(spark, d), "doc_id"), "doc_id", text)
+    return index
+
 
+def _scores(spark, d, n, questions=None):
+    return stored_index(spark, d).scores(questions or _questions(spark, d), "item_id", "question", n)
 
-def _keywords(spark, d, n):
-    return S.ranked(S.token_hits(_docs(spark, d), _questions(spark, d), "doc_id", "text", "item_id", "question"), "item_id", "doc", n)
+
+def _lexical(spark, d, n):
+    return S.ranked(_scores(spark, d, n), "item_id", "doc", n)
 
 
 def _fused(spark, d, n, missing_rank=None):
-    scores = S.term_scores(_docs(spark, d), _questions(spark, d), "doc_id", "text", "item_id", "question")
-    return S.rrf_of_scores(scores, "item_id", "doc", F.round("score", 6), F.col("hits"), n, missing_rank)
+    return S.rrf_of_scores(_scores(spark, d, n), "item_id", "doc", F.col("score"), F.col("hits"), n, missing_rank)
 
 
 @query("ag06_term_stats", f"""
 WITH d AS (SELECT doc_id AS doc, unnest(list_filter(string_split({N1}, ' '), lambda t: length(t) > 1)) AS term FROM documents),
 tf AS (SELECT doc, term, count(*) AS tf FROM d GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY 1""")
 def term_stats(spark, d):
-    tf, df, _ = S.term_stats(_docs(spark, d), "doc_id", "text")
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return stored_index(spark, d).term_stats()
 
 
 @query("rt01_tk09_bm25_topk", _BASE + "SELECT item_id, doc, score, rank FROM lex WHERE rank <= 20")
@@ -119,7 +133,7 @@ SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc, b.doc) AS doc,
   FROM (SELECT * FROM lex WHERE rank <= 32) a FULL JOIN (SELECT * FROM near WHERE rank <= 32) b ON a.item_id = b.item_id AND a.doc = b.doc""")
 def vector_rrf(spark, d):
     """Lexical and vector ranks fused; hash vectors of whole texts stand in for a model's."""
-    v = _docs(spark, d).select("doc_id", T.hash_vector(F.col("text"), 32).alias("v"))
+    v = spread(_docs(spark, d), "doc_id").select("doc_id", T.hash_vector(F.col("text"), 32).alias("v"))
     q = _questions(spark, d).select("item_id", T.hash_vector(F.col("question"), 32).alias("v"))
     near = S.vector_topk(v, q, "doc_id", "v", "item_id", 8 * K).withColumnRenamed("id", "doc")
     fused = S.rrf(_lexical(spark, d, 8 * K), near, "item_id", "doc", missing_rank=1000)
@@ -130,7 +144,7 @@ def vector_rrf(spark, d):
 def rerank(spark, d):
     """Fused ranks with exact, topical and scope boosts; the corpus is the whole document."""
     fused = _fused(spark, d, S.candidates(K))
-    docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), "text", "source", "lang")
+    docs = spread(_docs(spark, d), "doc_id").select(F.col("doc_id").alias("doc"), "text", "source", "lang")
     q = _questions(spark, d).select("item_id", T.normalise_words(F.col("question")).alias("nq"), T.tokens(F.col("question")).alias("qt"))
     x = fused.join(docs, "doc").join(F.broadcast(q), "item_id").withColumn("toks", T.tokens(F.col("text")))
     none = F.array().cast("array<string>")
@@ -140,6 +154,39 @@ def rerank(spark, d):
     return S.rerank(x, exact, topical, scope, "item_id", "doc", K).select("item_id", "doc", F.round("rerank_score", 9).alias("rerank_score"), "rank")
 
 
+def rule_chunks(spark, d):
+    """Parts as chunks of rules: their columns give titles, articles, types, lists and standing."""
+    pick = lambda words, k: F.element_at(F.array(*(F.lit(w).cast("string") for w in words)), (F.col("p_partkey") % k + 1).cast("int"))
+    some = lambda k, words: F.when(F.col("p_partkey") % k == 0, F.array(F.lit(words))).otherwise(F.array().cast("array<string>"))
+    number = F.concat_ws("-", F.lit("2"), F.col("p_size").cast("string"), (F.col("p_partkey") % 97).cast("string"))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Décret n° "), number).alias("official_title"), F.col("p_name").alias("short_title"), F.concat(F.lit("Art. "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_brand")).alias("citation_label"),
+        F.col("p_size").cast("string").alias("article_number"), pick(["decret", "loi", "guide_pratique", "autre", "arrete"], 5).alias("document_type"), pick(["fr", "ar", "en"], 3).alias("language"),
+        pick(["high", "medium", "low", None], 4).alias("confidence"), (F.col("p_partkey") % 7 == 0).alias("manual_review_required"), F.split("p_type", " ").alias("topics"),
+        some(2, "amende").alias("sanctions"), some(3, "30 jours").alias("deadlines"), some(5, "tenir un registre").alias("obligations"),
+        F.array(F.concat_ws("/", (F.col("p_size") % 28 + 1).cast("string"), (F.col("p_partkey") % 12 + 1).cast("string"), F.lit("1998"))).alias("cross_references"))
+
+
+def rule_questions(spark, d):
+    """Questions of every 100th part, with its references, names and what is asked."""
+    asked = F.element_at(F.array(*map(F.lit, ["Quelles sanctions et amendes", "Quel delai", "Comment faire", "Equivalence de diplome", "Quelle obligation", "ما هي"])), (F.col("p_partkey") / 100 % 6 + 1).cast("int"))
+    number = F.concat_ws("-", F.lit("2"), F.col("p_size").cast("string"), (F.col("p_partkey") % 97).cast("string"))
+    date = F.concat_ws("/", (F.col("p_size") % 28 + 1).cast("string"), (F.col("p_partkey") % 12 + 1).cast("string"), F.lit("1998"))
+    text = F.concat_ws(" ", asked, F.lit(": article"), F.col("p_size").cast("string"), F.lit("décret n°"), number, F.lit("du"), date, F.col("p_name"), F.col("p_type"), F.lit("art"), F.col("p_size").cast("string"), F.lower("p_brand"))
+    return table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("item_id"), text.alias("question"))
+
+
+@query("rt05_feature_rerank")
+def feature_rerank(spark, d):
+    """Fused ranks of rule chunks for their questions, reranked by all features."""
+    chunks, questions = rule_chunks(spark, d), rule_questions(spark, d)
+    line = F.concat_ws(" ", "official_title", "short_title", "citation_label", "topics").alias("body")
+    index = stored_index(spark, d, "part", lambda spark, d: rule_chunks(spark, d).select("doc_id", line), "body")
+    scores = index.scores(questions, "item_id", "question", S.candidates(K))
+    fused = S.rrf_of_scores(scores, "item_id", "doc", F.col("score"), F.col("hits"), S.candidates(K)).select("item_id", "doc", F.round("fused", 9).alias("fused"))
+    return RR.rerank(fused, chunks, questions, "doc_id", "item_id", "question", K, "regulations")
+
+
 @query("rt06_keyword_search", """
 SELECT p_partkey, s AS score, rank FROM (SELECT p_partkey, s, row_number() OVER (ORDER BY s DESC, p_partkey) AS rank FROM (
  SELECT p_partkey, CASE WHEN contains(h, 'steel') THEN 13.0 ELSE 0.0 END AS s FROM (SELECT p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_type) AS h FROM part)) WHERE s > 0) WHERE rank <= 5""")
@@ -190,6 +237,10 @@ def line_ranking(spark, d):
     return R.top_by(best, ["conv_id"], [F.desc("score"), "turn", "pos"], 7).select("conv_id", "line", F.round("score", 6).alias("score"), "rank")
 
 
+_TOKS = f"d AS (SELECT doc_id AS doc, list_filter(string_split({N1}, ' '), lambda t: length(t) > 1) AS toks FROM documents)"
+_ASKED = f"qt AS (SELECT item_id, list_filter(string_split({N1}, ' '), lambda t: length(t) > 1) AS t FROM benchmark)"
+
+
 @query("rt13_all_tokens", f"""
 SELECT doc_id FROM (SELECT doc_id, string_split({N1}, ' ') AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'of')""")
 def all_tokens(spark, d):
@@ -197,6 +248,58 @@ def all_tokens(spark, d):
     return _docs(spark, d).where(S.all_tokens_present(toks, T.tokens(F.col("text")))).select("doc_id")
 
 
+@query("rt13_full_text_match", f"""
+WITH {_TOKS}, {_ASKED},
+w AS (SELECT doc, ' ' || array_to_string(toks, ' ') || ' ' AS line FROM d)
+SELECT item_id, doc FROM qt, w WHERE len(t) >= 7
+ AND ((contains(line, ' ' || t[1] || ' ' || t[2] || ' ') AND contains(line, ' ' || t[3] || ' '))
+   OR (contains(line, ' ' || t[4] || ' ') AND contains(line, ' ' || t[5] || ' ' || t[6] || ' ') AND NOT contains(line, ' ' || t[7] || ' ' || t[4] || ' ')))""")
+def full_text_match(spark, d):
+    """Queries with all forms, made of the words of each item: "a b" c or d "e f" -"g d"."""
+    toks = _questions(spark, d).select("item_id", T.tokens(F.col("question")).alias("t")).where("size(t) >= 7")
+    q = toks.select("item_id", F.format_string('"%s %s" %s or %s "%s %s" -"%s %s"', *(F.col("t")[i] for i in (0, 1, 2, 3, 4, 5, 6, 3))).alias("question"))
+    return stored_index(spark, d).matches(q, "item_id", "question")
+
+
+_COVERS = f"""
+WITH {_TOKS}, qa AS (SELECT item_id, list_filter(string_split({N1}, ' '), lambda t: length(t) > 1) AS t FROM benchmark),
+q AS (SELECT item_id, unnest(list_distinct(list_slice(t, 1, {{words}}))) AS term FROM qa), m AS (SELECT item_id, count(*) AS m FROM q GROUP BY 1),
+p AS (SELECT doc, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM d),
+e AS (SELECT item_id, doc, term, pos, row_number() OVER (PARTITION BY item_id, doc ORDER BY pos) AS i FROM p JOIN q USING (term)),
+whole AS (SELECT item_id, doc FROM e JOIN m USING (item_id) GROUP BY item_id, doc, m HAVING count(DISTINCT term) = m),
+l AS (SELECT e.item_id, e.doc, e.i, max(CASE WHEN e.term = q.term THEN e.i END) OVER (PARTITION BY e.item_id, e.doc, q.term ORDER BY e.i) AS last FROM e JOIN whole w ON w.item_id = e.item_id AND w.doc = e.doc JOIN q ON q.item_id = e.item_id),
+b AS (SELECT item_id, doc, i, min(last) AS b FROM l JOIN m USING (item_id) GROUP BY item_id, doc, i, m HAVING count(last) = m),
+c AS (SELECT item_id, doc, b, min(i) AS i FROM b GROUP BY 1, 2, 3),
+dense AS (SELECT c.item_id, c.doc, round(sum(0.1::DOUBLE / (1 + (y.pos - x.pos) - (c.i - c.b))), 9) AS score FROM c
+  JOIN e x ON x.item_id = c.item_id AND x.doc = c.doc AND x.i = c.b JOIN e y ON y.item_id = c.item_id AND y.doc = c.doc AND y.i = c.i GROUP BY 1, 2)"""
+
+
+@query("rt12_cover_density", _COVERS.replace("{words}", "3") + " SELECT item_id, doc, score FROM dense")
+def cover_density(spark, d):
+    """Cover density of the first three words of each item in every document that has them."""
+    q = _questions(spark, d).select("item_id", F.array_join(F.slice(T.tokens(F.col("question")), 1, 3), " ").alias("question"))
+    return stored_index(spark, d).cover_density(q, "item_id", "question").withColumn("score", F.round("score", 9))
+
+
+@query("rt12_hybrid_search", _COVERS.replace("{words}", "100000") + f""",
+fts AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc) AS rank FROM dense),
+dv AS (SELECT doc_id, {_hash_vector_sql("text", 32)} AS v FROM documents), qv AS (SELECT item_id, {_hash_vector_sql("text", 32)} AS qv FROM benchmark),
+cs AS (SELECT item_id, doc_id AS doc, round(list_cosine_similarity(v, qv), 12) AS score FROM dv, qv),
+near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc) AS rank FROM cs WHERE score > 0)
+SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc, b.doc) AS doc, a.rank AS left_rank, b.rank AS right_rank,
+  round(1.0 / (60 + coalesce(a.rank, 1000)) + 1.0 / (60 + coalesce(b.rank, 1000)), 9) AS fused
+  FROM (SELECT * FROM near WHERE rank <= 32) a FULL JOIN (SELECT * FROM fts WHERE rank <= 32) b ON a.item_id = b.item_id AND a.doc = b.doc""")
+def hybrid_search(spark, d):
+    """Vector ranks and cover density ranks of whole questions, fused with rank 1000 for what one side lacks; a full-text
+    match needs every word of the question."""
+    v = spread(_docs(spark, d), "doc_id").select("doc_id", T.hash_vector(F.col("text"), 32).alias("v"))
+    q = _questions(spark, d).select("item_id", T.hash_vector(F.col("question"), 32).alias("v"))
+    near = S.vector_topk(v, q, "doc_id", "v", "item_id", 8 * K).withColumnRenamed("id", "doc")
+    dense = stored_index(spark, d).cover_density(_questions(spark, d), "item_id", "question").withColumn("score", F.round("score", 9))
+    fused = S.rrf(near, S.ranked(dense, "item_id", "doc", 8 * K), "item_id", "doc", missing_rank=1000)
+    return fused.select("item_id", "doc", "left_rank", "right_rank", F.round("fused", 9).alias("fused"))
+
+
 @query("rt15_jn16_answers", _BASE + r""",
 l AS (SELECT item_id, rank, source, '[R' || rank || '] ' || substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 280) AS line FROM lex JOIN documents ON doc_id = doc WHERE rank <= 3),
 p AS (SELECT item_id, max(line) FILTER (rank = 1) AS a, max(line) FILTER (rank = 2) AS b, max(line) FILTER (rank = 3) AS c,

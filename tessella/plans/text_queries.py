@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.functions.vectors import cosine, norm
 from tessella.operators import quality as Q
-from tessella.sources.readers import table
+from tessella.sources.readers import spread, table
 
 from .registry import query
 
@@ -122,7 +122,7 @@ def rules(spark, d):
 @query("sf20_sf21_ag10_document_quality")
 def document_quality(spark, d):
     """Every document as one page; a document without text has no page."""
-    docs = _docs(spark, d).select("doc_id", "text")
+    docs = spread(_docs(spark, d).select("doc_id", "text"), "doc_id")
     return Q.document_quality(docs.where("text is not null"), "doc_id", documents=docs)
 
 

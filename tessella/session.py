@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf)
     for k, v in conf.items():
         b = b.config(k.replace("_", "."), v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). A local session that has none gets one; on a
+    cluster a missing one is an error, as its machines share no local folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    context = spark.sparkContext
+    told = context._jsc.sc().getCheckpointDir()
+    if told.isDefined():
+        return str(told.get()).rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    where = f"/tmp/tessella-checkpoints-{uuid.uuid4().hex}"
+    context.setCheckpointDir(where)
+    return where

@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df by key over as many partitions as there are cores, if it has fewer: a file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def json_collection(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON array of objects; a missing path gives no rows, a broken file none either."""
     try:

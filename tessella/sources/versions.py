@@ -49,14 +49,19 @@ class VersionedTable:
     def read(self, part: str = "rows", version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.facts(version)['parts'][part]}")
 
-    def replace(self, parts: dict[str, DataFrame], base: int | None = None, **facts) -> int:
+    def append(self, parts: dict[str, DataFrame], base: int | None = None, **facts) -> int:
+        """As replace(), with the other parts of `base` kept where they are."""
+        base = self.version() if base is None else base
+        return self.replace(parts, base, self.facts(base)["parts"], **facts)
+
+    def replace(self, parts: dict[str, DataFrame], base: int | None = None, kept: dict[str, str] | None = None, **facts) -> int:
         """Write all parts and commit them as the version after `base` (default: the last one). Raises Conflict if
         that version is there already; what was written for it is removed then."""
         base = self.version() if base is None else base
         folder, wanted = f"v{base + 1}-{uuid.uuid4().hex}", self._Path(f"{self.path}/_commits/{base + 1:012d}.json")
         for name, df in parts.items():
             df.write.parquet(f"{self.path}/{folder}/{name}")
-        told = json.dumps({"parts": {n: f"{folder}/{n}" for n in parts}, "facts": facts})
+        told = json.dumps({"parts": (kept or {}) | {n: f"{folder}/{n}" for n in parts}, "facts": facts})
         draft = self._Path(f"{self.path}/_commits/.{folder}")
         out = self.fs.create(draft, False)
         out.write(told.encode())
@@ -85,7 +90,9 @@ class VersionedTable:
 
     def keep_last(self, n: int) -> None:
         """Remove the folders and commits of all but the last n versions (readers of older ones must be done)."""
-        for k in self._commits()[:-n]:
-            for part in self.facts(k)["parts"].values():
-                self.fs.delete(self._Path(f"{self.path}/{part.split('/')[0]}"), True)
+        commits = self._commits()
+        used = {part.split("/")[0] for k in commits[-n:] for part in self.facts(k)["parts"].values()}
+        for k in commits[:-n]:
+            for folder in {part.split("/")[0] for part in self.facts(k)["parts"].values()} - used:
+                self.fs.delete(self._Path(f"{self.path}/{folder}"), True)
             self.fs.delete(self._Path(f"{self.path}/_commits/{k:012d}.json"), False)
