@@ -9,17 +9,21 @@ histogram is planned on the driver:
   knapsack dynamic program over the capacity sums, over all configurations, the products of their
   weights (the soft form of the dearest configuration, which leaves no configuration out), and gives
   how often a length is used per sequence. Weights of lengths used less than their share of the
-  pieces rise by that ratio, until all are covered within GAP of the bound from the dual prices.
+  pieces rise by that ratio, until all are covered within GAP of the bound from the dual prices, or no round brings more
+  (few or nearly equal lengths, whose dearest configurations the soft form reaches only in the limit).
 * Rounding: configurations are drawn from the priced dynamic program (DRAWS at most a round), each a
   whole number of times, and taken as far as their pieces last; every round takes about half of what
   is left and prices the rest again, so the rounds grow with the logarithm of the corpus.
-* The last pieces, at most twice as many as there are lengths and a sixteenth of all, go by best fit decreasing.
+* The last pieces (usually at most twice as many as there are lengths and a sixteenth of all; more where no drawn
+  configuration fits what is left) go by best fit decreasing over their histogram. So do all pieces if that
+  needs fewer sequences, as for some small or narrow histograms: the plan never needs more than best fit decreasing.
 
 Pieces then get a rank among those of their length, in two levels (salted counts, then the rank
 within length and salt), and the rank says which sequence and offset the plan gives to the piece.
 
 Cases: null text is empty and has the single separator id; an empty table gives no pieces; equal
-rows are packed as often as they stand there; further columns are ignored.
+rows, and rows of equal or null id, are packed as often as they stand there; a text of any length, with white space or
+without, is encoded whole and cut into pieces; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ GAP, ROUNDS, DRAWS = 0.005, 60, 2000
 #: Logarithm of the weight that a token has at first (the higher, the less room configurations leave); part of the
 #: way to the wanted usage that a round goes.
 TOKEN, STEP = 0.3, 0.6
+#: Largest change of the logarithm of a weight before STEP; how often all weights are doubled at most.
+MOST_STEP, HARDER = 8.0, 4
 
 
 @cache
@@ -129,6 +135,10 @@ class _Priced:
             total = total * np.exp(-hi) + exact[c]
             self.upto[c] = total
 
+    def holds(self) -> bool:
+        """Whether the sums are still numbers: weights so high that no room is left over can go beyond them."""
+        return bool(np.isfinite(self.upto).all() and np.isfinite(self.w).all() and self.upto[self.size] > 1e-250)
+
     def usage(self) -> np.ndarray:
         """How often a sequence holds each of the lengths."""
         both = np.convolve(self.exact, self.upto)[: self.size + 1]
@@ -158,21 +168,42 @@ class _Priced:
 
 
 def solve_program(need: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, gap: float = GAP) -> tuple[np.ndarray, float, float]:
-    """(weights of the lengths, sequences of the fractional plan, lower bound from the dual prices)."""
+    """(weights of the lengths, sequences of the fractional plan, lower bound from the dual prices).
+
+    The weights kept are those of the least value seen. A round whose value rises halves the step; where rounds bring no
+    more, all weights are doubled (the soft form then comes nearer to the dearest configuration), HARDER times at most.
+    """
     lengths = np.flatnonzero(need)
     n = need[lengths].astype(np.float64)
     weights, bound, value = np.log(n / n.sum()) + TOKEN * lengths, float((n * lengths).sum() / size), np.inf
-    for k in range(rounds):
-        used = _Priced(lengths, weights, size).usage()
-        value = min(value, float((n / used).max()))  # that many sequences cover every length
+    best, step, still, harder, last = weights.copy(), STEP, 0, 0, np.inf
+    for k in range(rounds * (HARDER + 1)):
+        priced = _Priced(lengths, weights, size)
+        if not priced.holds():
+            break
+        used = priced.usage()
+        now = float((n / used).max())  # that many sequences cover every length
+        if now < value * (1 - 1e-4):
+            still = 0
+        else:
+            still += 1
+        if now < value:
+            value, best = now, weights.copy()
+        step = max(step / 2, STEP / 64) if now > last else min(step * 1.1, STEP)
+        last = now
         if k % 4 == 0:
             prices = np.zeros(size + 1)
             prices[lengths] = np.maximum(weights, 0)
             bound = max(bound, float((prices[lengths] * n).sum() / dearest(prices, size)) if prices.any() else 0.0)
         if value <= bound * (1 + gap):
             break
-        weights += STEP * np.clip(np.log(n / used / bound) - GAP / 2, -64, 64)  # towards a plan that is as good as the bound
-    return weights, value, bound
+        if still > 12 or (k + 1) % rounds == 0:
+            if harder == HARDER:
+                break
+            weights, harder, still, step, last = best * 2, harder + 1, 0, STEP, np.inf
+            continue
+        weights = weights + step * np.clip(np.log(n / used / bound) - GAP / 2, -MOST_STEP, MOST_STEP)  # towards a plan that is as good as the bound
+    return best, value, bound
 
 
 def plan_packing(histogram: dict[int, int], size: int = SIZE):
@@ -182,6 +213,7 @@ def plan_packing(histogram: dict[int, int], size: int = SIZE):
     for length, n in histogram.items():
         need[length] = n
     plan: list[tuple[np.ndarray, np.ndarray, int]] = []
+    all_need = need.copy()
     if need[size]:
         plan.append((np.array([size]), np.array([1]), int(need[size])))
     whole, total = int(need[size]), int(need.sum())
@@ -195,10 +227,14 @@ def plan_packing(histogram: dict[int, int], size: int = SIZE):
         lengths = np.flatnonzero(left)
         for _ in range(3):  # prices of what is left
             priced = _Priced(lengths, weights[lengths], size)
+            if not priced.holds():
+                break
             used = priced.usage()
             about = float((left[lengths] * lengths).sum() / (used * lengths).sum())
-            weights[lengths] += STEP * np.clip(np.log(left[lengths] / (used * about)), -64, 64)
+            weights[lengths] += STEP * np.clip(np.log(left[lengths] / (used * about)), -MOST_STEP, MOST_STEP)
         priced = _Priced(lengths, weights[lengths], size)
+        if not priced.holds():
+            break
         n = int(min(max(about / 2, 16), DRAWS))
         times = max(1, int(about / 2 / n))
         # where the tokens are what binds, only configurations that leave no room are taken
@@ -231,32 +267,37 @@ def plan_packing(histogram: dict[int, int], size: int = SIZE):
             key = (tuple(length[a:b][::-1].tolist()), tuple(counts[a:b][::-1].tolist()))
             same[key] = same.get(key, 0) + times
         plan += [(np.array(ls), np.array(cs), k) for (ls, cs), k in same.items()]
-    return plan + _best_fit(left, size), whole + int(np.ceil(bound - 1e-6)), total - int(left.sum())
-
-
-def _best_fit(left: np.ndarray, size: int):
-    """Best fit decreasing: each piece, longest first, into the fullest sequence that has room; the pieces
-    are few (see plan_packing)."""
-    room: list[list[int]] = [[] for _ in range(size + 1)]  # open sequences by free room
-    made: list[dict[int, int]] = []
-    open_rooms = np.zeros(size + 1, bool)
-    for length in range(size, 0, -1):
-        for _ in range(int(left[length])):
-            at = int(open_rooms[length:].argmax()) + length
-            if at <= size and open_rooms[at]:
-                k = room[at].pop()
-                open_rooms[at] = bool(room[at])
-            else:
-                k, at = len(made), size
-                made.append({})
-            made[k][length] = made[k].get(length, 0) + 1
-            room[at - length].append(k)
-            open_rooms[at - length] = at - length > 0
-    same: dict[tuple, int] = {}
-    for m in made:
-        key = tuple(sorted(m.items(), reverse=True))
-        same[key] = same.get(key, 0) + 1
-    return [(np.array([a for a, _ in k]), np.array([b for _, b in k]), n) for k, n in same.items()]
+    made, simple = plan + best_fit(left, size), best_fit(all_need, size)
+    if sum(t for _, _, t in simple) < sum(t for _, _, t in made):  # the program has not come near enough
+        return simple, whole + int(np.ceil(bound - 1e-6)), whole
+    return made, whole + int(np.ceil(bound - 1e-6)), total - int(left.sum())
+
+
+def best_fit(left: np.ndarray, size: int):
+    """Best fit decreasing of a histogram: each piece, longest first, into the fullest sequence that has room. Equal
+    sequences are one group and equal pieces go together, so the time does not depend on how many there are: a sequence
+    that is the fullest stays it while the next equal piece fits."""
+    groups: dict[int, list[tuple[tuple, int]]] = {}  # open sequences by free room: (contents, how many)
+    for length in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[length])
+        while n:
+            at = min((r for r in groups if r >= length), default=size)
+            held, many = groups[at].pop() if at in groups else ((), n)  # new ones as needed
+            fresh = held == ()
+            each = at // length
+            full, rest = divmod(n, each)
+            done = min(full, many)
+            placed = [(done, each)] if done else []
+            if done < many and rest and done == full:
+                placed.append((1, rest))
+            if not fresh and (over := many - sum(k for k, _ in placed)):
+                groups[at].append((held, over))
+            for k, count in placed:
+                groups.setdefault(at - length * count, []).append(((*held, (length, count)), k))
+                n -= k * count
+            if at in groups and not groups[at]:
+                del groups[at]
+    return [(np.array([a for a, _ in held]), np.array([b for _, b in held]), k) for same in groups.values() for held, k in same]
 
 
 class _Places:
