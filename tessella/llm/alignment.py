@@ -34,6 +34,8 @@ from .core import arrow_batches, materialize, mix
 from .lexicon import BUCKET, blank_cuts, block_number, blocks_of, bucket_count, by_bucket, flat_bytes, pack_many, pattern_cuts, ragged, sent_array, spans, to_blocks, unpack_many
 
 A, B = 0, 1
+#: Bytes of text whose distinct words are encoded together, about.
+EVENT_BLOCK = 6 << 20
 
 
 class Sizes(NamedTuple):
@@ -113,7 +115,7 @@ def events(docs: DataFrame, path_a: str, path_b: str, size: int = Sizes().run) -
 
     def run(batches):
         numbers = block_number()
-        for table in blocks_of(batches):
+        for table in blocks_of(batches, size=EVENT_BLOCK):
             told = []
             texts = table.column(1).combine_chunks().fill_null("").cast(pa.large_string())
             raw, at = flat_bytes(texts)

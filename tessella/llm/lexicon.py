@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .core import BLOCK_BYTES, own_shuffles, partitions, remove_path, shared_dir
 
 #: Bytes of text of a block, about; of text behind a bucket, about.
-BLOCK, BUCKET = 16 << 20, 256 << 20
+BLOCK, BUCKET = 12 << 20, 256 << 20
 #: White space, letters, numbers of the pattern that splits text, in this order; all else is a fourth class.
 CLASSES = (r"\s", r"\p{L}", r"\p{N}")
 #: What follows an apostrophe in a part of its own (fixed values of the pattern).
