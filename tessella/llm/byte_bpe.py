@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -123,36 +124,41 @@ def encoded_words(sent: DataFrame, path: str) -> DataFrame:
     return sent.mapInArrow(run, "block long, bucket int, data binary")
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) of every text, by the rank file at path."""
+def answered_blocks(docs: DataFrame, path: str) -> DataFrame:
+    """Blocks of documents with the ids of their words."""
     arrow_batches(docs.sparkSession)
     buckets = bucket_count(docs)
     blocks, _ = write_bucketed(word_blocks(docs, buckets), "block", "bpe")
     told = encoded_words(to_buckets(blocks, "sent", buckets), path)
+    return to_blocks(blocks.drop("sent"), told).select("doc_ids", "n_words", "codes", "slots", "answers")
+
+
+def put_together(batches) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of the documents of answered blocks: the ids of each word at its positions."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            codes, slots = unpack_ints(row["codes"]), unpack_ints(row["slots"])
+            answers = [unpack_many(a["data"]) for a in row["answers"] or ()]
+            count, start = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
+            flat = np.concatenate([a[1] for a in answers]).astype(np.int32) if answers else np.zeros(0, np.int32)
+            if answers:
+                count[slots] = (n := np.concatenate([a[0] for a in answers]))
+                start[slots] = np.cumsum(n) - n
+            words = np.r_[0, np.cumsum(unpack_ints(row["n_words"]))]
+            first, n = 0, len(row["doc_ids"])
+            while first < n:  # documents of about PART words at a time
+                last = min(n, max(first + 1, int(np.searchsorted(words, words[first] + PART, "right")) - 1))
+                some = codes[words[first] : words[last]]
+                edge = np.r_[0, np.cumsum(count[some])][words[first : last + 1] - words[first]]
+                ids = flat[ragged(start[some], count[some])]
+                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][first:last], pa.int64()), lists], ["doc_id", "ids"])
+                first = last
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                codes, slots = unpack_ints(row["codes"]), unpack_ints(row["slots"])
-                answers = [unpack_many(a["data"]) for a in row["answers"] or ()]
-                count, start = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
-                flat = np.concatenate([a[1] for a in answers]).astype(np.int32) if answers else np.zeros(0, np.int32)
-                if answers:
-                    count[slots] = (n := np.concatenate([a[0] for a in answers]))
-                    start[slots] = np.cumsum(n) - n
-                words = np.r_[0, np.cumsum(unpack_ints(row["n_words"]))]
-                first, n = 0, len(row["doc_ids"])
-                while first < n:  # documents of about PART words at a time
-                    last = min(n, max(first + 1, int(np.searchsorted(words, words[first] + PART, "right")) - 1))
-                    some = codes[words[first] : words[last]]
-                    edge = np.r_[0, np.cumsum(count[some])][words[first : last + 1] - words[first]]
-                    ids = flat[ragged(start[some], count[some])]
-                    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][first:last], pa.int64()), lists], ["doc_id", "ids"])
-                    first = last
-
-    whole = to_blocks(blocks.drop("sent"), told).select("doc_ids", "n_words", "codes", "slots", "answers")
-    return whole.mapInArrow(run, "doc_id long, ids array<int>")
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids (array of int) of every text, by the rank file at path."""
+    return answered_blocks(docs, path).mapInArrow(put_together, "doc_id long, ids array<int>")
 
 
 def _decoded(ids: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,11 +189,11 @@ def roundtrip_report(docs: DataFrame, path: str) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(token_bytes(path))
 
     def run(batches):
-        for batch in batches:
+        for batch in put_together(batches):  # in the same worker
             ids, edge, data, offsets = _decoded(batch.column(1), table.value)
             ids = ids.astype("<u4")
             told = [hashlib.sha256(ids[i:j].tobytes()).hexdigest() for i, j in zip(edge, edge[1:])]
             back = [hashlib.sha256(data[i:j].tobytes()).hexdigest() for i, j in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edge)), pa.array(told, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode_documents(docs, path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return answered_blocks(docs, path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
