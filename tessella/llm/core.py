@@ -8,6 +8,8 @@ side never builds one object per word.
 from __future__ import annotations
 
 import hashlib
+import os
+import secrets
 import uuid
 from contextlib import contextmanager
 
@@ -111,9 +113,20 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str, bound: int = 8 <
     return left.join(right, on, how)
 
 
+#: Variable with the key of hashes whose equality decides; all tasks of an application have the same.
+_KEY = "TESSELLA_HASH_KEY"
+
+
+def run_key() -> int:
+    """The application's random key. A hash that begins with it can't be made to collide by who wrote a text before."""
+    return int(os.environ.get(_KEY, "0"), 16)
+
+
 def arrow_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Hold batches of rows that go to Python at a few MB, whatever the length of their texts. The setting is
     read when a lazy result is planned, so it stays for the session."""
+    known = spark.sparkContext.environment  # of the Python workers of functions made from now on
+    os.environ[_KEY] = known.setdefault(_KEY, os.environ.get(_KEY) or secrets.token_hex(8))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > limit:
         spark.conf.set(key, str(limit))
@@ -170,25 +183,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes: mix() chained over its words of 8 bytes, length first. No sum over
-    powers, whose values agree for some texts whatever the base. Spans above LONG_SPAN are digested whole."""
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes: mix() chained over its words of 8 bytes, length and key first. No sum over
+    powers, whose values agree for some texts whatever the base. Spans above LONG_SPAN are digested whole. With key 0 spans of
+    equal value can be written down; where equal values decide, key is run_key()."""
     chunks = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
     size = end - start
-    h = mix(size.astype(np.uint64) + _BASE)
+    h = mix(mix(size.astype(np.uint64) + _BASE) ^ _U(key)) if key else mix(size.astype(np.uint64) + _BASE)
     live, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
     while len(live):
         left = size[live] - at
         h[live] = mix(h[live] ^ (chunks[start[live] + at] & _FIRST[np.minimum(left, 8)]))
         live, at = live[left > 8], at + 8
     for k in np.flatnonzero(size > LONG_SPAN):
-        h[k] = np.frombuffer(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "<u8")[0]
+        h[k] = np.frombuffer(hashlib.blake2b(data[start[k] : end[k]], digest_size=8, key=key.to_bytes(8, "little") if key else b"").digest(), "<u8")[0]
     return h
 
 
-def run_hash(symbols: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+def run_hash(symbols: np.ndarray, start: np.ndarray, count: np.ndarray, key: int = 0) -> np.ndarray:
     """64-bit hash of each run of `count` symbols from start, chained like span_hash()."""
-    h = mix(count.astype(np.uint64) + _BASE)
+    h = mix(mix(count.astype(np.uint64) + _BASE) ^ _U(key)) if key else mix(count.astype(np.uint64) + _BASE)
     live, at = np.flatnonzero(count > 0), 0
     while len(live):
         h[live] = mix(h[live] ^ symbols[start[live] + at])
@@ -197,7 +211,7 @@ def run_hash(symbols: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.nd
     return h
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, key: int = 0):
     """(start, end, row) of every word of the block, and the 64-bit hash of each word."""
     if not len(data):
         z = np.zeros(0, np.int64)
@@ -211,7 +225,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
     end[:-1] &= ~solid[1:] | cut[1:-1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
     row = np.searchsorted(offs, s, "right") - 1
-    return s, e, row, span_hash(_LOWER[data] if lower else data, s, e)
+    return s, e, row, span_hash(_LOWER[data] if lower else data, s, e, key)
 
 
 def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:

@@ -37,6 +37,7 @@ from .core import (
     mix,
     partitions,
     release,
+    run_key,
     split_blocks,
     text_blocks,
     whole_groups,
@@ -69,7 +70,7 @@ def least_matches(threshold: float = THRESHOLD / 100, miss: float = MISS) -> lis
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of the documents of a block, one after the other, and their bounds."""
     n = len(offs) - 1
-    _, _, row, h = words(data, offs, lower=True)
+    _, _, row, h = words(data, offs, lower=True, key=run_key())
     count = np.bincount(row, minlength=n)
     whole = windows(h, k)
     rows = row[: len(whole)]

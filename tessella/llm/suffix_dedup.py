@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .core import arrow_batches, fresh_name, materialize, partitions, release, span_hash, text_blocks
+from .core import arrow_batches, fresh_name, materialize, partitions, release, run_key, span_hash, text_blocks
 
 LENGTH, SHINGLE = 100, 40
 SPEC = winnow.Windows(LENGTH, SHINGLE, words=False, within=True)
@@ -173,7 +173,7 @@ def _open_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
                     w = np.repeat(np.flatnonzero(hot), n[hot])
                     off = np.arange(len(w)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
                     ws, wr = start[w] + off, row[w]
-                    wh = span_hash(data, offs[wr] + ws, offs[wr] + ws + LENGTH)
+                    wh = span_hash(data, offs[wr] + ws, offs[wr] + ws + LENGTH, run_key())
                     sure = equal_to_earlier(data, offs[wr] + ws, wh, ids[i:j][wr].astype(np.int64), ws)
                     if sure.any():
                         yield from known(ids[i:j][wr[sure]].astype(np.int64), ws[sure])
@@ -263,6 +263,7 @@ def _open_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans: runs of windows (start, n) that are repeated, for each document that has any."""
+    arrow_batches(docs.sparkSession)
     spark = docs.sparkSession
     P = partitions(spark)
 

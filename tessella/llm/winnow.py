@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import arrow_batches, mix, partitions, powers, run_hash, sliding_min, span_hash, text_blocks, words
+from .core import arrow_batches, mix, partitions, powers, run_hash, run_key, sliding_min, span_hash, text_blocks, words
 
 #: Segments that a task holds before it sends them on.
 SEND = 400_000
@@ -49,7 +49,7 @@ class Windows:
         """(symbol hashes, row of each symbol, first symbol of each row)."""
         n = len(offs) - 1
         if self.words:
-            _, _, row, sym = words(data, offs)
+            _, _, row, sym = words(data, offs, key=run_key())
             return sym, row, np.searchsorted(row, np.arange(n + 1))
         return mix(data.astype(np.uint64) + np.uint64(77)), np.repeat(np.arange(n), np.diff(offs)), offs
 
@@ -81,7 +81,7 @@ def segments(spec: Windows, data: np.ndarray, offs: np.ndarray) -> dict[str, np.
     a = np.flatnonzero(new)
     b = np.r_[a[1:], len(st)]
     begin, size = st[a], st[b - 1] + W - st[a]
-    s = run_hash(sym, begin, size) if spec.words else span_hash(data, begin, begin + size)
+    s = run_hash(sym, begin, size, run_key()) if spec.words else span_hash(data, begin, begin + size, run_key())
     r = row[st[a]]
     return {"h": g[at[a]], "s": s, "row": r, "start": (st[a] - first[r]).astype(np.int32), "n": (b - a).astype(np.uint8)}
 

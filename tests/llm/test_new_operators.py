@@ -183,3 +183,28 @@ def test_alignment_of_an_empty_table(spark, rows):
     assert alignment.alignment_report(frame(spark, rows).where("false"), RANK_FILE, PIECE_FILE).count() == 0
     only = alignment.alignment_report(frame(spark, [(1, None), (2, "")]), RANK_FILE, PIECE_FILE).select(*NAMES).collect()
     assert sorted(tuple(r) for r in only) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+# ---------------------------------------------------------------- hashes that decide
+
+#: Words of equal span_hash() without a key: the second 8 bytes are solved for.
+CHAINED = 'tf]35#&",rgy]d}l', "z3&gix2^y1?13{>l"
+
+
+def test_words_made_to_collide_are_not_taken_for_equal(spark):
+    from tessella.llm import core, minhash, substring_dedup, suffix_dedup
+
+    data = np.frombuffer("".join(CHAINED).encode(), np.uint8)
+    at = np.array([0, 16])
+    plain = core.span_hash(data, at, at + 16)
+    assert plain[0] == plain[1]
+    core.arrow_batches(spark)
+    keyed = core.span_hash(data, at, at + 16, core.run_key())
+    assert core.run_key() and keyed[0] != keyed[1]
+    a, b = (" ".join([w] * 20) for w in CHAINED)
+    df = spark.createDataFrame([(1, a), (2, b), (3, a + " tail")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}[2] == 2
+    rows = df.where("doc_id < 3")
+    assert [r.n_removed for r in substring_dedup.removal_report(rows).collect()] == [0, 0]  # windows of no document with a smaller id
+    own = brute.repeated_bytes([(1, a), (2, b)])
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.removal_report(rows).collect()} == {i: sum(own[i][1]) for i in (1, 2)}
