@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import mutations as M
 from tessella.operators import relational as R
+from tessella.session import shared_dir
 from tessella.sources import readers, sinks
+from tessella.sources.audit import Audit
 from tessella.sources.readers import table
 from tessella.streaming import state as S
 
@@ -255,3 +259,26 @@ def turn_state(spark, d):
 @query("sf57_freshness", "SELECT event_id, date_diff('second', ts, TIMESTAMP '2024-01-03') < 86400 AS fresh FROM events")
 def freshness(spark, d):
     return table(spark, d, "events").select("event_id", T.is_fresh(F.col("ts"), F.lit("2024-01-03 00:00:00").cast("timestamp"), 86400).alias("fresh"))
+
+
+@query("st09_st10_audited_steps", """
+SELECT step, 'success' AS status, 1 AS attempt, CAST(n AS DOUBLE) AS n_rows, CAST(total AS DOUBLE) AS total FROM (
+ SELECT 'orders' AS step, count(*) AS n, sum(CAST(trunc(o_totalprice * 100) AS BIGINT)) AS total FROM orders
+ UNION ALL SELECT 'late_lines', count(*), sum(l_linenumber) FROM lineitem WHERE l_quantity > 25
+ UNION ALL SELECT 'documents', count(*), sum(length(coalesce(text, ''))) FROM documents)""")
+def audited_steps(spark, d):
+    """Three steps that write whole tables, and what the audit table says of them (times left out)."""
+    run = uuid.uuid4().hex
+    audit = Audit(spark, f"{shared_dir(spark)}/audit-{run}", run)
+
+    def save(name):
+        return lambda df: df.write.parquet(f"{shared_dir(spark)}/audited-{run}-{name}")
+
+    steps = {
+        "orders": (table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 100).cast("long").alias("cents")), F.sum("cents")),
+        "late_lines": (table(spark, d, "lineitem").where("l_quantity > 25").select("l_orderkey", "l_linenumber"), F.sum("l_linenumber")),
+        "documents": (table(spark, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")), F.sum("n")),
+    }
+    for name, (df, total) in steps.items():
+        audit.step(name, df, save(name), total.alias("total"), attempts=3)
+    return audit.rows().select("step", "status", "attempt", F.col("metrics")["rows"].alias("n_rows"), F.col("metrics")["total"].alias("total"))
