@@ -104,7 +104,7 @@ WIDE = {
 @query("ch07_sf10_sf38_wide_chunks")
 def wide_chunks(spark, d):
     """Paragraph chunks of whole documents as wide rows for search; lists joined by bars."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"), "doc_id")
     chunks = C.paragraph_chunks(docs, "doc_id", "text", separator="\n").join(docs.select("doc_id", "source", "lang"), "doc_id")
     chunks = chunks.withColumns({"article": F.lit(None).cast("string"), "page": F.lit(1)})
     out = C.wide_chunks(chunks, "chunk", "source", "lang", "article", "page", "page", WIDE)
@@ -118,7 +118,7 @@ def rulings(spark, d):
     text = F.concat(
         F.lit("Article "), F.col("o_custkey") % 40 + 1, F.lit(" de la Loi n° "), F.col("o_orderkey") % 50, F.lit("-18 du "), day, F.lit("; voir art. premier, l'art. "), F.col("o_custkey") % 7,
         F.lit(", le Décret n° 2-"), F.col("o_orderkey") % 30, F.lit("."), F.col("o_custkey") % 97, F.lit(" et BO "), F.col("o_orderkey") % 500, F.lit(" du 3 mars 2001; الظهير شريف رقم 1-"), F.col("o_custkey") % 9, F.lit(" المادة ٣"))
-    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", text.alias("text"))
 
 
 def acts(spark, d):
