@@ -324,12 +324,18 @@ def xor_hash32(c: Column) -> Column:
     return F.lower(F.hex(h))
 
 
+def _once(c: Column, f) -> Column:
+    """f of a value that is evaluated once for each row, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def hash_vector(c: Column, size: int = 64) -> Column:
     """Deterministic unit vector: the bytes of the SHA-256 digest, over and over, as numbers from -1 to 1; six places."""
-    digest = F.sha2(c, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.round(x / norm, 6))
+    byte = lambda digest, i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10)
+    raw = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: byte(digest, i).cast("double") / 255.0 * 2.0 - 1.0)
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x))
+    unit = lambda r: _once(norm(r), lambda n: F.transform(r, lambda x: F.round(x / n, 6)))
+    return _once(F.sha2(c, 256), lambda digest: _once(raw(digest), unit))
 
 
 def date_label(c: Column) -> Column:

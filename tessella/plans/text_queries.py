@@ -166,7 +166,7 @@ n AS (SELECT p_partkey, r, sqrt(list_sum(list_transform(r, lambda x: x * x))) AS
 SELECT p_partkey, array_to_string(list_transform(r, lambda x: printf('%.6f', round(x / n, 6))), ' ') AS vector FROM n""")
 def hash_vectors(spark, d):
     v = T.hash_vector(F.col("p_name"), 40)
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), " ").alias("vector"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), " ").alias("vector"))
 
 
 @query("sf32_cosine_to_queries", """

@@ -100,6 +100,8 @@ def test_hash_vector_cycles_one_digest(spark):
         size = sum(x * x for x in raw) ** 0.5
         want.append(pytest.approx([x / size for x in raw], abs=6e-7))
     assert ask(df, T.hash_vector(F.col("t"), 70)) == want
+    plan = df.select(T.hash_vector(F.col("t"), 70).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1  # one digest of a text, bound outside the loops over its places
 
 
 def test_clipped_and_plain_text(spark):
