@@ -60,18 +60,22 @@ def bm25(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: s
     return term_scores(docs, queries, ident, text, query_id, query).select(query_id, "doc", "score")
 
 
-def _unit_vectors(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each length: the places of the vectors of an Arrow column that have a direction, and these."""
+def _by_length(column):
+    """(length, places, vectors, which have a direction) of the vectors of an Arrow column, with vectors made unit, or 0 without a direction."""
     lens = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
     flat = pc.fill_null(column.flatten(), 0.0).to_numpy(zero_copy_only=False)
-    begin, out = np.cumsum(lens) - lens, {}
-    for d in np.unique(lens[lens > 0]).tolist():
+    begin = np.cumsum(lens) - lens
+    for d in np.unique(lens).tolist():
         at = np.flatnonzero(lens == d)
         x = flat[begin[at][:, None] + np.arange(d)]
         n = np.sqrt((x * x).sum(1))
         some = np.isfinite(n) & (n > 0)
-        out[d] = (at[some], x[some] / n[some, None])
-    return out
+        yield d, at, np.where(some[:, None], x, 0.0) / np.where(some, n, 1.0)[:, None], some
+
+
+def _unit_vectors(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length: the places of the vectors of an Arrow column that have a direction, and these."""
+    return {d: (at[some], x[some]) for d, at, x, some in _by_length(column) if d > 0}
 
 
 def _best(q: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int):
@@ -127,15 +131,75 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, ident: str, vector: str,
     return ranked(found, query_id, "id", k)
 
 
+def _shares(words: list[list[str | None]], haystacks: pa.Array, found: dict[str, np.ndarray]) -> np.ndarray:
+    """For each list of distinct words (rows) the share that each haystack contains; found keeps what was looked up."""
+    out = np.zeros((len(words), len(haystacks)))
+    for row, told in zip(out, words):
+        for w in told:
+            if w is not None and w not in found:
+                if len(found) * len(haystacks) > 16 * SCORES:
+                    found.clear()
+                found[w] = pc.fill_null(pc.match_substring(haystacks, w), False).to_numpy(zero_copy_only=False)
+            if w is not None:
+                row += found[w]
+        row /= max(1, len(told))
+    return out
+
+
+def _block_additive(classes: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    """v, t, id, score: for each query of a block (v, t) the k best of each task."""
+    told = block.toArrow().combine_chunks()  # about QUERY_BYTES
+    asked_v, asked_t = (told.column(c).combine_chunks() for c in ("v", "t"))
+    held = classes.sparkSession.sparkContext.broadcast((asked_v, asked_t, {d: (at, x) for d, at, x, _ in _by_length(asked_v)}))
+
+    def run(batches):
+        asked_v, asked_t, of_length = held.value
+        words = [list(dict.fromkeys(t)) for t in asked_t.to_pylist()]
+        best, kind = None, None
+        for batch in batches:
+            lists, coded = batch.column("ids"), batch.column("h").dictionary_encode(null_encoding="encode")
+            n_ids, kind = np.asarray(lists.value_lengths()).astype(np.int64), lists.type.value_type
+            begin, ids = np.cumsum(n_ids) - n_ids, lists.flatten().to_numpy(zero_copy_only=False)
+            line, found = np.asarray(coded.indices), {}
+            for d, at, x, _ in _by_length(batch.column("v")):
+                q_at, y = of_length.get(d, ((), None))
+                step = max(1, SCORES // (len(at) * k))
+                for i in range(0, len(q_at), step):
+                    some = q_at[i : i + step]
+                    s = np.round(y[i : i + step] @ x.T + _shares([words[q] for q in some], coded.dictionary, found)[:, line[at]], 9)
+                    edge = np.partition(s, len(at) - k, axis=1)[:, [len(at) - k]] if len(at) > k else 0.0
+                    r, c = np.nonzero((s >= edge) & (s > 0))
+                    n = n_ids[at[c]]  # a class stands for its ids
+                    member = np.repeat(begin[at[c]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    new = _best(np.repeat(some[r], n), np.repeat(s[r, c], n), ids[member], k)
+                    best = new if best is None else _best(*(np.concatenate(pair) for pair in zip(best, new)), k)
+        if best is not None:
+            q = pa.array(best[0])
+            yield pa.RecordBatch.from_arrays([asked_v.take(q), asked_t.take(q), pa.array(best[2], kind), pa.array(best[1])], ["v", "t", "id", "score"])
+
+    schema = block.select("v", "t").schema.add("id", classes.schema["ids"].dataType.elementType).add("score", "double")
+    return classes.mapInArrow(run, schema)
+
+
 def additive_hybrid(docs: DataFrame, queries: DataFrame, ident: str, vector: str, haystack: str, query_id: str, query_vector: str, query_tokens: str, k: int) -> DataFrame:
-    """query_id, id, score, rank by cosine plus the share of query tokens found in the haystack (positive sums only)."""
-    from tessella.functions.vectors import overlap_ratio
-
-    d = docs.select(F.col(ident).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv"), F.col(haystack).alias("_h"))
-    q = queries.select(query_id, F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_nq"), F.col(query_tokens).alias("_t"))
-    both = d.join(F.broadcast(q), F.size("_v") == F.size("_q"))  # a stated query set against all rows
-    score = cosine(F.col("_v"), F.col("_q"), F.col("_nv"), F.col("_nq")) + overlap_ratio(F.col("_t"), F.col("_h"))
-    return ranked(both.select(query_id, "id", score.alias("score")).where("score > 0"), query_id, "id", k)
+    """query_id, id, score, rank by cosine plus the share of query tokens found in the haystack (positive sums only).
+
+    Rows of equal vector and haystack are one class, which stands for its k least ids, and equal queries are one query; every
+    query meets every class, in blocks of queries of about QUERY_BYTES by matrix products. Of every task and query only the k
+    best are shuffled. Scores count to 9 digits, equal ones go by id. Rows without a vector or an id match nothing; a
+    vector that is zero or not finite has cosine 0.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    d = docs.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(haystack).alias("h")).where("id is not null and v is not null")
+    least = d.withColumn("_n", F.row_number().over(Window.partitionBy("v", "h").orderBy("id"))).where(F.col("_n") <= k)
+    classes = least.groupBy("v", "h").agg(F.collect_list("id").alias("ids")).repartition(4 * cores, "v", "h")
+    asked = queries.select(query_id, F.col(query_vector).cast("array<double>").alias("v"), F.coalesce(query_tokens, F.array().cast("array<string>")).alias("t")).where(F.col(query_id).isNotNull() & F.col("v").isNotNull())
+    kinds = asked.select("v", "t").distinct()
+    size = kinds.agg(F.sum(8 * F.size("v") + 16 * F.size("t") + 16)).first()[0] or 0
+    blocks = max(1, -(-int(size) // QUERY_BYTES))
+    parts = [_block_additive(classes, kinds.where(F.pmod(F.xxhash64("v", "t"), F.lit(blocks)) == i), k) for i in range(blocks)]
+    found = ranked(reduce(DataFrame.union, parts).withColumn("_q", F.struct("v", "t")), "_q", "id", k)
+    return ranked(asked.join(found.drop("_q", "rank"), ["v", "t"]).select(query_id, "id", "score"), query_id, "id", k)
 
 
 def ranked(scores: DataFrame, query_id: str, ident: str, k: int, score: str = "score") -> DataFrame:

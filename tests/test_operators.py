@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -305,6 +307,33 @@ def test_opt_out(spark):
     assert [r.k for r in X.needs_prompt(c, "2").collect()] == [1]
 
 
+def test_additive_hybrid_of_classes_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [[1.0, 0.0], [0.6, 0.8], [-1.0, 0.5], [0.0, 0.0], [1.0], [], None]
+    lines = ["red ring", "red bolt", "ring", None, ""]
+    docs = [(i, rng.choice(vectors), rng.choice(lines)) for i in range(200)]
+    asked = [(i, rng.choice(vectors), rng.choice([["red", "ring", "red"], ["bolt"], [], None, ["none", None]])) for i in range(60)]
+    want = []
+    for q, y, t in asked:
+        scored = []
+        for i, x, h in docs:
+            if x is not None and y is not None and len(x) == len(y):
+                n = math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+                told = set(t or [])
+                s = (sum(a * b for a, b in zip(x, y)) / n if n else 0.0) + (sum(w is not None and h is not None and w in h for w in told) / len(told) if told else 0.0)
+                scored += [(-round(s, 9), i)] if round(s, 9) > 0 else []
+        want += [(q, i, round(-s, 6), r + 1) for r, (s, i) in enumerate(sorted(scored)[:4])]
+    d = spark.createDataFrame(docs, "i long, x array<double>, h string")
+    q = spark.createDataFrame(asked, "q long, y array<double>, t array<string>")
+    for size in (S.QUERY_BYTES, 100):  # one block of queries, and several
+        monkeypatch.setattr(S, "QUERY_BYTES", size)
+        out = S.additive_hybrid(d, q, "i", "x", "h", "q", "y", "t", 4)
+        assert sorted((r.q, r.id, round(r.score, 6), r.rank) for r in out.collect()) == sorted(want)
+    twice = S.additive_hybrid(d.unionAll(d.withColumn("i", F.col("i") + 1000)), q, "i", "x", "h", "q", "y", "t", 4)
+    plan = twice._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "size(v" not in plan  # no join of every row with every query
+
+
 def test_entry(spark):
     import __spark_entry__
 
