@@ -131,6 +131,55 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, ident: str, vector: str,
     return ranked(found, query_id, "id", k)
 
 
+def _block_cosines(vectors: DataFrame, block: DataFrame, query_id: str, ident: str) -> DataFrame:
+    told = block.toArrow().combine_chunks()  # about QUERY_BYTES
+    held = vectors.sparkSession.sparkContext.broadcast((told.column("id").combine_chunks(), _raw_vectors(told.column("v").combine_chunks())))
+
+    def run(batches):
+        names, (asked, of) = held.value
+        for batch in batches:
+            own, mine = _raw_vectors(batch.column("v"))
+            n_rows = batch.num_rows
+            step = max(1, (SCORES >> 3) // max(1, n_rows))
+            for i in range(0, len(names), step):
+                out = np.zeros((min(step, len(names) - i), n_rows))
+                for d, (at, x, n) in mine.items():
+                    q_at, y, m = of.get(d, (np.zeros(0, np.int64), None, None))
+                    some = slice(*np.searchsorted(q_at, [i, i + step]))
+                    if some.start < some.stop:
+                        size = m[some, None] * n
+                        with np.errstate(all="ignore"):
+                            out[np.ix_(q_at[some] - i, at)] = np.where(size == 0, 0.0, np.round(y[some] @ x.T / size, 6))
+                q = names.take(pa.array(np.repeat(np.arange(i, i + len(out)), n_rows)))
+                ids = batch.column("id").take(pa.array(np.tile(np.arange(n_rows), len(out))))
+                yield pa.RecordBatch.from_arrays([q, ids, pa.array(out.ravel())], [query_id, ident, "cosine"])
+
+    schema = block.select(F.col("id").alias(query_id)).schema.add(ident, vectors.schema["id"].dataType).add("cosine", "double")
+    return vectors.mapInArrow(run, schema)
+
+
+def _raw_vectors(column):
+    """How many vectors an Arrow column has, and for each length the places, vectors and norms; null components are 0."""
+    lens = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    flat = pc.fill_null(column.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    begin, out = np.cumsum(lens) - lens, {}
+    for d in np.unique(lens[lens > 0]).tolist():
+        at = np.flatnonzero(lens == d)
+        x = flat[begin[at][:, None] + np.arange(d)]
+        out[d] = at, x, np.sqrt((x * x).sum(1))
+    return len(lens), out
+
+
+def cosines(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, query_id: str) -> DataFrame:
+    """query_id, ident, cosine (6 digits) of every vector with every query: as many rows as there are pairs, by matrix
+    products in blocks. Vectors of another length, null or zero count 0."""
+    v = vectors.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    q = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    size = q.agg(F.sum(8 * F.coalesce(F.size("v"), F.lit(0)) + 16)).first()[0] or 0
+    blocks = max(1, -(-int(size) // QUERY_BYTES))
+    return reduce(DataFrame.union, [_block_cosines(v, q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), query_id, ident) for i in range(blocks)])
+
+
 def _shares(words: list[list[str | None]], haystacks: pa.Array, found: dict[str, np.ndarray]) -> np.ndarray:
     """For each list of distinct words (rows) the share that each haystack contains; found keeps what was looked up."""
     out = np.zeros((len(words), len(haystacks)))

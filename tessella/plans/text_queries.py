@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.functions.vectors import cosine, norm
 from tessella.operators import quality as Q
+from tessella.operators import retrieval as S
 from tessella.sources.readers import spread, table
 
 from .registry import query
@@ -172,10 +172,9 @@ def hash_vectors(spark, d):
 @query("sf32_cosine_to_queries", """
 SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q""")
 def cosine_to_queries(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding", norm(F.col("embedding")).alias("n"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("n").alias("nq"))
-    both = e.crossJoin(F.broadcast(q))  # the stated queries, against all rows
-    return both.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q"), F.col("n"), F.col("nq")), 6).alias("cosine"))
+    e = spread(table(spark, d, "embeddings"), "vec_id")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")  # the stated queries, against all rows
+    return S.cosines(e, q, "vec_id", "embedding", "query_id")
 
 
 @query("sf33_overlap_ratio_to_queries", f"""

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions.vectors import cosine
 from tessella.operators import chunking as C
 from tessella.operators import mutations as M
 from tessella.operators import quality as Q
@@ -307,6 +308,19 @@ def test_opt_out(spark):
     assert [r.k for r in X.needs_prompt(c, "2").collect()] == [1]
 
 
+def test_cosines_of_all_pairs(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [2.0]), (6, [None, 2.0]), (7, [-3.0, 0.0])]
+    v = spark.createDataFrame(rows, "i long, v array<double>")
+    q = v.select(F.col("i").alias("q"), "v")
+    want = sorted((r.q, r.i, r.c) for r in v.crossJoin(q.withColumnRenamed("v", "w")).select("q", "i", F.round(cosine(F.col("v"), F.col("w")), 6).alias("c")).collect())
+    for size in (S.QUERY_BYTES, 40):
+        monkeypatch.setattr(S, "QUERY_BYTES", size)
+        out = S.cosines(v, q, "i", "v", "q")
+        assert sorted((r.q, r.i, r.cosine) for r in out.collect()) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "NestedLoop" not in plan
+
+
 def test_additive_hybrid_of_classes_equals_all_pairs(spark, monkeypatch):
     rng = random.Random(3)
     vectors = [[1.0, 0.0], [0.6, 0.8], [-1.0, 0.5], [0.0, 0.0], [1.0], [], None]
