@@ -91,6 +91,13 @@ def test_ranks_equal_those_of_a_scan(spark, texts, index, queries, n):
         assert sorted((r.q, r.rank, r.doc, round(r.score, 5)) for r in a) == sorted((r.q, r.rank, r.doc, round(r.score, 5)) for r in b)
 
 
+def test_ranks_of_a_few_queries_at_once(spark, texts, tmp_path, queries, monkeypatch):
+    index = make(spark, tmp_path / "steps", [list(texts.items())])
+    whole = sorted(map(tuple, index.scores(queries, "q", "ask", 3).collect()))
+    monkeypatch.setattr(I, "SCORES", 1)  # each query by itself, which bounds what a task holds
+    assert sorted(map(tuple, index.scores(queries, "q", "ask", 3).collect())) == whole
+
+
 def test_full_text_matches(texts, index, queries):
     want = {(q, d) for q, ask in QUERIES.items() for d, t in texts.items() if matched(ask, words(t))}
     have = [(r.q, r.doc) for r in index.matches(queries, "q", "ask").collect()]
