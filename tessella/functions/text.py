@@ -107,7 +107,7 @@ def clean(c: Column, newlines: bool = True) -> Column:
 def tidy(c: Column) -> Column:
     """No-break spaces to spaces, direction marks out, runs of blanks to one, at most one empty line."""
     x = F.regexp_replace(F.translate(c, " ", " "), "[‎‏]", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def one_line(c: Column, size: int | None = None) -> Column:
@@ -177,20 +177,59 @@ def distinct_texts_ci(values: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    parts = F.split(tidy(F.coalesce(c, F.lit(""))), r"(?<=[.!؟?;])\s+|\n+")
+    return tidy_sentences(tidy(F.coalesce(c, F.lit(""))))
+
+
+def tidy_sentences(c: Column) -> Column:
+    """Sentences of a text that tidy() has made."""
+    parts = F.split(c, r"(?<=[.!؟?;])\s+|\n+")
     return F.filter(F.transform(parts, lambda v: F.trim(v)), lambda x: x != "")
 
 
+#: What patterns that ignore case take for i or s besides these letters, as lower() leaves it.
+_ODD_CASE = ("ı", "ſ", "\u0307")
+
+
+def odd_case(low: Column) -> Column:
+    """Whether a text in lower case has letters by which patterns that ignore case match what its lower case does not show."""
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in _ODD_CASE])
+
+
+def _holds(low: Column, literals: list[str]) -> Column:
+    return F.lit(True) if "" in literals else reduce(lambda a, b: a | b, [low.contains(x) for x in literals])
+
+
+def _literals(patterns: list[str]) -> list[str]:
+    """Of each pattern what its matches must hold; the empty string where it is not plain text between word ends."""
+    plain = [p.replace(r"\b", "") for p in patterns]
+    return [x.lower() if x.replace(" ", "").isalnum() else "" for x in plain]
+
+
+def marked_lines(lines: Column, low: Column, odd: Column, patterns: list[str], most: int = 3) -> Column:
+    """The first of some lines (text, low: in lower case) that match any pattern, clipped to 400 characters. low is the lower case of
+    the text that has the lines, odd its odd_case(): patterns are asked only where the text, and then the line, holds what they need."""
+    any_of, need = "(?iU)" + "|".join(f"(?:{p})" for p in patterns), _literals(patterns)
+    found = F.transform(F.filter(lines, lambda x: (odd | _holds(x["low"], need)) & x["low"].rlike(any_of)), lambda x: F.substring(x["text"], 1, 400))
+    return F.when(odd | _holds(low, need), F.slice(found, 1, most)).otherwise(F.array().cast("array<string>"))
+
+
+def with_low(lines: Column) -> Column:
+    return F.transform(lines, lambda s: F.struct(s.alias("text"), F.lower(s).alias("low")))
+
+
 def key_lines(c: Column, patterns: list[str], most: int = 3) -> Column:
     """The first sentences that match any pattern, clipped to 400 characters."""
-    hit = lambda s: reduce(lambda a, b: a | b, [F.lower(s).rlike("(?iU)" + p) for p in patterns])
-    return F.slice(F.transform(F.filter(sentences(c), hit), lambda s: F.substring(s, 1, 400)), 1, most)
+    return _once(tidy(F.coalesce(c, F.lit(""))), lambda x: _once(F.lower(x), lambda low: marked_lines(with_low(tidy_sentences(x)), low, odd_case(low), patterns, most)))
 
 
-def find_all(c: Column, patterns: list[tuple[str, int]], most: int | None = None, shape=tidy) -> Column:
-    """Distinct matches, in order of pattern, then place; each pattern comes with its group."""
-    found = F.concat(*[F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), g) for p, g in patterns])
-    out = F.array_distinct(F.filter(F.transform(found, shape), lambda x: x != ""))
+def find_all(c: Column, patterns: list[tuple[str, int]], most: int | None = None, shape=tidy, need: list[str] | None = None, low: Column | None = None, odd: Column | None = None) -> Column:
+    """Distinct matches, in order of pattern, then place; each pattern comes with its group. With need, a literal (in lower case) that
+    the matches of each pattern hold, and low and odd as for marked_lines(), only what may match is asked."""
+    text, none = F.coalesce(c, F.lit("")), F.array().cast("array<string>")
+    every = [F.regexp_extract_all(text, F.lit(p), g) for p, g in patterns]
+    if need:
+        every = [F.when(odd | _holds(low, [x]), e).otherwise(none) for x, e in zip(need, every, strict=True)]
+    out = F.array_distinct(F.filter(F.transform(F.concat(*every), shape), lambda x: x != ""))
     return out if most is None else F.slice(out, 1, most)
 
 
@@ -206,11 +245,12 @@ CROSS_REFERENCES = [
     r"مرسوم\s+رقم\s+[\d\.-]+",
     r"ظهير\s+شريف\s+رقم\s+[\d\.-]+",
 ]
+CROSS_NEED = ["article", "art.", "المادة", "loi", "dahir", "décret", "مرسوم", "ظهير"]
 
 
-def cross_references(c: Column, most: int = 20) -> Column:
+def cross_references(c: Column, most: int = 20, low: Column | None = None, odd: Column | None = None) -> Column:
     """Distinct references to articles and laws, in order of pattern, then place."""
-    return find_all(c, [("(?iu)" + p, 0) for p in CROSS_REFERENCES], most)
+    return find_all(c, [("(?iu)" + p, 0) for p in CROSS_REFERENCES], most, need=None if low is None else CROSS_NEED, low=low, odd=odd)
 
 
 def keyword_set(topics: Column, translated: Column, title: Column, path: Column, article: Column, text: Column, most: int = 30) -> Column:
@@ -248,8 +288,8 @@ def first_match(c: Column, patterns: list[tuple[str, int]]) -> Column:
 
 def script_language(c: Column, least: int = 20) -> Column:
     """ar, fr, mixed or unknown: more than `least` Arabic characters, letters before them in Unicode, both, none."""
-    ar = F.regexp_count(c, F.lit(r"[\x{0600}-\x{06FF}]")) > least
-    la = F.regexp_count(c, F.lit(r"[\p{L}&&[\x{0000}-\x{05FF}]]")) > least
+    more = lambda chars: c.rlike(rf"(?s)^(?>.*?{chars}){{{least + 1}}}")  # noqa: E731  # reads no further than needed
+    ar, la = more(r"[\x{0600}-\x{06FF}]"), more(r"[\p{L}&&[\x{0000}-\x{05FF}]]")
     return F.when(ar & la, "mixed").when(ar, "ar").when(la, "fr").otherwise("unknown")
 
 

@@ -104,8 +104,7 @@ WIDE = {
 @query("ch07_sf10_sf38_wide_chunks")
 def wide_chunks(spark, d):
     """Paragraph chunks of whole documents as wide rows for search; lists joined by bars."""
-    docs = spread(table(spark, d, "documents"), "doc_id")
-    chunks = C.paragraph_chunks(docs, "doc_id", "text", separator="\n").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    chunks = C.paragraph_chunks(spread(table(spark, d, "documents"), "doc_id"), "doc_id", "text", separator="\n", more=("source", "lang"))
     chunks = chunks.withColumns({"article": F.lit(None).cast("string"), "page": F.lit(1)})
     out = C.wide_chunks(chunks, "chunk", "source", "lang", "article", "page", "page", WIDE)
     lists = ("obligations", "deadlines", "topics", *LINES, "citations", "retrieval_keywords")

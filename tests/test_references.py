@@ -6,7 +6,11 @@ import hashlib
 import re
 import unicodedata
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import functions as F
+
+from tessella.functions import text as T
 from tessella.operators import chunking, references
 from tessella.operators.references import ACTS, MONTHS
 from tessella.operators.rerank import ARTICLES, DATES, DOCUMENTS
@@ -83,3 +87,18 @@ def test_wide_chunks(spark):
     assert r.retrieval_keywords == sorted(r.retrieval_keywords) and len(r.retrieval_keywords) <= 30
     e = got[2]
     assert e.citations == e.key_rules == [] and e.content_sha256 == hashlib.sha256(b"").hexdigest() and e.topics == ["general"]
+
+
+def test_tests_before_patterns_lose_no_match(spark):
+    """Letters that a pattern takes for others when it ignores case, and rows that share an id or have none; chunks keep their own source."""
+    texts = ["IL DOıT payer. Rien. L'eſt aussi. On  ENTEND par là", "ARTİCLE 5 et ARTıCLE 6, LOI N° 3", "toutefois, la SANCTıON", "sauf rien\nil doit", "plain", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    patterns = [p for ps in Q.LINES.values() for p in ps]
+    got = {r.t: (r.k, r.x) for r in df.select("t", T.key_lines(F.col("t"), patterns, 9).alias("k"), T.cross_references(F.col("t")).alias("x")).collect()}
+    hit = lambda s: reduce(lambda a, b: a | b, [F.lower(s).rlike("(?iU)" + p) for p in patterns])
+    want = {r.t: r.k for r in df.select("t", F.filter(T.sentences(F.col("t")), hit).alias("k")).collect()}
+    assert {t: k for t, (k, _) in got.items()} == want and len(want[texts[0]]) == 3
+    wide = chunking.wide_chunks(df.select("t", F.lit("a").alias("s"), F.lit("x").alias("l"), F.lit(None).cast("string").alias("art"), F.lit(1).alias("p")), "t", "s", "l", "art", "p", "p", Q.WIDE).collect()
+    assert {r.t: r.citations for r in wide} == {t: x for t, (_, x) in got.items()} and got[texts[1]][1] == ["ARTİCLE 5", "ARTıCLE 6", "LOI N° 3"]
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "doc_id long, source string").withColumn("text", F.col("source"))
+    assert sorted((r.chunk, r.source) for r in chunking.paragraph_chunks(docs, "doc_id", "text", more=("source",)).collect()) == [("a", "a"), ("b", "b"), ("c", "c")]
