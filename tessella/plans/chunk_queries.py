@@ -77,7 +77,7 @@ WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}
 g AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) >= 4 AND word NOT IN ('that', 'this', 'with') AND NOT regexp_matches(word, '^[0-9]+$') GROUP BY 1, 2)
 SELECT doc_id, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM g) WHERE rank <= 8""")
 def top_words(spark, d):
-    return C.top_words(table(spark, d, "documents"), "doc_id", "text", ["that", "this", "with"])
+    return C.top_words(spread(table(spark, d, "documents"), "doc_id"), "doc_id", "text", ["that", "this", "with"])
 
 
 @query("ag17_distinct_ignoring_case", """

@@ -352,3 +352,16 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_top_words_where_the_documents_are(spark, monkeypatch):
+    monkeypatch.setattr(C, "ROWS", 3)
+    rows = [(1, "with Zebra zebra apple APPLE pear 12345 öäü1 the"), (2, None), (3, ""), (4, "pear plum pear plum plum"), (None, "kiwi's")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    one = C.top_words(df, "id", "t", ["with"], 3)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    want = [(None, "kiwi's", 1, 1), (1, "apple", 2, 2), (1, "pear", 1, 3), (1, "zebra", 2, 1), (4, "pear", 2, 2), (4, "plum", 3, 1)]
+    assert sorted(map(tuple, one.collect()), key=lambda r: (r[0] or 0, r[1])) == want
+    several = C.top_words(df.unionByName(spark.createDataFrame([(4, "pear pear fig2"), (None, "kiwi's")], df.schema)), "id", "t", ["with"], 3)
+    got = {(r.id, r.word): r.n for r in several.collect()}
+    assert got[4, "pear"] == 4 and got[None, "kiwi's"] == 2 and several.schema == one.schema
