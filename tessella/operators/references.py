@@ -23,6 +23,10 @@ FIRST_ARTICLE = ("premier", "1er")
 MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre")
 
 
+#: So many registered targets are sent to every task; more meet the references by a shuffle.
+MOST_SENT = 100_000
+
+
 def _entries(kind: Column, found: Column) -> Column:
     return F.transform(found, lambda r: F.struct(kind.alias("family"), r.alias("ref")))
 
@@ -57,8 +61,11 @@ def reference_table(texts: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def resolve(references: DataFrame, registry: DataFrame) -> DataFrame:
-    """references with target: what registry (kind, number, target) has under their kind and number, else null."""
+    """references with target: what registry (kind, number, target) has under their kind and number, else null. Up to MOST_SENT known
+    pairs go to the references, which then stay where they are."""
     known = registry.where("kind is not null and number is not null").groupBy("kind", "number").agg(F.min("target").alias("target"))
+    if known.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        known = F.broadcast(known)
     return references.join(known, ["kind", "number"], "left").select(*references.columns, "target")
 
 

@@ -102,3 +102,23 @@ def test_tests_before_patterns_lose_no_match(spark):
     assert {r.t: r.citations for r in wide} == {t: x for t, (_, x) in got.items()} and got[texts[1]][1] == ["ARTİCLE 5", "ARTıCLE 6", "LOI N° 3"]
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "doc_id long, source string").withColumn("text", F.col("source"))
     assert sorted((r.chunk, r.source) for r in chunking.paragraph_chunks(docs, "doc_id", "text", more=("source",)).collect()) == [("a", "a"), ("b", "b"), ("c", "c")]
+
+
+def test_references_stay_where_they_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables whose size is not known
+    try:
+        rows = references.reference_table(frame(spark), "id", "text")
+        known = spark.createDataFrame([("law", "17-04", 5), ("law", "17-04", 3)], "kind string, number string, target int").repartition(3)
+        out = references.resolve(rows, known)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.target for r in out.where("kind = 'law'").collect()} == {3} and out.count() == rows.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_known_acts_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(references, "MOST_SENT", 1)
+    rows = references.reference_table(frame(spark), "id", "text")
+    known = spark.createDataFrame([("law", "17-04", 5), ("decree", "2-08", 3)], "kind string, number string, target int")
+    assert {(r.kind, r.target) for r in references.resolve(rows, known).where("target is not null").collect()} == {("law", 5), ("decree", 3)}
