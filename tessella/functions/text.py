@@ -111,7 +111,7 @@ def tidy(c: Column) -> Column:
 
 
 def one_line(c: Column, size: int | None = None) -> Column:
-    x = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    x = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s&&[^ ]]\s*| \s+", " "))  # single blanks stay
     return x if size is None else F.substring(x, 1, size)
 
 
@@ -425,7 +425,8 @@ def looks_like_heading(c: Column) -> Column:
     """At most twelve words, and all upper case or opened by a structure word."""
     flat = one_line(c)
     upper = (F.upper(flat) == flat) & (F.lower(flat) != flat)
-    return (F.size(F.split(flat, " ")) <= 12) & (upper | flat.rlike(r"(?iU)^(chapitre|section|titre|annexe|partie|livre|باب|قسم|ملحق)\b"))
+    blanks = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return (blanks < 12) & (upper | flat.rlike(r"(?iU)^(chapitre|section|titre|annexe|partie|livre|باب|قسم|ملحق)\b"))
 
 
 def starts_article(c: Column) -> Column:

@@ -365,3 +365,17 @@ def test_top_words_where_the_documents_are(spark, monkeypatch):
     several = C.top_words(df.unionByName(spark.createDataFrame([(4, "pear pear fig2"), (None, "kiwi's")], df.schema)), "id", "t", ["with"], 3)
     got = {(r.id, r.word): r.n for r in several.collect()}
     assert got[4, "pear"] == 4 and got[None, "kiwi's"] == 2 and several.schema == one.schema
+
+
+def test_blanks_at_the_ends_and_structure_letters(spark):
+    """What is asked before a pattern loses no match."""
+    space = "".join(map(chr, (0x1C, 0x1F, 0x85, 0xA0, 0x2003, 0x2028, 9, 10, 13)))
+    texts = [f"{a}x y{b}" for a in ("", *space, space) for b in ("", *space, space)] + ["", " ", space, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumns({"have": C._strip(F.col("t")), "want": F.regexp_replace("t", C._EDGES, "")})
+    assert all(r.have == r.want for r in df.collect()) and "when" in str(C._strip(F.col("t"))).lower()
+    lines = ["ſection II", "SOUS-SECTION I a", "titre 1er", "Art. 5 :", "المادة ٣", "القسم أ", "chapitre X", " titre II", "x TITRE I", "", None]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in lines], "t string").select(*[C.level_label(F.col("t"), k).isNotNull() for k in ("title", "chapter", "section", "article")]).collect()]
+    assert [r.index(True) if True in r else None for r in got] == [2, 2, 0, 3, 3, 2, 1, None, None, None, None]
+    flat = spark.createDataFrame([("a\t b\n\nc  d e",), ("A B C D E F G H I J K L",), ("A B C D E F G H I J K L M",)], "t string")
+    from tessella.functions import text as T
+    assert [tuple(r) for r in flat.select(T.one_line(F.col("t")), T.looks_like_heading(F.col("t"))).collect()] == [("a b c d e", False), ("A B C D E F G H I J K L", True), ("A B C D E F G H I J K L M", False)]
