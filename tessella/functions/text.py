@@ -33,13 +33,17 @@ def strip_marks(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, src, dst), "[̀-ͯ]", "")
 
 
-def normalise_words(c: Column) -> Column:
-    """N1: lower case, no marks, everything but letters and digits to single spaces, trimmed."""
+def letters_and_blanks(c: Column) -> Column:
+    """N1 before its blanks are collapsed: lower case, no marks, everything but letters, digits and white space as spaces."""
     x = strip_marks(F.lower(F.coalesce(c, F.lit(""))))
     for letter, parts in _HAMZA.items():
         x = F.replace(x, F.lit(letter), F.lit(parts[0] + " "))  # the mark left over is no letter, so a space
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}\s]", " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.regexp_replace(x, r"[^\p{L}\p{N}\s]", " ")
+
+
+def normalise_words(c: Column) -> Column:
+    """N1: lower case, no marks, everything but letters and digits to single spaces, trimmed."""
+    return F.trim(F.regexp_replace(letters_and_blanks(c), r"\s+", " "))
 
 
 def normalise_text(c: Column) -> Column:
@@ -371,8 +375,10 @@ def _once(c: Column, f) -> Column:
 
 def hash_vector(c: Column, size: int = 64) -> Column:
     """Deterministic unit vector: the bytes of the SHA-256 digest, over and over, as numbers from -1 to 1; six places."""
-    byte = lambda digest, i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10)
-    raw = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: byte(digest, i).cast("double") / 255.0 * 2.0 - 1.0)
+    digit = lambda digest, i: F.ascii(F.substring(digest, i + 1, 1)) % 39 - 9  # of 0-9 and a-f
+    byte = lambda digest, i: digit(digest, 2 * i) * 16 + digit(digest, 2 * i + 1)
+    values = lambda digest: F.array(*(byte(digest, i).cast("double") / 255.0 * 2.0 - 1.0 for i in range(min(size, 32))))
+    raw = lambda digest: values(digest) if size <= 32 else F.slice(F.flatten(F.array_repeat(values(digest), -(-size // 32))), 1, size)
     norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x))
     unit = lambda r: _once(norm(r), lambda n: F.transform(r, lambda x: F.round(x / n, 6)))
     return _once(F.sha2(c, 256), lambda digest: _once(raw(digest), unit))

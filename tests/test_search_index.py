@@ -168,3 +168,28 @@ def test_a_batch_is_indexed_without_a_shuffle(spark, texts, tmp_path, monkeypatc
     assert plans and not any("Exchange" in p for p in plans)
     terms = sorted(((r.block, r.term) for r in index._raw(1, "block", "term").collect() if r.term is not None), key=lambda x: x[0])  # stable
     assert terms == sorted(terms) and len(terms) > 30
+
+
+def test_words_of_a_block_are_the_tokens_of_its_texts(spark, monkeypatch):
+    """Words are normalised apart from their text; what stands beside them must not matter."""
+    monkeypatch.setattr(I, "BLOCK", 4)
+    odd = ["ΟΔΟΣ ΣΑΣ. ΑΣ\tΣ ΣΣ-ΣΑ", "İstanbul İx Straße　ab\x1ccd", " \n\x0b\f\r", "été́ ́ab á", "أحمد مؤمن سائل آخر إلى", "a-b a'bc x.y.zz ab_cd 12,5", "", None, "\U0001d400\U0001d401 \U00010428x 日本語 日",
+           "don't  stop\n\nDON'T  stop", "ab " * 9, "ﬁn ǅa  cd\u0085ef", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "id long, text string").coalesce(1)
+    have = {}
+    for r in I.index_rows(docs, "id", "text").where("term is not null").collect():
+        tfs, places, at = np.frombuffer(r.tfs, np.int32).tolist(), np.frombuffer(r.places, np.int32).tolist(), 0
+        for d, tf, n in zip(r.docs, tfs, r.lens):
+            have.setdefault((d, n), []).extend((p, r.term) for p in places[at : at + tf])
+            at += tf
+    want = {(r.id, len(r.t)): list(enumerate(r.t)) for r in docs.select("id", T.tokens(F.col("text")).alias("t")).collect() if r.t}
+    assert {k: sorted(v) for k, v in have.items()} == want and len(want) == 9
+
+
+def test_only_distinct_words_are_normalised_and_vectors_made_once(spark):
+    docs = spark.createDataFrame([(1, "ab ab")], "id long, text string")
+    plan = I.index_rows(docs, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("MapInArrow"):]
+    assert "regexp_replace" in plan and "regexp_replace" not in below
+    v, q = docs.select("id", T.hash_vector(F.col("text"), 32).alias("v")), spark.createDataFrame([(7, [1.0] * 32)], "q long, v array<double>")
+    assert S.vector_topk(v, q, "id", "v", "q", 3)._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
