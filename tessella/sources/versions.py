@@ -18,8 +18,9 @@ class Conflict(RuntimeError):
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, options: dict[str, str] | None = None):
+        """With options of the Parquet writer."""
+        self.spark, self.path, self.options = spark, path.rstrip("/"), options or {}
         jvm = spark._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -60,7 +61,7 @@ class VersionedTable:
         base = self.version() if base is None else base
         folder, wanted = f"v{base + 1}-{uuid.uuid4().hex}", self._Path(f"{self.path}/_commits/{base + 1:012d}.json")
         for name, df in parts.items():
-            df.write.parquet(f"{self.path}/{folder}/{name}")
+            df.write.options(**self.options).parquet(f"{self.path}/{folder}/{name}")
         told = json.dumps({"parts": (kept or {}) | {n: f"{folder}/{n}" for n in parts}, "facts": facts})
         draft = self._Path(f"{self.path}/_commits/.{folder}")
         out = self.fs.create(draft, False)
