@@ -1,7 +1,7 @@
 """Rerank of fused candidates by features of question and chunk.
 
-Features of a chunk are made once for each chunk, those of a question once for each question; only candidates
-(query, chunk) meet. Rules are a table: what the question asks about, what the chunk is, how many topic tokens they
+Only candidates (query, chunk) meet. Features of a chunk are made for its candidates, so chunks that nobody asks for cost
+nothing but the join; those of a question once for each question. Rules are a table: what the question asks about, what the chunk is, how many topic tokens they
 share at least and at most, and the boost.
 """
 
@@ -74,8 +74,8 @@ def _told(name: str, df: DataFrame, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
-def chunk_features(chunks: DataFrame, ident: str, rules: Rules = RULES) -> DataFrame:
-    """doc and what rules look at. Columns that chunks lack count as null; chunks: official_title, short_title, citation_label,
+def chunk_features(chunks: DataFrame, ident: str, rules: Rules = RULES, *kept: str) -> DataFrame:
+    """doc, what rules look at, and columns that are kept. Columns that chunks lack count as null; chunks: official_title, short_title, citation_label,
     structure_path, section_path, article_number, document_type, source_document_kind, language, confidence,
     manual_review_required, legal_summary, and the lists citations (or cross_references), topics, topic_tags, retrieval_keywords,
     keywords, user_questions, sanctions, deadlines, obligations."""
@@ -93,7 +93,7 @@ def chunk_features(chunks: DataFrame, ident: str, rules: Rules = RULES) -> DataF
         T.topical_tokens(T.tokens(topical), list(rules.stopwords)).alias("c_topics"), T.normalise_words(_joined([*titles, a("topics"), a("topic_tags")])).alias("c_titles"),
         F.coalesce(t("document_type"), F.lit("")).alias("c_type"), F.coalesce(t("language"), F.lit("")).alias("c_language"), T.tokens(F.col(ident).cast("string")).alias("c_id"),
         (confidence + F.when(review, REVIEW).otherwise(0.0) + authority).alias("c_standing"),
-        *(F.coalesce(F.size(a(c)) > 0, F.lit(False)).alias(f"c_{c}") for c in sorted({b.has for b in rules.boosts if b.has})),
+        *(F.coalesce(F.size(a(c)) > 0, F.lit(False)).alias(f"c_{c}") for c in sorted({b.has for b in rules.boosts if b.has})), *kept,
     )
 
 
@@ -137,7 +137,8 @@ def scope_boost(scope: str | None) -> Column:
 
 def rerank(fused: DataFrame, chunks: DataFrame, questions: DataFrame, ident: str, query_id: str, question: str, k: int, scope: str | None = None, rules: Rules = RULES) -> DataFrame:
     """fused (query_id, doc, fused) with exact, topical, rerank_score and rank of the k best of each query."""
-    both = fused.join(chunk_features(chunks, ident, rules), "doc").join(question_features(questions, query_id, question, rules), query_id)
+    told = fused.select(F.col("doc").alias("_doc"), F.struct(*fused.columns).alias("_fused")).join(chunks, F.col("_doc") == F.col(ident))
+    both = chunk_features(told, ident, rules, "_fused").drop("doc").select("_fused.*", "*").drop("_fused").join(question_features(questions, query_id, question, rules), query_id)
     both = both.withColumns({"exact": exact_boost(), "topical": topical_boost(rules), "scope": scope_boost(scope)})
     score = F.col("fused") + F.col("exact") * WEIGHTS["exact"] + F.col("topical") * WEIGHTS["topical"] + F.col("scope") * WEIGHTS["scope"]
     return ranked(both.select(*fused.columns, "exact", "topical", "scope", F.round(score, 9).alias("rerank_score")), query_id, "doc", k, "rerank_score")

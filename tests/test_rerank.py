@@ -73,3 +73,15 @@ def test_chunks_with_nothing_told(spark):
     questions = spark.createDataFrame([(1, None)], "item_id long, question string")
     fused = spark.createDataFrame([(1, 1, 0.1)], "item_id long, doc long, fused double")
     assert [r.rerank_score for r in RR.rerank(fused, chunks, questions, "doc_id", "item_id", "question", 4).collect()] == [0.15]
+
+
+def test_features_are_made_of_candidates_only(spark):
+    chunks = spark.createDataFrame([(1, "Décret n° 2-11-7"), (2, "x")], "doc_id long, official_title string")
+    questions = spark.createDataFrame([(1, "décret n° 2-11-7")], "item_id long, question string")
+    fused = spark.createDataFrame([(1, 1, 0.1)], "item_id long, doc long, fused double")
+    out = RR.rerank(fused, chunks, questions, "doc_id", "item_id", "question", 4)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = max(i for i, x in enumerate(lines) if "Join Inner" in x)
+    made = [i for i, x in enumerate(lines) if "regexp_replace" in x and "official_title" in x]
+    assert made and max(made) < join  # not below the join with the candidates
+    assert out.columns == ["item_id", "doc", "fused", "exact", "topical", "scope", "rerank_score", "rank"] and [r.exact for r in out.collect()] == [10.0]

@@ -98,6 +98,85 @@ def test_ranks_of_a_few_queries_at_once(spark, texts, tmp_path, queries, monkeyp
     assert sorted(map(tuple, index.scores(queries, "q", "ask", 3).collect())) == whole
 
 
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """Short texts of few words in many blocks, much the same, so that equal ranks abound; questions are some of them and longer ones."""
+    rng = random.Random(7)
+    draw = lambda k: [f"w{min(rng.randrange(40), rng.randrange(40)):02}" for _ in range(k)]
+    rows = {k: " ".join(["all", *draw(rng.randrange(1, 6))]) for k in rng.sample(range(10**6), 1500)}
+    asks = {i: t for i, t in enumerate([*list(rows.values())[::50], "all", "all w00", " ".join(draw(30)), " ".join(f"w{k:02}" for k in range(40)), "nothing"])}
+    asks[99] = " ".join(["all w01 w01", *(f"x{k}" for k in range(300))])
+    rows[-1] = asks[99]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # texts of a block
+    index = make(spark, tmp_path_factory.mktemp("alike"), [list(rows.items())])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert index._raw(1, "block").distinct().count() >= 30
+    return rows, asks, index
+
+
+def plain_ranks(rows, asks, n):
+    """For each question the n best by score and by hits: (document, score, hits)."""
+    count = {d: {w: words(t).count(w) for w in words(t)} for d, t in rows.items()}
+    size = {d: max(1, sum(c.values())) for d, c in count.items()}
+    mean, df = sum(size.values()) / len(rows), {}
+    for c in count.values():
+        for w in c:
+            df[w] = df.get(w, 0) + 1
+    idf, out = {w: math.log(1 + (len(rows) - k + 0.5) / (k + 0.5)) for w, k in df.items()}, {}
+    for q, ask in asks.items():
+        terms, found = sorted(set(words(ask))), []
+        for d, c in count.items():
+            held = [w for w in terms if w in c]
+            if held:
+                found.append((d, round(sum(idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * size[d] / mean)) for w in held), 6), len(held)))
+        out[q] = [[(d, s, h) for d, s, h in sorted(found, key=lambda x: (-x[i], x[0]))[:n]] for i in (1, 2)]
+    return out, idf, mean
+
+
+@pytest.mark.parametrize("together", [1, 300, 10**6])
+def test_only_documents_near_the_best_are_scored(alike, monkeypatch, together):
+    rows, asks, index = alike
+    want, idf, mean = plain_ranks(rows, asks, 5)
+    names = list(asks)
+    by = {w: (x, np.array([i for i, q in enumerate(names) if w in words(asks[q])])) for w, x in idf.items()}
+    table = index._raw(1, "*").where("term is not null").sort("block", "term").toArrow()
+    scored = []
+    real = I._Postings._scored
+    monkeypatch.setattr(I._Postings, "_scored", lambda self, *a: scored.append(real(self, *a)) or scored[-1])
+    for room in (1, 1 << 20):
+        scored.clear()
+        best = I._ranks(I._whole_blocks(table.to_batches(max_chunksize=100)), len(names), {w: x for w, x in by.items() if len(x[1])}, 5, mean, together, room)
+        for side, k in enumerate(("score", "hits")):
+            have = {}
+            for q, _, d, s, h in zip(*(x.tolist() for x in best[k])):
+                have.setdefault(names[q], []).append((d, s, h))
+            assert {q: [(d, round(s, 5), h) for d, s, h in have.get(q, [])] for q in asks} == {q: [(d, round(s, 5), h) for d, s, h in want[q][side]] for q in asks}
+        pairs = sum(len(x[0]) for x in scored)
+        assert pairs < (0.1 if together > 1 else 0.3) * len(rows) * len(asks)  # every question meets every text by "all"
+
+
+def test_ranks_of_many_blocks(spark, alike, monkeypatch):
+    rows, asks, index = alike
+    want, _, _ = plain_ranks(rows, asks, 5)
+    queries = spark.createDataFrame(list(asks.items()), "q long, ask string")
+    for together, dealt in ((1, 64), (300, 1)):
+        monkeypatch.setattr(I, "TOGETHER", together)
+        monkeypatch.setattr(I, "DEALT", dealt)
+        have = index.scores(queries, "q", "ask", 5)
+        for side, column in enumerate(("score", "hits")):
+            ranks = S.ranked(have.select("q", "doc", F.col(column).alias("score")), "q", "doc", 5).collect()
+            assert {(r.q, r.rank, r.doc) for r in ranks} == {(q, i + 1, x[0]) for q, sides in want.items() for i, x in enumerate(sides[side])}
+
+
+def test_blocks_are_dealt_out_evenly(spark, alike, queries):
+    _, _, index = alike
+    tasks, dealt = index._deal()
+    n = [r["count"] for r in dealt.groupBy("_task").count().collect()]
+    assert len(n) == tasks == spark.sparkContext.defaultParallelism and max(n) - min(n) <= 1
+    assert index.scores(queries, "q", "ask", 5).rdd.getNumPartitions() == tasks
+
+
 def test_full_text_matches(texts, index, queries):
     want = {(q, d) for q, ask in QUERIES.items() for d, t in texts.items() if matched(ask, words(t))}
     have = [(r.q, r.doc) for r in index.matches(queries, "q", "ask").collect()]
